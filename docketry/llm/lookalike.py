@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docketry.llm.codepoints import blocks, canonical, encoded
+from docketry.session import cut_lineage
 
 
 def with_canonical(df: DataFrame, text: str = "text", to: str = "canonical") -> DataFrame:
@@ -51,7 +52,7 @@ def lookalike_classes(df: DataFrame, id_column: str = "doc_id", text: str = "tex
     class_id is the smallest id among texts of the same look, variants the number of different character sequences in
     the class. A class of any size is aggregated before the shuffle and joined back as one row.
     """
-    members = lookalike_members(df, id_column, text)
+    members = cut_lineage(lookalike_members(df, id_column, text))
     by_text = members.groupBy("look", "exact").agg(F.min(id_column).alias("_first"))
     classes = by_text.groupBy("look").agg(F.min("_first").alias("class_id"), F.count("*").alias("variants"))
     return members.join(classes, "look").select(id_column, "class_id", "variants")
@@ -64,7 +65,7 @@ def lookalike_pairs(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     rows. Copies of one sequence are never paired among themselves, however many there are, so the joins produce the
     rows of the result and no others. Looks with one sequence, nearly all, drop out before any join.
     """
-    members = lookalike_members(df, id_column, text)
+    members = cut_lineage(lookalike_members(df, id_column, text))  # read more than once below; the texts only once
     variants = members.groupBy("look", "exact").agg(F.count("*").alias("copies"))
     shared = variants.groupBy("look").agg(F.count("*").alias("n")).where("n > 1").select("look")
     own = members.join(shared, "look", "left_semi")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import lookalike, tiling
-from docketry.sources.tables import one_per_key, table
+from docketry.llm import components, lookalike, mixing, packing, quotas, tiling
+from docketry.sources.tables import one_per_key, table, tidy
 
 
 def _training_texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,6 +35,102 @@ def p1_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return leaked.select("found_in", "record_key", "example_id", "longest", F.round("coverage", 4).alias("coverage"))
 
 
+#: Other spellings of a split.
+SPLIT_NAMES = {"dev": "development"}
+
+
+def _selection(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per event; ids trimmed, the categories as text that can be compared."""
+    s = table(spark, folder, "selection").withColumn("event_key", tidy("event_id"))
+    s = s.select("event_key", F.trim("event_id").alias("event_id"), "event_family_id", "source_id", "author", "proposed_split", "metadata.event_type", "metadata.severity", "ingested_at")
+    one = one_per_key(s, "event_key", [c for c in s.columns if c != "ingested_at"])
+    split = tidy("proposed_split")
+    for short, name in SPLIT_NAMES.items():
+        split = F.when(split == short, name).otherwise(split)
+    return one.withColumn("proposed_split", F.when(~split.isin(*components.PLACEHOLDERS), split))
+
+
+def _grouped(spark: SparkSession, folder: str) -> DataFrame:
+    records = _selection(spark, folder)
+    groups = components.related_groups(records, "event_key", ["event_family_id", "source_id", "author"])
+    return records.join(groups, "event_key")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    grouped = _grouped(spark, folder).select("event_id", "group_id", "proposed_split")
+    torn = components.torn_groups(grouped, "proposed_split")
+    named = torn.groupBy("group_id").agg(F.min("event_id").alias("group_event_id"))
+    return torn.join(named, "group_id").select("group_event_id", "event_id")
+
+
+def p2_splits(spark: SparkSession, folder: str) -> DataFrame:
+    targets = [(r["proposed_split"], r["target_bp"]) for r in table(spark, folder, "split_targets").collect()]
+    return components.assign_splits(_grouped(spark, folder).select("event_id", "group_id"), targets).select("event_id", "group_id", "split")
+
+
+CATEGORIES = ["proposed_split", "event_type", "severity"]
+
+
+def _categorized(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    targets = table(spark, folder, "sample_targets")
+    records = _selection(spark, folder).select("event_key", "event_id", *CATEGORIES)
+    for c in CATEGORIES:  # spelled as in the targets; the table is small and fixed
+        spelled = {r[c].strip().lower(): r[c] for r in targets.select(c).where(F.col(c).isNotNull()).distinct().collect()}
+        known = F.create_map(*[F.lit(x) for pair in spelled.items() for x in pair]) if spelled else None
+        value = tidy(c)
+        records = records.withColumn(c, F.coalesce(known[value], value) if spelled else value)
+    return records, targets
+
+
+def p4_report(spark: SparkSession, folder: str) -> DataFrame:
+    records, targets = _categorized(spark, folder)
+    return quotas.sample_report(records, targets, CATEGORIES[0], CATEGORIES[1:], "event_key")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_report(spark, folder).where("NOT met").select(*CATEGORIES)
+
+
+def p4_sample(spark: SparkSession, folder: str) -> DataFrame:
+    records, targets = _categorized(spark, folder)
+    report = quotas.sample_report(records, targets, CATEGORIES[0], CATEGORIES[1:], "event_key")
+    return quotas.quota_sample(records, report, CATEGORIES, "event_key").select("event_id", *CATEGORIES)
+
+
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    capacities = [r[0] for r in table(spark, folder, "pack_bins").select("capacity_tokens").where("capacity_tokens IS NOT NULL").collect()]
+    return packing.pack(table(spark, folder, "documents").select("doc_id", "n_tokens"), capacities)
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _packed(spark, folder).where("pieces > 1 AND piece = 1").select("capacity_tokens", "doc_id")
+
+
+def p7_placement(spark: SparkSession, folder: str) -> DataFrame:
+    return _packed(spark, folder)
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.container_report(_packed(spark, folder))
+
+
+def _mixable(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    documents = table(spark, folder, "documents").select("doc_id", "n_tokens", F.array(tidy("source")).alias("members"))
+    return documents, table(spark, folder, "mix_targets")
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_report(*_mixable(spark, folder), "members")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_report(spark, folder).where("NOT reachable").select("source")
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(*_mixable(spark, folder), "members")
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, folder, "documents").select("doc_id", "text"))
 
@@ -44,9 +140,49 @@ def p9_classes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found,
-    "p1_coverage": p1_coverage,
-    "p9_found": p9_found,
-    "p9_classes": p9_classes,
+    f.__name__: f
+    for f in (p1_found, p1_coverage, p2_found, p2_splits, p4_found, p4_report, p4_sample, p7_found, p7_placement, p7_report, p8_found, p8_report, p8_mix, p9_found, p9_classes)
+}
+
+_EVENTS = """
+events AS (
+  SELECT lower(trim(event_id)) AS event_key, any_value(lower(trim(proposed_split))) AS split,
+    any_value(lower(trim(metadata.event_type))) AS event_type, any_value(lower(trim(metadata.severity))) AS severity
+  FROM selection GROUP BY 1)"""
+
+ORACLES: dict[str, str] = {
+    "p4_found": f"""
+WITH {_EVENTS},
+counted AS (
+  SELECT CASE split WHEN 'dev' THEN 'development' ELSE split END AS split, event_type, severity, count(*) AS have
+  FROM events GROUP BY 1, 2, 3)
+SELECT t.proposed_split, t.event_type, t.severity FROM sample_targets t
+LEFT JOIN counted c ON c.split = lower(t.proposed_split) AND c.event_type = lower(t.event_type) AND c.severity = lower(t.severity)
+WHERE coalesce(c.have, 0) < greatest(t.min_rows, ((SELECT count(*) FROM events) // 4) * t.target_bp // 10000)""",
+    "p7_found": """
+SELECT CAST(b.capacity_tokens AS BIGINT) AS capacity_tokens, d.doc_id
+FROM documents d JOIN (SELECT DISTINCT capacity_tokens FROM pack_bins) b ON d.n_tokens > b.capacity_tokens""",
+    "p8_found": """
+WITH own AS (SELECT lower(trim(source)) AS s, sum(n_tokens) AS t FROM documents GROUP BY 1),
+size AS (SELECT sum(n_tokens) * 3 // 5 AS n FROM documents)
+SELECT m.source FROM mix_targets m LEFT JOIN own ON own.s = lower(trim(m.source)), size
+WHERE m.max_repeats * coalesce(own.t, 0) * 10000 < m.target_bp * size.n""",
+    "p2_found": """
+WITH RECURSIVE
+one AS (
+  SELECT lower(trim(event_id)) AS e, any_value(trim(event_id)) AS event_id, any_value(lower(trim(proposed_split))) AS split,
+    any_value(lower(trim(event_family_id))) AS f, any_value(lower(trim(source_id))) AS s, any_value(lower(trim(author))) AS a
+  FROM selection GROUP BY 1),
+tied AS (
+  SELECT e, 'f' || f AS k FROM one WHERE f NOT IN ('', '-', 'unknown', 'n/a', 'tbd')
+  UNION SELECT e, 's' || s FROM one WHERE s NOT IN ('', '-', 'unknown', 'n/a', 'tbd')
+  UNION SELECT e, 'a' || a FROM one WHERE a NOT IN ('', '-', 'unknown', 'n/a', 'tbd')),
+steps AS (SELECT DISTINCT x.e AS e, y.e AS e2 FROM tied x JOIN tied y ON x.k = y.k),
+reach AS (SELECT e, e AS r FROM one UNION SELECT reach.e, steps.e2 FROM reach JOIN steps ON steps.e = reach.r),
+grp AS (SELECT e, min(r) AS g FROM reach GROUP BY 1),
+torn AS (
+  SELECT g FROM grp JOIN one USING (e) GROUP BY g
+  HAVING count(DISTINCT CASE split WHEN 'dev' THEN 'development' WHEN '' THEN NULL ELSE split END) > 1)
+SELECT first.event_id AS group_event_id, one.event_id FROM torn
+JOIN grp ON grp.g = torn.g JOIN one ON one.e = grp.e JOIN one first ON first.e = torn.g""",
 }
-ORACLES: dict[str, str] = {}
