@@ -99,7 +99,9 @@ def pack(items: DataFrame, capacities: Sequence[int], key: str = "doc_id", size:
             out.append(pd.DataFrame({"capacity_tokens": capacity, "block": block["block"], "_key": block["_key"], "container": container, "full": full, "rest": rest}))
         return pd.concat(out)
 
-    placed = own.groupBy("block").applyInPandas(place, f"capacity_tokens bigint, block bigint, _key {kind}, container bigint, full bigint, rest bigint")
+    # The rows are few bytes and the work per row is much, so partitions follow the blocks and not the bytes.
+    parts = min(blocks, max(4 * items.sparkSession.sparkContext.defaultParallelism, blocks // 1000))
+    placed = own.repartition(parts, "block").groupBy("block").applyInPandas(place, f"capacity_tokens bigint, block bigint, _key {kind}, container bigint, full bigint, rest bigint")
     ends = F.when((F.col("rest") > 0) | (F.col("full") == 0), F.col("full") + 1).otherwise(F.col("full"))
     pieces = placed.withColumn("pieces", ends).withColumn("piece", F.explode(F.sequence(F.lit(1).cast("bigint"), "pieces")))
     alone = F.col("piece") <= F.col("full")
