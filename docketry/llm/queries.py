@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import components, lookalike, mixing, packing, quotas, tiling
+from docketry.llm import components, lookalike, mixing, packing, pairs, quotas, tiling
 from docketry.sources.tables import one_per_key, table, tidy
 
 
@@ -68,6 +68,18 @@ def p2_splits(spark: SparkSession, folder: str) -> DataFrame:
     return components.assign_splits(_grouped(spark, folder).select("event_id", "group_id"), targets).select("event_id", "group_id", "split")
 
 
+def p3_defects(spark: SparkSession, folder: str) -> DataFrame:
+    """Every defect that a record triggers."""
+    records = one_per_key(table(spark, folder, "sft"), "record_id", ["messages"])
+    return pairs.pair_defects(records).select("record_id", F.explode("defects").alias("defect"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The first defect of a record in the order of the rules."""
+    records = one_per_key(table(spark, folder, "sft"), "record_id", ["messages"])
+    return pairs.pair_defects(records).where(F.size("defects") > 0).select("record_id", F.col("defects")[0].alias("defect"))
+
+
 CATEGORIES = ["proposed_split", "event_type", "severity"]
 
 
@@ -141,7 +153,7 @@ def p9_classes(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_coverage, p2_found, p2_splits, p4_found, p4_report, p4_sample, p7_found, p7_placement, p7_report, p8_found, p8_report, p8_mix, p9_found, p9_classes)
+    for f in (p1_found, p1_coverage, p2_found, p2_splits, p3_found, p3_defects, p4_found, p4_report, p4_sample, p7_found, p7_placement, p7_report, p8_found, p8_report, p8_mix, p9_found, p9_classes)
 }
 
 _EVENTS = """
