@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import components, lookalike, mixing, packing, pairs, quotas, tiling
+from docketry.llm import components, lookalike, mixing, packing, pairs, quotas, scan_noise, tiling
 from docketry.sources.tables import one_per_key, table, tidy
 
 
@@ -109,6 +109,17 @@ def p4_sample(spark: SparkSession, folder: str) -> DataFrame:
     return quotas.quota_sample(records, report, CATEGORIES, "event_key").select("event_id", *CATEGORIES)
 
 
+CHUNK = ["chunk_id", "document_id", "section", "page_start", "page_end", "text"]
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_noise.scan_noise(table(spark, folder, "chunks").select(*CHUNK)).select("chunk_id", "noise", "found_value").distinct()
+
+
+def p5_text(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_noise.repaired_texts(table(spark, folder, "chunks").select(*CHUNK))
+
+
 def _packed(spark: SparkSession, folder: str) -> DataFrame:
     capacities = [r[0] for r in table(spark, folder, "pack_bins").select("capacity_tokens").where("capacity_tokens IS NOT NULL").collect()]
     return packing.pack(table(spark, folder, "documents").select("doc_id", "n_tokens"), capacities)
@@ -153,7 +164,7 @@ def p9_classes(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_coverage, p2_found, p2_splits, p3_found, p3_defects, p4_found, p4_report, p4_sample, p7_found, p7_placement, p7_report, p8_found, p8_report, p8_mix, p9_found, p9_classes)
+    for f in (p1_found, p1_coverage, p2_found, p2_splits, p3_found, p3_defects, p4_found, p4_report, p4_sample, p5_found, p5_text, p7_found, p7_placement, p7_report, p8_found, p8_report, p8_mix, p9_found, p9_classes)
 }
 
 _EVENTS = """
