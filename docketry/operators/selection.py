@@ -93,7 +93,7 @@ def diverse(candidates: DataFrame, target: int, seed: str, most_candidates: int
     by_set = Window.partitionBy("_f", F.pmod(F.hash("source_id"), F.lit(64))).orderBy("_d", "source_id")
     local = keyed.withColumn("_n", F.row_number().over(by_set)).where(F.col("_n") <= target)
     kept = local.withColumn("_n", F.row_number().over(Window.partitionBy("_f").orderBy("_d", "source_id"))).where(F.col("_n") <= target)
-    if kept.groupBy("_f").count().count() * target > most_candidates * target:
+    if kept.count() > most_candidates:
         raise ValueError("too many different sets of features")
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:

@@ -1,4 +1,456 @@
-"""Queries of the corpus, retrieval and evaluation operators."""
+"""Queries of the corpus, retrieval and evaluation operators, each over its whole tables."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docketry.functions.text import PUNCTUATION, tokens
+from docketry.operators import answers, chunking, integrity, metrics, retrieval, selection, training_records
+from docketry.sources.tables import one_per_key, table, tidy
+
+FRACTIONS = (("train", 0.8), ("development", 0.1), ("test", 0.1))
+TERMS = ["engine", "runway", "pilot", "weather", "landing", "inspection"]
+
+
+def _chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return one_per_key(table(spark, folder, "chunks"), "chunk_id", ["document_id", "text", "kind"])
+
+
+def _test(spark: SparkSession, folder: str) -> DataFrame:
+    return one_per_key(table(spark, folder, "retrieval_test"), "example_id", ["question", "evidence", "answerable", "reference_answer", "split"])
+
+
+def _sft(spark: SparkSession, folder: str) -> DataFrame:
+    return one_per_key(table(spark, folder, "sft"), "record_id", ["messages", "event_family_id"])
+
+
+def _questions(spark: SparkSession, folder: str) -> DataFrame:
+    return _test(spark, folder).select(F.col("example_id").alias("query_id"), F.col("question").alias("text"))
+
+
+def _top(spark: SparkSession, folder: str, k: int) -> DataFrame:
+    return retrieval.bm25_topk(_chunks(spark, folder).select("chunk_id", "text"), _questions(spark, folder), k)
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("score", F.round("score", 6))
+
+
+def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(_top(spark, folder, 10))
+
+
+def bm25_scoped(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions of retrieval_dev within their report."""
+    sources = one_per_key(table(spark, folder, "sources"), "source_document_id", ["sha256"])
+    dev = one_per_key(table(spark, folder, "retrieval_dev"), "example_id", ["question", "report_id"])
+    asked = dev.join(sources, dev["report_id"] == sources["source_document_id"]).select(F.col("example_id").alias("query_id"), F.concat(F.lit("doc-"), "sha256").alias("scope"), F.col("question").alias("text"))
+    chunks = _chunks(spark, folder).select("chunk_id", F.col("document_id").alias("scope"), "text")
+    return _rounded(retrieval.scoped_bm25(chunks, asked, 5))
+
+
+def dense_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector whose id is divisible by 50 against all."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return _rounded(retrieval.dense_topk(vectors, asked, 10))
+
+
+def _candidates(spark: SparkSession, folder: str, k: int) -> DataFrame:
+    held = _top(spark, folder, k).join(_chunks(spark, folder).select("chunk_id", "text"), "chunk_id")
+    asked = _questions(spark, folder).select("query_id", F.col("text").alias("question"))
+    return held.join(asked, "query_id")
+
+
+def hybrid_rrf(spark: SparkSession, folder: str) -> DataFrame:
+    """BM25 ranks fused with ranks by the share of the question's terms."""
+    lexical = _candidates(spark, folder, 30)
+    other = retrieval.ranked(lexical.select("query_id", "chunk_id", retrieval.overlap(F.col("question"), F.col("text")).alias("score")), 30)
+    return _rounded(retrieval.fused(lexical, other, 10, weight=0.25))
+
+
+def rerank_topk(spark: SparkSession, folder: str) -> DataFrame:
+    held = _candidates(spark, folder, 20)
+    return _rounded(retrieval.reranked(held, F.round(retrieval.overlap(F.col("question"), F.col("text")), 9), 5))
+
+
+def context_budget(spark: SparkSession, folder: str) -> DataFrame:
+    own = retrieval.bounded_context(_candidates(spark, folder, 10).select("query_id", "chunk_id", "rank", "text"), 4000)
+    return own.select("query_id", "chunk_id", "rank", F.length("text").cast("bigint").alias("n_chars"))
+
+
+def context_passage(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieval.context_passage(_candidates(spark, folder, 1).select("query_id", "question", "text"))
+
+
+def term_spread(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieval.term_spread(_chunks(spark, folder))
+
+
+def _gold(spark: SparkSession, folder: str) -> DataFrame:
+    return _test(spark, folder).select(F.col("example_id").alias("query_id"), F.explode("evidence.chunk_id").alias("chunk_id")).distinct()
+
+
+def retrieval_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    scores = metrics.retrieval_scores(_top(spark, folder, 10), _gold(spark, folder), _questions(spark, folder))
+    return scores.select("query_id", F.col("n_gold").cast("bigint").alias("n_gold"), *[F.round(c, 6).alias(c) for c in ("recall", "reciprocal_rank", "ndcg")])
+
+
+def retrieval_slices(spark: SparkSession, folder: str) -> DataFrame:
+    scores = metrics.retrieval_scores(_top(spark, folder, 10), _gold(spark, folder), _questions(spark, folder))
+    held = scores.join(_test(spark, folder).withColumnRenamed("example_id", "query_id"), "query_id")
+    slices = {"answerable": F.col("answerable"), "query": metrics.query_kind("question")}
+    out = metrics.sliced(held, slices, ["recall", "reciprocal_rank", "ndcg"])
+    return out.select("slice", "examples", "scored", *[F.round(c, 6).alias(c) for c in ("recall", "reciprocal_rank", "ndcg")])
+
+
+def family_splits(spark: SparkSession, folder: str) -> DataFrame:
+    own = table(spark, folder, "selection").select(tidy("event_family_id").alias("family"))
+    return selection.family_splits(own, "family", FRACTIONS, "42")
+
+
+def split_leakage(spark: SparkSession, folder: str) -> DataFrame:
+    own = table(spark, folder, "selection").select(tidy("event_family_id").alias("family"), tidy("proposed_split").alias("split"))
+    return selection.leaking_families(own, "family", "split")
+
+
+def first_per_event(spark: SparkSession, folder: str) -> DataFrame:
+    own = table(spark, folder, "selection").select("event_id", tidy("source_id").alias("source_id"), tidy("event_family_id").alias("family"))
+    return selection.first_per_key(own, "event_id", "source_id", ["family"])
+
+
+def replacement_events(spark: SparkSession, folder: str) -> DataFrame:
+    """For the smallest event of each split, the event drawn in its place."""
+    own = table(spark, folder, "selection").select("event_id", tidy("proposed_split").alias("split"))
+    rejected = own.where("split IS NOT NULL").groupBy("split").agg(F.min("event_id").alias("event_id"))
+    return selection.replacements(own.select("event_id"), rejected, "7")
+
+
+def event_features(spark: SparkSession, folder: str) -> DataFrame:
+    """How many records have each feature."""
+    own = one_per_key(table(spark, folder, "selection"), "event_id", ["occurred_on", "metadata"])
+    named = {n: F.col(f"metadata.{n}") for n in ("severity", "event_type", "weather", "report_type")}
+    return own.select(F.explode(selection.features(F.col("occurred_on"), named)).alias("feature")).groupBy("feature").agg(F.count("*").alias("n_records"))
+
+
+def diverse_events(spark: SparkSession, folder: str) -> DataFrame:
+    own = one_per_key(table(spark, folder, "selection"), "event_id", ["occurred_on", "metadata"])
+    named = {n: F.col(f"metadata.{n}") for n in ("severity", "event_type", "weather", "report_type")}
+    return selection.diverse(own.select(F.col("event_id").alias("source_id"), selection.features(F.col("occurred_on"), named).alias("features")), 40, "42")
+
+
+def discovery_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows over the time in which reports were published, per split."""
+    own = table(spark, folder, "sources").where("published_at IS NOT NULL AND split IS NOT NULL")
+    spans = own.groupBy("split").agg(F.min(F.to_date("published_at")).alias("first"), F.max(F.to_date("published_at")).alias("last"))
+    return selection.discovery_windows(spans, 12, 31).select("split", "number", "begins", "ends")
+
+
+def repeated_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return integrity.repeated_keys(table(spark, folder, "chunks"), ["chunk_id"])
+
+
+def equal_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts that several documents have: digest, documents, and the first of them."""
+    own = table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    return own.groupBy("sha256").agg(F.count("*").alias("n_documents"), F.min("doc_id").alias("first_doc_id")).where("n_documents > 1")
+
+
+def orphan_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of chunks that no source has."""
+    sources = table(spark, folder, "sources").select(F.concat(F.lit("doc-"), "sha256").alias("document_id"))
+    return integrity.missing_parents(table(spark, folder, "chunks"), "document_id", sources, "document_id")
+
+
+def family_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """Families that only selection or only sources has."""
+    own = lambda name: table(spark, folder, name).select(tidy("event_family_id").alias("family"))
+    return integrity.unequal_sides(own("selection"), own("sources"), "family")
+
+
+def pending_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Selected events whose report isn't among the sources yet."""
+    wanted = table(spark, folder, "selection").select("event_id").distinct()
+    return integrity.pending(wanted, table(spark, folder, "sources"), ["event_id"])
+
+
+def span_violations(spark: SparkSession, folder: str) -> DataFrame:
+    return integrity.span_violations(table(spark, folder, "chunks"))
+
+
+def uncovered_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return integrity.uncovered_pages(table(spark, folder, "chunks"))
+
+
+def evidence_violations(spark: SparkSession, folder: str) -> DataFrame:
+    dev = one_per_key(table(spark, folder, "retrieval_dev"), "example_id", ["evidence", "provenance"])
+    sources = one_per_key(table(spark, folder, "sources"), "source_document_id", ["sha256"]).select("source_document_id", F.concat(F.lit("doc-"), "sha256").alias("document_id"))
+    return integrity.evidence_violations(dev.select("example_id", "evidence", F.col("provenance.source_document_ids").alias("declared")), _chunks(spark, folder), sources)
+
+
+def scope_violations(spark: SparkSession, folder: str) -> DataFrame:
+    dev = one_per_key(table(spark, folder, "retrieval_dev"), "example_id", ["report_id", "event_id", "event_family_id", "split"])
+    return integrity.scope_violations(dev, one_per_key(table(spark, folder, "sources"), "source_document_id", ["event_id", "event_family_id", "split"]))
+
+
+def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
+    own = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "text")
+    return chunking.chunked(own).select("chunk_id", "document_id", "start_offset", "end_offset", "section", "kind")
+
+
+def chunk_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    lengths = table(spark, folder, "chunks").select(F.length("text").alias("n"))
+    return metrics.half_even_percentiles(lengths, "n", {"least": 0.0, "median": 0.5, "p95": 0.95, "most": 1.0})
+
+
+def chunk_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    own = _chunks(spark, folder)
+    return own.groupBy("kind").agg(F.count("*").alias("n_chunks"), F.countDistinct("document_id").alias("n_documents"), F.sum(F.length("text").cast("bigint")).alias("n_chars"))
+
+
+def _answered(spark: SparkSession, folder: str) -> DataFrame:
+    """record_id, answer and first quote of the records whose last message is a plain JSON object."""
+    content = F.element_at("messages", -1)["content"]
+    return _sft(spark, folder).where(F.size("messages") > 0).select("record_id", F.get_json_object(content, "$.answer").alias("answer"), F.get_json_object(content, "$.citations[0].quote").alias("quote")).where("answer IS NOT NULL AND quote IS NOT NULL")
+
+
+def token_f1(spark: SparkSession, folder: str) -> DataFrame:
+    own = _answered(spark, folder)
+    return own.select("record_id", F.round(metrics.token_f1(F.col("answer"), F.col("quote")), 6).alias("f1"), metrics.exact_match(F.col("answer"), F.col("quote")).alias("exact"))
+
+
+def numeric_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the answer gives the first number of the quote."""
+    own = _answered(spark, folder).withColumn("target", F.try_element_at(F.regexp_extract_all("quote", F.lit(r"\b\d[\d,]*\b"), F.lit(0)), F.lit(1)))
+    own = own.where("target IS NOT NULL").withColumn("number", F.regexp_replace("target", ",", "").cast("double"))
+    return own.select("record_id", metrics.numeric_match(F.col("answer"), F.col("number")).alias("matched"))
+
+
+def citation_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Evidence of retrieval_dev that names known chunks, against all of it."""
+    dev = one_per_key(table(spark, folder, "retrieval_dev"), "example_id", ["evidence"])
+    cited = dev.select("example_id", F.explode("evidence").alias("e"))
+    known = cited.join(table(spark, folder, "chunks").select("chunk_id").distinct(), F.col("e.chunk_id") == F.col("chunk_id"), "left_semi").groupBy("example_id").agg(F.collect_set("e").alias("known"))
+    held = dev.join(known, "example_id", "left")
+    kind = F.array().cast("array<struct<chunk_id:string,quote:string>>")
+    precision, recall = metrics.citation_scores(F.coalesce("known", kind), F.coalesce("evidence", kind))
+    return held.select("example_id", F.round(precision, 6).alias("precision"), F.round(recall, 6).alias("recall"))
+
+
+def failure_classes(spark: SparkSession, folder: str) -> DataFrame:
+    content = F.try_element_at("messages", F.lit(-1))["content"]
+    return _sft(spark, folder).groupBy(F.coalesce(answers.failure_class(content), F.lit("readable")).alias("failure")).agg(F.count("*").alias("n_records"))
+
+
+def processed_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """The last message of each record on the chunks that the record names."""
+    own = _sft(spark, folder).withColumn("raw", F.try_element_at("messages", F.lit(-1))["content"])
+    context = F.concat_ws("\n", F.transform(F.filter("messages", lambda m: tidy(m["role"]) == "user"), lambda m: m["content"]))
+    ids = F.regexp_extract_all(context, F.lit(r'<chunk id="([^"]*)">'), F.lit(1))
+    texts = F.regexp_extract_all(context, F.lit(r'(?s)<chunk id="[^"]*">\s*(.*?)\s*</chunk>'), F.lit(1))
+    own = own.withColumn("ids", ids).withColumn("texts", texts).where(F.size("ids") == F.size("texts"))
+    return own.withColumn("out", answers.postprocess(F.col("raw"), F.col("ids"), F.col("texts"))).select("record_id", "out.answer", F.size("out.citations").alias("n_citations"), "out.abstained", "out.abstention_reason", "out.warnings")
+
+
+def sentence_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return training_records.quality_report(_chunks(spark, folder), "text")
+
+
+def best_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    return training_records.best_sentence(_chunks(spark, folder), "chunk_id", "text", TERMS)
+
+
+def token_budget(spark: SparkSession, folder: str) -> DataFrame:
+    return _sft(spark, folder).select("record_id", training_records.token_estimate(F.col("messages")).cast("bigint").alias("n_tokens"))
+
+
+def chat_rendering(spark: SparkSession, folder: str) -> DataFrame:
+    return _sft(spark, folder).select("record_id", F.sha2(training_records.rendered_chat(F.col("messages")), 256).alias("rendered_sha256"))
+
+
+def training_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    best = best_sentences(spark, folder).join(_chunks(spark, folder).select("chunk_id", "document_id"), "chunk_id")
+    return training_records.round_robin(best, "document_id", "chunk_id", "sentence", 200, 4)
+
+
+def neighbour_records(spark: SparkSession, folder: str) -> DataFrame:
+    return training_records.neighbours(_sft(spark, folder), "record_id")
+
+
+def public_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The columns of held-out items that may be shown: no question, answer or evidence."""
+    own = one_per_key(table(spark, folder, "retrieval_test"), "example_id", ["event_family_id", "report_id", "split"])
+    return own.select("example_id", "event_family_id", "report_id", "split")
+
+
+def family_token_sums(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and tokens per source and language, with totals per source and overall (null where rolled up)."""
+    own = table(spark, folder, "documents").select(F.coalesce(tidy("source"), F.lit("?")).alias("source"), F.coalesce("lang", F.lit("?")).alias("lang"), "n_tokens", tokens("text").alias("t"))
+    return own.rollup("source", "lang").agg(F.count("*").alias("n_documents"), F.sum(F.col("n_tokens").cast("bigint")).alias("n_tokens"), F.sum(F.size("t").cast("bigint")).alias("n_terms"))
+
+
+_QUERIES = (
+    bm25_topk, bm25_scoped, dense_topk, hybrid_rrf, rerank_topk, context_budget, context_passage, term_spread, retrieval_metrics, retrieval_slices, family_splits, split_leakage,
+    first_per_event, replacement_events, event_features, diverse_events, discovery_windows, repeated_chunks, equal_documents, orphan_documents, family_coverage, pending_events,
+    span_violations, uncovered_pages, evidence_violations, scope_violations, chunk_documents, chunk_lengths, chunk_kinds, token_f1, numeric_matches, citation_scores, failure_classes,
+    processed_answers, sentence_quality, best_sentences, token_budget, chat_rendering, training_rounds, neighbour_records, public_manifest, family_token_sums,
+)
+QUERIES = {f.__name__: f for f in _QUERIES}
+
+# ---------------------------------------------------------------- the same in SQL
+
+
+def _tok(x: str) -> str:
+    return rf"regexp_extract_all(replace(lower(coalesce({x}, '')), 'ß', 'ss'), '[\p{{L}}\p{{N}}_]+(?:[-./][\p{{L}}\p{{N}}_]+)*')"
+
+
+def _tidy(x: str) -> str:
+    return rf"nullif(lower(regexp_replace({x}, '^\s+|\s+$', '', 'g')), '')"
+
+
+_BASE = f"""
+ch AS (SELECT chunk_id, max(text) AS text, max(document_id) AS document_id, max(kind) AS kind FROM chunks WHERE chunk_id IS NOT NULL GROUP BY 1),
+qs AS (SELECT example_id AS query_id, max(question) AS text FROM retrieval_test WHERE example_id IS NOT NULL GROUP BY 1),
+tk AS MATERIALIZED (SELECT chunk_id, {_tok('text')} AS t FROM ch),
+dl AS (SELECT chunk_id, CAST(len(t) AS DOUBLE) AS l FROM tk),
+tf AS MATERIALIZED (SELECT chunk_id, term, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT chunk_id, unnest(t) AS term FROM tk) GROUP BY 1, 2),
+df AS MATERIALIZED (SELECT term, CAST(count(*) AS DOUBLE) AS df FROM tf GROUP BY 1),
+st AS (SELECT CAST(count(*) AS DOUBLE) AS n, greatest(avg(l), 1.0) AS a FROM dl)"""
+_SCORE = "sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a)))"
+_BM25 = _BASE + f""",
+qt AS (SELECT DISTINCT query_id, unnest({_tok('text')}) AS term FROM qs),
+sc AS (SELECT query_id, chunk_id, {_SCORE} AS s FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (chunk_id), st GROUP BY 1, 2),
+al AS (SELECT q.query_id, c.chunk_id, coalesce(s, 0.0) AS s FROM qs q CROSS JOIN ch c LEFT JOIN sc ON sc.query_id = q.query_id AND sc.chunk_id = c.chunk_id),
+rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, chunk_id) AS INT) AS rank FROM al QUALIFY rank <= 30)"""
+_OVER = f"""
+ov AS (SELECT r.query_id, r.chunk_id, r.rank, r.s, c.text,
+  CAST(len(list_intersect(list_distinct({_tok('q.text')}), {_tok('c.text')})) AS DOUBLE) / greatest(len(list_distinct({_tok('q.text')})), 1) AS o
+  FROM rk r JOIN ch c USING (chunk_id) JOIN qs q USING (query_id))"""
+_METRIC = """,
+gold AS (SELECT DISTINCT query_id, chunk_id FROM (SELECT example_id AS query_id, unnest(evidence).chunk_id AS chunk_id FROM retrieval_test) WHERE chunk_id IS NOT NULL),
+fd AS (SELECT g.query_id, count(*) AS n_gold, count(r.rank) AS f, min(r.rank) AS first, coalesce(sum(1 / log2(r.rank + 1)), 0.0) AS gain
+  FROM gold g LEFT JOIN (SELECT * FROM rk WHERE rank <= 10) r ON r.query_id = g.query_id AND r.chunk_id = g.chunk_id GROUP BY 1),
+hits AS (SELECT query_id, count(*) AS h FROM rk WHERE rank <= 10 GROUP BY 1),
+ms AS (SELECT q.query_id, coalesce(n_gold, 0) AS n_gold, CAST(f AS DOUBLE) / n_gold AS recall,
+  CASE WHEN n_gold > 0 THEN coalesce(1.0 / first, 0.0) END AS reciprocal_rank,
+  CASE WHEN n_gold > 0 THEN gain / list_sum([1 / log2(i + 1) for i in range(1, least(n_gold, h) + 1)]) END AS ndcg
+  FROM qs q LEFT JOIN fd USING (query_id) LEFT JOIN hits USING (query_id))"""
+_ROUNDED = "round(recall, 6) AS recall, round(reciprocal_rank, 6) AS reciprocal_rank, round(ndcg, 6) AS ndcg"
+_SF = "sf AS (SELECT record_id, any_value(messages) AS messages FROM sft WHERE record_id IS NOT NULL GROUP BY 1)"
+_CONTENT = "messages[-1].content"
+_ANSWERED = f"""{_SF},
+an AS (SELECT record_id, j ->> '$.answer' AS answer, j ->> '$.citations[0].quote' AS quote
+  FROM (SELECT record_id, CASE WHEN json_valid({_CONTENT}) THEN CAST({_CONTENT} AS JSON) END AS j FROM sf WHERE len(messages) > 0)
+  WHERE answer IS NOT NULL AND quote IS NOT NULL)"""
+_SENT = r"string_split(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+_REASON = "CASE " + " ".join(f"WHEN regexp_matches(s, '(?s){p}') THEN '{n}'" for n, p in training_records.REASONS.items()) + " END"
+_PLAIN = lambda x: rf"array_to_string(list_filter(regexp_split_to_array(trim(regexp_replace(translate(replace(lower({x}), 'ß', 'ss'), '{PUNCTUATION.replace(chr(39), chr(39) * 2)}', ''), '\s+', ' ', 'g')), ' '), lambda t: t NOT IN ('a', 'an', 'the', '')), ' ')"
+_FEATURE = lambda c: f"coalesce(nullif(lower(trim(metadata.{c})), ''), 'unknown')"
+
+ORACLES = {
+    "bm25_topk": f"WITH {_BM25} SELECT query_id, chunk_id, rank, round(s, 6) AS score FROM rk WHERE rank <= 10",
+    "bm25_scoped": f"""WITH {_BASE},
+so AS (SELECT source_document_id, max('doc-' || sha256) AS scope FROM sources GROUP BY 1),
+dq AS (SELECT example_id AS query_id, max(question) AS text, max(report_id) AS report_id FROM retrieval_dev GROUP BY 1),
+sq AS (SELECT query_id, text, scope FROM dq JOIN so ON dq.report_id = so.source_document_id),
+pr AS (SELECT q.query_id, c.chunk_id FROM sq q JOIN ch c ON c.document_id = q.scope),
+qt AS (SELECT DISTINCT query_id, unnest({_tok('text')}) AS term FROM sq),
+sc AS (SELECT query_id, chunk_id, {_SCORE} AS s FROM pr JOIN qt USING (query_id) JOIN tf USING (chunk_id, term) JOIN df USING (term) JOIN dl USING (chunk_id), st GROUP BY 1, 2),
+al AS (SELECT query_id, chunk_id, coalesce(s, 0.0) AS s FROM pr LEFT JOIN sc USING (query_id, chunk_id))
+SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, chunk_id) AS INT) AS rank, round(s, 6) AS score FROM al QUALIFY rank <= 5""",
+    "dense_topk": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+p AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e) / sqrt(list_dot_product(q.e, q.e) * list_dot_product(v.e, v.e)) AS s FROM v q CROSS JOIN v WHERE q.vec_id % 50 = 0)
+SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS INT) AS rank, round(greatest(s, 0.0), 6) AS score FROM p QUALIFY rank <= 10""",
+    "hybrid_rrf": f"""WITH {_BM25}, {_OVER},
+o2 AS (SELECT query_id, chunk_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY round(o, 9) DESC, chunk_id) AS r2 FROM ov),
+fu AS (SELECT query_id, chunk_id, 0.25::DOUBLE / (60 + rank) + 0.75::DOUBLE / (60 + r2) AS s FROM o2)
+SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, chunk_id) AS INT) AS rank, round(s, 6) AS score FROM fu QUALIFY rank <= 10""",
+    "rerank_topk": f"""WITH {_BM25}, {_OVER},
+k AS (SELECT query_id, chunk_id, round(o, 9) AS o, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(o, 9) DESC, rank, chunk_id) AS INT) AS r FROM ov WHERE rank <= 20 QUALIFY r <= 5)
+SELECT query_id, chunk_id, r AS rank, round(o - min(o) OVER (PARTITION BY query_id), 6) AS score FROM k""",
+    "context_budget": f"""WITH {_BM25},
+p AS (SELECT query_id, chunk_id, rank, length(text) AS n, coalesce(sum(length(text)) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
+  FROM rk JOIN ch USING (chunk_id) WHERE rank <= 10 AND length(trim(text)) > 0)
+SELECT query_id, chunk_id, rank, CAST(least(n, 4000 - b) AS BIGINT) AS n_chars FROM p WHERE b < 4000""",
+    "term_spread": f"WITH {_BASE} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY 1",
+    "retrieval_metrics": f"WITH {_BM25}{_METRIC} SELECT query_id, CAST(n_gold AS BIGINT) AS n_gold, {_ROUNDED} FROM ms",
+    "retrieval_slices": f"""WITH {_BM25}{_METRIC},
+ex AS (SELECT example_id AS query_id, any_value(answerable) AS answerable, max(question) AS question FROM retrieval_test GROUP BY 1),
+sl AS (SELECT ms.*, unnest(['overall', 'answerable:' || coalesce(CAST(answerable AS VARCHAR), 'none'),
+  'query:' || CASE WHEN len(list_filter(regexp_extract_all(question, '[A-Z0-9-]+'), lambda t: length(t) >= 5 AND regexp_matches(t, '[A-Z]') AND regexp_matches(t, '[0-9]'))) > 0 THEN 'identifier' ELSE 'natural-language' END]) AS slice
+  FROM ms JOIN ex USING (query_id))
+SELECT slice, count(*) AS examples, count(recall) AS scored, round(avg(recall), 6) AS recall, round(avg(reciprocal_rank), 6) AS reciprocal_rank, round(avg(ndcg), 6) AS ndcg FROM sl GROUP BY 1""",
+    "family_splits": f"""WITH f AS (SELECT DISTINCT {_tidy('event_family_id')} AS family FROM selection WHERE {_tidy('event_family_id')} IS NOT NULL),
+d AS (SELECT family, sha256('42' || chr(0) || family) AS digest FROM f),
+n AS (SELECT count(*) AS n FROM f),
+q AS (SELECT n, floor(n * 0.8) AS a, floor(n * 0.1) AS b, n * 0.8 - floor(n * 0.8) AS ra, n * 0.1 - floor(n * 0.1) AS rb FROM n),
+w AS (SELECT a + CASE WHEN n - a - 2 * b >= 1 AND (ra >= rb OR n - a - 2 * b >= 3) THEN 1 WHEN n - a - 2 * b = 3 THEN 1 ELSE 0 END AS a,
+  b + CASE WHEN (ra >= rb AND n - a - 2 * b >= 2) OR (ra < rb AND n - a - 2 * b >= 1) THEN 1 ELSE 0 END AS b FROM q)
+SELECT family, digest, CASE WHEN r <= a THEN 'train' WHEN r <= a + b THEN 'development' ELSE 'test' END AS split
+FROM (SELECT family, digest, row_number() OVER (ORDER BY digest, family) AS r FROM d), w""",
+    "split_leakage": f"""SELECT {_tidy('event_family_id')} AS family, count(DISTINCT {_tidy('proposed_split')}) AS n_splits, count(*) AS n_rows
+FROM selection WHERE {_tidy('event_family_id')} IS NOT NULL GROUP BY 1 HAVING n_splits > 1""",
+    "first_per_event": f"""SELECT event_id, source_id, family FROM (
+  SELECT event_id, {_tidy('source_id')} AS source_id, {_tidy('event_family_id')} AS family FROM selection WHERE event_id IS NOT NULL)
+QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY source_id NULLS LAST, family NULLS FIRST) = 1""",
+    "replacement_events": f"""WITH o AS (SELECT event_id, {_tidy('proposed_split')} AS split FROM selection),
+r AS (SELECT split, min(event_id) AS event_id FROM o WHERE split IS NOT NULL GROUP BY 1),
+c AS (SELECT DISTINCT event_id FROM o WHERE event_id IS NOT NULL AND event_id NOT IN (SELECT event_id FROM r))
+SELECT r.split, arg_min(c.event_id, sha256('7' || chr(0) || 'replacement' || chr(0) || r.split || chr(0) || c.event_id)) AS event_id FROM r CROSS JOIN c GROUP BY 1""",
+    "event_features": f"""WITH o AS (SELECT event_id, any_value(metadata) AS metadata, any_value(occurred_on) AS d FROM selection GROUP BY 1)
+SELECT unnest(['year:' || coalesce(CAST(year(d) AS VARCHAR), 'unknown'), {', '.join(f"'{c}:' || " + _FEATURE(c) for c in ('severity', 'event_type', 'weather', 'report_type'))}]) AS feature, count(*) AS n_records FROM o GROUP BY 1""",
+    "discovery_windows": """WITH s AS (SELECT split, CAST(min(published_at) AS DATE) AS a, CAST(max(published_at) AS DATE) AS b FROM sources WHERE published_at IS NOT NULL AND split IS NOT NULL GROUP BY 1),
+n AS (SELECT *, b - a + 1 AS days, least(12, b - a + 1) AS c FROM s),
+w AS (SELECT split, a, b, c, days, unnest(range(0, c)) AS number FROM n)
+SELECT split, CAST(number AS INT) AS number, a + CAST(CASE WHEN c = 1 THEN 0 ELSE number * (days - 1) // (c - 1) END AS INT) AS begins,
+  least(b, a + CAST(CASE WHEN c = 1 THEN 0 ELSE number * (days - 1) // (c - 1) END AS INT) + 30) AS ends FROM w""",
+    "repeated_chunks": "SELECT chunk_id, count(*) AS n_rows FROM chunks WHERE chunk_id IS NOT NULL GROUP BY 1 HAVING n_rows > 1",
+    "equal_documents": "SELECT sha256(text) AS sha256, count(*) AS n_documents, min(doc_id) AS first_doc_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING n_documents > 1",
+    "orphan_documents": "SELECT document_id, count(*) AS n_rows FROM chunks WHERE document_id IS NOT NULL AND document_id NOT IN (SELECT 'doc-' || sha256 FROM sources WHERE sha256 IS NOT NULL) GROUP BY 1",
+    "family_coverage": f"""WITH l AS (SELECT DISTINCT {_tidy('event_family_id')} AS family FROM selection), r AS (SELECT DISTINCT {_tidy('event_family_id')} AS family FROM sources)
+SELECT coalesce(l.family, r.family) AS family, CASE WHEN r.family IS NULL THEN 'left_only' ELSE 'right_only' END AS side
+FROM (FROM l WHERE family IS NOT NULL) l FULL JOIN (FROM r WHERE family IS NOT NULL) r ON l.family = r.family WHERE l.family IS NULL OR r.family IS NULL""",
+    "pending_events": "SELECT DISTINCT event_id FROM selection s WHERE NOT EXISTS (SELECT 1 FROM sources o WHERE o.event_id = s.event_id)",
+    "span_violations": """SELECT DISTINCT chunk_id, unnest(list_filter([CASE WHEN start_offset < 0 THEN 'negative_start' END, CASE WHEN end_offset <= start_offset THEN 'empty_span' END,
+  CASE WHEN length(text) <> end_offset - start_offset THEN 'length_differs' END, CASE WHEN page_end < page_start THEN 'pages_reversed' END, CASE WHEN page_start < 1 THEN 'page_below_one' END], lambda x: x IS NOT NULL)) AS problem
+FROM chunks WHERE chunk_id IS NOT NULL""",
+    "uncovered_pages": """WITH o AS (SELECT document_id, page_start AS a, page_end AS b FROM chunks WHERE document_id IS NOT NULL AND page_end >= page_start),
+have AS (SELECT DISTINCT document_id, unnest(range(a, b + 1)) AS page FROM o), due AS (SELECT document_id, unnest(range(min(a), max(b) + 1)) AS page FROM o GROUP BY 1)
+SELECT document_id, CAST(page AS INT) AS page FROM due EXCEPT SELECT document_id, CAST(page AS INT) FROM have""",
+    "evidence_violations": """WITH d AS (SELECT example_id, any_value(evidence) AS evidence, any_value(provenance) AS provenance FROM retrieval_dev WHERE example_id IS NOT NULL GROUP BY 1),
+c AS (SELECT example_id, provenance.source_document_ids AS declared, e.chunk_id AS chunk_id, e.quote AS quote FROM (SELECT example_id, provenance, unnest(evidence) AS e FROM d)),
+ch AS (SELECT chunk_id, max(text) AS text, max(document_id) AS document_id FROM chunks GROUP BY 1),
+so AS (SELECT source_document_id, max('doc-' || sha256) AS document_id FROM sources GROUP BY 1),
+j AS (SELECT DISTINCT c.example_id, c.chunk_id, CASE WHEN ch.text IS NULL THEN 'unknown_chunk' WHEN so.source_document_id IS NULL THEN 'unknown_source'
+  WHEN NOT list_contains(declared, so.source_document_id) THEN 'undeclared_source' WHEN NOT contains(ch.text, quote) THEN 'quote_not_found' END AS problem
+  FROM c LEFT JOIN ch ON ch.chunk_id = c.chunk_id LEFT JOIN so ON so.document_id = ch.document_id)
+SELECT example_id, chunk_id, problem FROM j WHERE problem IS NOT NULL""",
+    "scope_violations": """WITH d AS (SELECT DISTINCT example_id, report_id, event_id, event_family_id, split FROM retrieval_dev WHERE example_id IS NOT NULL),
+s AS (SELECT source_document_id, any_value(event_id) AS e, any_value(event_family_id) AS f, any_value(split) AS p FROM sources GROUP BY 1)
+SELECT DISTINCT example_id, unnest(list_filter([CASE WHEN e IS NULL THEN 'unknown_report' END, CASE WHEN event_id <> e THEN 'event_differs' END,
+  CASE WHEN event_family_id <> f THEN 'family_differs' END, CASE WHEN split <> p THEN 'split_differs' END], lambda x: x IS NOT NULL)) AS problem
+FROM d LEFT JOIN s ON d.report_id = s.source_document_id""",
+    "chunk_lengths": """WITH l AS (SELECT length(text) AS n, row_number() OVER (ORDER BY length(text)) - 1 AS i, count(*) OVER () AS c FROM chunks WHERE text IS NOT NULL)
+SELECT min(CASE WHEN i = 0 THEN n END) AS least, min(CASE WHEN i = round_even((c - 1) * 0.5, 0) THEN n END) AS median, min(CASE WHEN i = round_even((c - 1) * 0.95, 0) THEN n END) AS p95, max(n) AS most FROM l""",
+    "chunk_kinds": "WITH ch AS (SELECT chunk_id, max(kind) AS kind, max(document_id) AS document_id, max(text) AS text FROM chunks WHERE chunk_id IS NOT NULL GROUP BY 1) SELECT kind, count(*) AS n_chunks, count(DISTINCT document_id) AS n_documents, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM ch GROUP BY 1",
+    "token_f1": f"""WITH {_ANSWERED},
+t AS (SELECT record_id, answer, quote, {_tok('answer')} AS a, {_tok('quote')} AS b FROM an),
+c AS (SELECT *, CAST(coalesce(list_sum([least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))) for x in list_distinct(list_intersect(a, b))]), 0) AS DOUBLE) AS k FROM t)
+SELECT record_id, round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE 2.0 * k / (len(a) + len(b)) END, 6) AS f1, {_PLAIN('answer')} = {_PLAIN('quote')} AS exact FROM c""",
+    "citation_scores": """WITH d AS (SELECT example_id, any_value(evidence) AS evidence FROM retrieval_dev WHERE example_id IS NOT NULL GROUP BY 1),
+u AS (SELECT DISTINCT example_id, e.chunk_id AS c, e.quote AS q FROM (SELECT example_id, unnest(evidence) AS e FROM d)),
+k AS (SELECT example_id, count(*) AS g, count(*) FILTER (WHERE c IN (SELECT chunk_id FROM chunks WHERE chunk_id IS NOT NULL)) AS p FROM u GROUP BY 1)
+SELECT example_id, CASE WHEN coalesce(p, 0) > 0 THEN 1.0 WHEN coalesce(g, 0) = 0 THEN 1.0 ELSE 0.0 END AS precision, CASE WHEN coalesce(g, 0) > 0 THEN round(p / g, 6) ELSE 1.0 END AS recall
+FROM d LEFT JOIN k USING (example_id)""",
+    "sentence_quality": f"""WITH {_BASE.split('qs AS')[0].strip().rstrip(',')}, s AS (SELECT unnest({_SENT}) AS s FROM ch)
+SELECT coalesce({_REASON}, 'accepted') AS reason, count(*) AS n_sentences FROM s WHERE s <> '' GROUP BY 1""",
+    "best_sentences": f"""WITH {_BASE.split('qs AS')[0].strip().rstrip(',')}, s AS (SELECT chunk_id, unnest({_SENT}) AS s FROM ch),
+g AS (SELECT chunk_id, s, {' + '.join(f"CAST(contains(lower(s), '{t}') AS INT)" for t in TERMS)} AS relevance FROM s WHERE {_REASON} IS NULL)
+SELECT chunk_id, s AS sentence, relevance FROM g WHERE relevance > 0 QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY relevance DESC, length(s) DESC, s DESC) = 1""",
+    "token_budget": rf"WITH {_SF} SELECT record_id, CAST(coalesce(list_sum([len(list_filter(regexp_split_to_array(coalesce(m.content, ''), '\s+'), lambda w: w <> '')) + 4 for m in messages]), 0) AS BIGINT) AS n_tokens FROM sf",
+    "chat_rendering": f"WITH {_SF} SELECT record_id, sha256(array_to_string([ '[' || upper(trim(coalesce(m.role, ''))) || ']' || chr(10) || coalesce(m.content, '') for m in messages], chr(10) || chr(10))) AS rendered_sha256 FROM sf",
+    "public_manifest": "SELECT example_id, any_value(event_family_id) AS event_family_id, any_value(report_id) AS report_id, any_value(split) AS split FROM retrieval_test WHERE example_id IS NOT NULL GROUP BY 1",
+    "family_token_sums": f"""SELECT source, lang, count(*) AS n_documents, CAST(sum(n_tokens) AS BIGINT) AS n_tokens, CAST(sum(n) AS BIGINT) AS n_terms
+FROM (SELECT coalesce({_tidy('source')}, '?') AS source, coalesce(lang, '?') AS lang, n_tokens, len({_tok('text')}) AS n FROM documents) GROUP BY ROLLUP (source, lang)""",
+}
