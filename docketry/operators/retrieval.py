@@ -64,7 +64,7 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int, sent_cells: int = S
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place, asked, names = sent.value
         best: pd.DataFrame | None = None
-        for batch in batches:
+        for batch in batches if names else ():
             for part in (batch[i : i + 1000] for i in range(0, len(batch), 1000)):
                 weights = np.zeros((len(part), len(place)))
                 for i, terms in enumerate(part["terms"]):
@@ -88,7 +88,8 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int, sent_cells: int = S
 def _kept(best: pd.DataFrame, k: int) -> pd.DataFrame:
     item = best.columns[1]
     ordered = best.assign(_s=-best["score"].round(9)).sort_values(["query_id", "_s", item], kind="stable")
-    return ordered.groupby("query_id", sort=False).head(k).drop(columns="_s")
+    kept = ordered.groupby("query_id", sort=False).head(k).drop(columns="_s")
+    return kept.astype({c: object for c in kept.columns[:2]})  # ids as plain objects: joined string columns come in pieces
 
 
 def bm25_scores(own: DataFrame, wanted: DataFrame, frequencies: DataFrame, n: int, mean: float) -> DataFrame:
