@@ -106,8 +106,10 @@ def _bm25_by_shuffle(own: DataFrame, queries: DataFrame, wanted: DataFrame, freq
     held = positive.groupBy("query_id").agg(F.count("*").alias("_n"))
     short = queries.join(held, "query_id", "left").where(F.coalesce("_n", F.lit(0)) < k).select("query_id")
     # Only the first 2 k ids can fill ranks: at most k of them are taken already.
-    fill = own.select("chunk_id").orderBy("chunk_id").limit(2 * k)
-    zeros = short.crossJoin(F.broadcast(fill)).join(positive.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
+    first = [F.lit(r[0]) for r in own.select("chunk_id").orderBy("chunk_id").limit(2 * k).collect()]
+    ids = F.array(*first) if first else F.array().cast("array<string>")
+    fill = short.withColumn("chunk_id", F.explode(ids)).withColumn("score", F.lit(0.0))
+    zeros = fill.join(positive.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     return ranked(positive.select("query_id", "chunk_id", "score").unionByName(zeros), k).select("query_id", "chunk_id", "rank", "score")
 
 
