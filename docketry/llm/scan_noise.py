@@ -371,14 +371,14 @@ def repaired(text: str, section: str | None, found: list[dict]) -> str:
             return token
         return token.replace(core, right.upper() if core.isupper() else right[:1].upper() + right[1:] if core[:1].isupper() else right, 1)
 
-    paragraphs: list[str] = []
+    paragraphs: list[tuple[bool, str]] = []  # whether it is a line of a table
     current: list[str] = []
     carried = ""  # the left part of a divided word, for the line in which it ends
     carried_to, through_break = -1, False
 
     def close() -> None:
         if current:
-            paragraphs.append(" ".join(current))
+            paragraphs.append((False, " ".join(current)))
             current.clear()
 
     for i, line in enumerate(page.lines):
@@ -394,7 +394,7 @@ def repaired(text: str, section: str | None, found: list[dict]) -> str:
         through_break = False
         if kind in ("row", "heading", "cell"):
             close()
-            paragraphs.append(line)
+            paragraphs.append((kind != "heading", line))
             continue
         tokens = line.split()
         if carried and i == carried_to:
@@ -413,10 +413,11 @@ def repaired(text: str, section: str | None, found: list[dict]) -> str:
     if carried:
         current.append(carried)
     close()
-    out: list[str] = []
-    for p in paragraphs:  # rows of a table stay together, all else is a paragraph of its own
-        out.append(("\n" if out and "|" in p and "|" in out[-1].rsplit("\n", 1)[-1] else "\n\n" if out else "") + p)
-    return "".join(out)
+    out, before = "", False
+    for row, text in paragraphs:  # lines of a table stay together, all else is a paragraph of its own
+        out += ("\n" if row and before else "\n\n" if out else "") + text
+        before = row
+    return out
 
 
 def repaired_texts(chunks: DataFrame) -> DataFrame:
