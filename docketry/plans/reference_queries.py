@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions.text import PUNCTUATION, tokens
 from docketry.operators import answers, chunking, integrity, metrics, retrieval, selection, training_records
+from docketry.sources import snapshots
 from docketry.sources.tables import one_per_key, table, tidy
 
 FRACTIONS = (("train", 0.8), ("development", 0.1), ("test", 0.1))
@@ -290,7 +291,26 @@ def family_token_sums(spark: SparkSession, folder: str) -> DataFrame:
     return own.rollup("source", "lang").agg(F.count("*").alias("n_documents"), F.sum(F.col("n_tokens").cast("bigint")).alias("n_tokens"), F.sum(F.size("t").cast("bigint")).alias("n_terms"))
 
 
+def report_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the reports of selected events may be fetched, and if not, why."""
+    problem = snapshots.url_problem(F.col("report_url"), ["dockets.inquiry.example"])
+    return table(spark, folder, "selection").groupBy(F.coalesce(problem, F.lit("allowed")).alias("verdict")).agg(F.count("*").alias("n_rows"))
+
+
+def snapshot_prefixes(spark: SparkSession, folder: str) -> DataFrame:
+    """Different bodies per partition of the content-addressed store."""
+    own = snapshots.with_digest(table(spark, folder, "documents").select("text"), "text").where("sha256 IS NOT NULL")
+    return own.groupBy("prefix").agg(F.countDistinct("sha256").alias("n_bodies"), F.count("*").alias("n_rows"))
+
+
+def event_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """Events per type and month, with the field of their JSON properties."""
+    own = table(spark, folder, "events").select(tidy("event_type").alias("event_type"), F.date_format("ts", "yyyy-MM").alias("month"), F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    return own.groupBy("event_type", "month").agg(F.count("*").alias("n_events"), F.count("k").alias("n_with_k"), F.sum("k").alias("sum_k"))
+
+
 _QUERIES = (
+    report_urls, snapshot_prefixes, event_profile,
     bm25_topk, bm25_scoped, dense_topk, hybrid_rrf, rerank_topk, context_budget, context_passage, term_spread, retrieval_metrics, retrieval_slices, family_splits, split_leakage,
     first_per_event, replacement_events, event_features, diverse_events, discovery_windows, repeated_chunks, equal_documents, orphan_documents, family_coverage, pending_events,
     span_violations, uncovered_pages, evidence_violations, scope_violations, chunk_documents, chunk_lengths, chunk_kinds, token_f1, numeric_matches, citation_scores, failure_classes,
@@ -349,6 +369,11 @@ _PLAIN = lambda x: rf"array_to_string(list_filter(regexp_split_to_array(trim(reg
 _FEATURE = lambda c: f"coalesce(nullif(lower(trim(metadata.{c})), ''), 'unknown')"
 
 ORACLES = {
+    "report_urls": r"""SELECT CASE WHEN report_url IS NULL OR trim(report_url) = '' THEN 'missing' WHEN NOT regexp_matches(report_url, '^[a-z]+://[^/]+') THEN 'malformed' WHEN NOT starts_with(lower(report_url), 'https://') THEN 'not_https'
+  WHEN regexp_matches(report_url, '^[a-z]+://[^/]*@') THEN 'credentials' WHEN regexp_matches(report_url, '^[a-z]+://[^/]*:\d+(/|$)') AND NOT regexp_matches(report_url, '^[a-z]+://[^/]*:443(/|$)') THEN 'port'
+  WHEN regexp_extract(lower(report_url), '^[a-z]+://([^/:]+)', 1) <> 'dockets.inquiry.example' THEN 'host' ELSE 'allowed' END AS verdict, count(*) AS n_rows FROM selection GROUP BY 1""",
+    "snapshot_prefixes": "SELECT substr(sha256(text), 1, 2) AS prefix, count(DISTINCT sha256(text)) AS n_bodies, count(*) AS n_rows FROM documents WHERE text IS NOT NULL GROUP BY 1",
+    "event_profile": "SELECT lower(trim(event_type)) AS event_type, strftime(ts, '%Y-%m') AS month, count(*) AS n_events, count(props ->> '$.k') AS n_with_k, CAST(sum(CAST(props ->> '$.k' AS BIGINT)) AS BIGINT) AS sum_k FROM events GROUP BY 1, 2",
     "bm25_topk": f"WITH {_BM25} SELECT query_id, chunk_id, rank, round(s, 6) AS score FROM rk WHERE rank <= 10",
     "bm25_scoped": f"""WITH {_BASE},
 so AS (SELECT source_document_id, max('doc-' || sha256) AS scope FROM sources GROUP BY 1),
