@@ -30,7 +30,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 def p1_coverage(spark: SparkSession, folder: str) -> DataFrame:
     """Items of which tiles of five words or more cover half a passage, in whatever order."""
     known = _test_passages(spark, folder, 5).persist()
-    tiled = tiling.tile_texts(_training_texts(spark, folder), known, 5)
+    tiled = tiling.tile_texts(_training_texts(spark, folder), known, 5, coverage=0.5)
     leaked = tiling.leaked_items(tiled, known, coverage=0.5)
     return leaked.select("found_in", "record_key", "example_id", "longest", F.round("coverage", 4).alias("coverage"))
 

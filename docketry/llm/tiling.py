@@ -200,13 +200,15 @@ def _out(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=pa.schema(fields))
 
 
-def tile_texts(texts: DataFrame, known: DataFrame, least: int = 8, sent_windows: int = SENT_WINDOWS) -> DataFrame:
+def tile_texts(texts: DataFrame, known: DataFrame, least: int = 8, coverage: float = 0.0, sent_windows: int = SENT_WINDOWS) -> DataFrame:
     """Tilings of texts (found_in, record_key, part, text) with passages (see passages): one row per text and passage that
     share a tile of at least least words.
 
     Columns: found_in, record_key, part, passage, passage_words, longest (words of the longest tile), covered (words of
     the passage in tiles), tiles. A text that reads in two ways gives a row for each reading that shares a tile. Null and
-    empty texts and those of fewer words give none. Texts and passages of any length are searched whole.
+    empty texts and those of fewer words give none. Texts and passages of any length are searched whole. With coverage,
+    only tilings that cover that share of their passage are given: tiles consist of shared seeds, so where a passage's
+    shared seeds don't cover as much, the pair is left out before it is tiled.
 
     Seeds are the windows of least words. While the passages have at most sent_windows of them, all tasks get them and
     the texts are read once without a shuffle. A larger set meets the texts' windows in a shuffle by window instead.
@@ -214,7 +216,7 @@ def tile_texts(texts: DataFrame, known: DataFrame, least: int = 8, sent_windows:
     texts = readings(texts.where(F.col("text").isNotNull()).select("found_in", "record_key", F.col("part").cast("int"), "text"), "text")
     windows = known.agg(F.coalesce(F.sum(F.size("words") - (least - 1)), F.lit(0))).first()[0]
     if windows > sent_windows:
-        return _tiled_by_shuffle(texts, known, least)
+        return _tiled_by_shuffle(texts, known, least).where(F.col("covered") >= coverage * F.col("passage_words"))
     held = known.select("passage", "words").toPandas()
     arrays = [np.asarray(x, np.int64).view(U) for x in held["words"]]
     names = [bytes(x) for x in held["passage"]]
@@ -223,10 +225,10 @@ def tile_texts(texts: DataFrame, known: DataFrame, least: int = 8, sent_windows:
     seeds = np.concatenate(grams) if grams else np.zeros(0, U)
     owner = np.repeat(np.arange(len(grams)), [len(x) for x in grams])
     order = np.argsort(seeds, kind="stable")
-    sent = texts.sparkSession.sparkContext.broadcast((seeds[order], owner[order], arrays, names))
+    sent = texts.sparkSession.sparkContext.broadcast((seeds[order], owner[order], arrays, names, grams))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, owner, arrays, names = sent.value
+        seeds, owner, arrays, names, seeds_of = sent.value
         with np.errstate(over="ignore"):
             for batch in batches:
                 column = _plain(batch.column(3))
@@ -246,7 +248,10 @@ def tile_texts(texts: DataFrame, known: DataFrame, least: int = 8, sent_windows:
                         text = words[offsets[r] : offsets[r + 1]]
                         key = tuple(batch.column(i)[a + int(r)].as_py() for i in range(3))
                         for p in sorted({int(x) for i, j in zip(lo, hi, strict=True) for x in owner[i:j]}):
-                            if out := _tiled(key, text, names[p], arrays[p], least):
+                            shared = np.convolve(np.isin(seeds_of[p], values), np.ones(least, int)) > 0
+                            if shared.sum() < coverage * len(arrays[p]):
+                                continue
+                            if (out := _tiled(key, text, names[p], arrays[p], least)) and out["covered"] >= coverage * out["passage_words"]:
                                 rows.append(out)
                     if rows:
                         yield _out(rows)

@@ -55,6 +55,8 @@ def test_reordered_passage_by_coverage(spark):
     known = passages(spark.createDataFrame([("i", " ".join(words))], "item_id string, passage string"), 5)
     got = leaked_items(tile_texts(t, known, 5), known, 0.5).collect()
     assert [(r["record_key"], r["coverage"]) for r in got] == [("1", 1.0)]
+    for sent in (10**6, 0):
+        assert [r["record_key"] for r in tile_texts(t, known, 5, 0.5, sent).collect()] == ["1"]
 
 
 def test_empty_tables(spark):
