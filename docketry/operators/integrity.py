@@ -73,3 +73,43 @@ def scope_violations(examples: DataFrame, sources: DataFrame) -> DataFrame:
     held = examples.join(s, "report_id", "left")
     rules = {"unknown_report": F.col("_e").isNull(), "event_differs": F.col("event_id") != F.col("_e"), "family_differs": F.col("event_family_id") != F.col("_f"), "split_differs": F.col("split") != F.col("_s")}
     return held.select("example_id", F.explode(F.array_compact(F.array(*[F.when(c, n) for n, c in rules.items()]))).alias("problem")).distinct()
+
+
+def example_problems(examples: DataFrame) -> DataFrame:
+    """(example_id, problem) of examples (example_id, question, split, answerable, reference_answer, evidence, provenance)
+    that contradict themselves: without a question, answerable without an answer or evidence, unanswerable with either,
+    reviewed by their author, without a source, or synthetic although held out for the test. Null arrays count as empty."""
+    filled = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    able, answered, cited = F.coalesce("answerable", F.lit(False)), filled("reference_answer"), F.coalesce(F.size("evidence") > 0, F.lit(False))
+    rules = {
+        "no_question": ~filled("question"),
+        "no_answer": able & ~answered,
+        "no_evidence": able & ~cited,
+        "answer_unexpected": ~able & answered,
+        "evidence_unexpected": ~able & cited,
+        "own_reviewer": F.array_contains("provenance.reviewers", F.col("provenance.author")),
+        "no_source": F.coalesce(F.size("provenance.source_document_ids") == 0, F.lit(True)),
+        "synthetic_test": F.col("provenance.is_synthetic") & (F.lower(F.trim("split")) == "test"),
+    }
+    broken = F.array_compact(F.array(*[F.when(c, n) for n, c in rules.items()]))
+    return examples.where("example_id IS NOT NULL").select("example_id", F.explode(broken).alias("problem")).distinct()
+
+
+def record_problems(records: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(record_id, problem) of supervised records (record_id, messages) that don't hold.
+
+    roles: not system, user and assistant in this order; not_json: the last message isn't an object; unknown_chunk: it
+    cites a chunk that isn't in chunks (chunk_id, text); quote_not_found: a quote isn't in the chunk but for white space.
+    Citations meet the chunks in one join by id, so chunks are read once whatever the number of records.
+    """
+    roles = F.transform("messages", lambda m: F.lower(F.trim(m["role"])))
+    content = F.try_element_at("messages", F.lit(-1))["content"]
+    own = records.where("record_id IS NOT NULL").select("record_id", roles.alias("roles"), content.alias("content"))
+    expected = F.array(F.lit("system"), F.lit("user"), F.lit("assistant"))
+    shape = F.array_compact(F.array(F.when(~F.coalesce(F.col("roles") == expected, F.lit(False)), "roles"), F.when(F.json_object_keys("content").isNull(), "not_json")))
+    spans = F.from_json(F.get_json_object("content", "$.citations"), "array<struct<chunk_id:string,quote:string>>")
+    cited = own.select("record_id", F.explode(spans).alias("c")).select("record_id", F.lower(F.trim("c.chunk_id")).alias("chunk_id"), "c.quote").where("chunk_id IS NOT NULL AND quote IS NOT NULL").distinct()
+    known = chunks.where("chunk_id IS NOT NULL").select(F.lower(F.trim("chunk_id")).alias("chunk_id"), "text", F.lit(True).alias("known"))
+    flat = lambda c: F.regexp_replace(c, r"\s+", " ")
+    held = F.when(F.col("known").isNull(), "unknown_chunk").when(~F.coalesce(F.contains(flat("text"), F.trim(flat("quote"))), F.lit(False)), "quote_not_found")
+    return own.select("record_id", F.explode(shape).alias("problem")).union(cited.join(known, "chunk_id", "left").select("record_id", held.alias("problem")).where("problem IS NOT NULL")).distinct()

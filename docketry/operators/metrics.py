@@ -80,7 +80,7 @@ def citation_scores(predicted: Column, gold: Column) -> tuple[Column, Column]:
     return precision, recall
 
 
-def numeric_match(answer: Column, target: Column, tolerance: float = 0.0) -> Column:
+def numeric_match(answer: Column, target: Column, tolerance: Column | float = 0.0) -> Column:
     """Whether any number of answer, commas left out, is within tolerance of target; null answers don't match."""
     numbers = F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(r"(?<![\w.])-?\d[\d,]*(?:\.\d+)?"), F.lit(0))
     return F.exists(numbers, lambda x: F.abs(F.regexp_replace(x, ",", "").cast("double") - target) <= tolerance)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.functions.text import PUNCTUATION, tokens
-from docketry.operators import answers, chunking, integrity, metrics, retrieval, selection, training_records
+from docketry.functions.text import PUNCTUATION, STOP_WORDS, tokens
+from docketry.operators import answers, chunking, evaluation, integrity, metrics, retrieval, selection, training_records
 from docketry.sources import snapshots
 from docketry.sources.tables import one_per_key, table, tidy
 
@@ -42,13 +42,17 @@ def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(_top(spark, folder, 10))
 
 
-def bm25_scoped(spark: SparkSession, folder: str) -> DataFrame:
-    """Questions of retrieval_dev within their report."""
+def _scoped(spark: SparkSession, folder: str, k: int) -> DataFrame:
     sources = one_per_key(table(spark, folder, "sources"), "source_document_id", ["sha256"])
     dev = one_per_key(table(spark, folder, "retrieval_dev"), "example_id", ["question", "report_id"])
     asked = dev.join(sources, dev["report_id"] == sources["source_document_id"]).select(F.col("example_id").alias("query_id"), F.concat(F.lit("doc-"), "sha256").alias("scope"), F.col("question").alias("text"))
     chunks = _chunks(spark, folder).select("chunk_id", F.col("document_id").alias("scope"), "text")
-    return _rounded(retrieval.scoped_bm25(chunks, asked, 5))
+    return retrieval.scoped_bm25(chunks, asked, k)
+
+
+def bm25_scoped(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions of retrieval_dev within their report."""
+    return _rounded(_scoped(spark, folder, 5))
 
 
 def dense_topk(spark: SparkSession, folder: str) -> DataFrame:
@@ -309,7 +313,86 @@ def event_profile(spark: SparkSession, folder: str) -> DataFrame:
     return own.groupBy("event_type", "month").agg(F.count("*").alias("n_events"), F.count("k").alias("n_with_k"), F.sum("k").alias("sum_k"))
 
 
+def key_differences(spark: SparkSession, folder: str) -> DataFrame:
+    """Events of which sources doesn't have exactly one row."""
+    own = lambda name: table(spark, folder, name).select(tidy("event_id").alias("event_id"))
+    return evaluation.key_differences(own("selection"), own("sources"), "event_id")
+
+
+def _dev(spark: SparkSession, folder: str) -> DataFrame:
+    return one_per_key(table(spark, folder, "retrieval_dev"), "example_id", ["question", "split", "answerable", "reference_answer", "evidence", "provenance"])
+
+
+def _passages(spark: SparkSession, folder: str) -> DataFrame:
+    """(example_id, chunk_id, text, passage): of the best chunk in its report the sentence nearest to a question."""
+    asked = _dev(spark, folder).select(F.col("example_id").alias("query_id"), "question")
+    best = _scoped(spark, folder, 1).select("query_id", "chunk_id").join(_chunks(spark, folder).select("chunk_id", "text"), "chunk_id").join(asked, "query_id")
+    return best.join(retrieval.context_passage(best), "query_id").select(F.col("query_id").alias("example_id"), "chunk_id", "text", "passage")
+
+
+def _extracted(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of passages as answers that cite themselves; questions without one abstain."""
+    dev = _dev(spark, folder)
+    cited = F.when(F.col("passage").isNotNull(), F.array(F.struct("chunk_id", F.col("passage").alias("quote"))))
+    given = F.when(F.col("chunk_id").isNotNull(), F.create_map("chunk_id", "text"))
+    held = dev.select("example_id").join(_passages(spark, folder), "example_id", "left")
+    predictions = held.select("example_id", F.col("passage").alias("answer"), cited.alias("citations"), F.col("passage").isNull().alias("abstained"), given.alias("chunks"))
+    return evaluation.answer_scores(dev, predictions).join(dev.select("example_id", "answerable", tidy("split").alias("split")), "example_id")
+
+
+def extracted_answers(spark: SparkSession, folder: str) -> DataFrame:
+    scores = _extracted(spark, folder)
+    rounded = [F.round(c, 6).alias(c) for c in ("citation_precision", "citation_recall", "span_validity")]
+    return scores.select("example_id", "answer_correct", *rounded, "abstention_correct", F.array_join("failures", ",").alias("failures"))
+
+
+def extracted_summary(spark: SparkSession, folder: str) -> DataFrame:
+    out = evaluation.answer_summary(_extracted(spark, folder), {"answerable": F.col("answerable"), "split": F.col("split")})
+    return out.select("slice", "n", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("slice", "n")])
+
+
+def generation_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages as generated texts, with and without the number of their chunk."""
+    top = _passages(spark, folder).select("example_id", "passage", F.array("chunk_id").alias("ids"))
+    variants = F.array(F.struct(F.lit("rag").alias("variant"), F.concat("passage", F.lit(" [1]")).alias("text")), F.struct(F.lit("passage").alias("variant"), F.col("passage").alias("text")))
+    spread = top.select("example_id", "ids", F.explode(variants).alias("v")).select("example_id", "v.variant", "v.text", F.col("ids").alias("retrieved_chunk_ids"), F.col("ids").alias("context_chunk_ids"))
+    out = evaluation.generation_summary(evaluation.generation_scores(spread, _dev(spark, folder)))
+    return out.select("variant", "examples", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("variant", "examples")])
+
+
+def task_accuracy(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages scored by the kind of what is asked: a number of the reference answer, all of it, or nothing at all."""
+    number = F.try_element_at(F.regexp_extract_all("reference_answer", F.lit(r"\b\d[\d,]*\b"), F.lit(0)), F.lit(1))
+    strategy = F.when(~F.coalesce("answerable", F.lit(False)), "abstention_v1").when(F.col("value").isNotNull(), "numeric_exact_or_tolerance_v1").otherwise("required_key_facts_v1")
+    tasks = _dev(spark, folder).withColumn("value", F.regexp_replace(number, ",", "").cast("double")).withColumn("strategy", strategy)
+    held = tasks.join(_passages(spark, folder).select("example_id", "passage"), "example_id", "left")
+    blank = lambda kind: F.lit(None).cast(kind)
+    target = F.struct(F.col("value"), F.lit(0.0).alias("tolerance"), blank("date").alias("day"), blank("string").alias("clock"), blank("array<string>").alias("required"), blank("string").alias("label"))
+    correct = evaluation.task_correct(F.col("strategy"), F.col("passage"), target, F.array("reference_answer"))
+    out = evaluation.task_summary(held.select("strategy", correct.alias("correct")), "strategy", "correct")
+    return out.withColumn("accuracy", F.round("accuracy", 6))
+
+
+def quote_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Evidence of both retrieval tables as it stands in its chunk."""
+    cited = _dev(spark, folder).select("example_id", "evidence").union(_test(spark, folder).select("example_id", "evidence"))
+    return evaluation.quote_spans(cited.select("example_id", F.explode("evidence").alias("e")).select("example_id", "e.chunk_id", "e.quote"), _chunks(spark, folder))
+
+
+def evidence_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    return _test(spark, folder).select("example_id", F.sha2(evaluation.evidence_prompt(F.col("question"), F.col("evidence")), 256).alias("prompt_sha256"))
+
+
+def example_problems(spark: SparkSession, folder: str) -> DataFrame:
+    return integrity.example_problems(table(spark, folder, "retrieval_dev"))
+
+
+def record_problems(spark: SparkSession, folder: str) -> DataFrame:
+    return integrity.record_problems(_sft(spark, folder), _chunks(spark, folder))
+
+
 _QUERIES = (
+    key_differences, extracted_answers, extracted_summary, generation_summary, task_accuracy, quote_spans, evidence_prompts, example_problems, record_problems,
     report_urls, snapshot_prefixes, event_profile,
     bm25_topk, bm25_scoped, dense_topk, hybrid_rrf, rerank_topk, context_budget, context_passage, term_spread, retrieval_metrics, retrieval_slices, family_splits, split_leakage,
     first_per_event, replacement_events, event_features, diverse_events, discovery_windows, repeated_chunks, equal_documents, orphan_documents, family_coverage, pending_events,
@@ -367,22 +450,66 @@ _SENT = r"string_split(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '([
 _REASON = "CASE " + " ".join(f"WHEN regexp_matches(s, '(?s){p}') THEN '{n}'" for n, p in training_records.REASONS.items()) + " END"
 _PLAIN = lambda x: rf"array_to_string(list_filter(regexp_split_to_array(trim(regexp_replace(translate(replace(lower({x}), 'ß', 'ss'), '{PUNCTUATION.replace(chr(39), chr(39) * 2)}', ''), '\s+', ' ', 'g')), ' '), lambda t: t NOT IN ('a', 'an', 'the', '')), ' ')"
 _FEATURE = lambda c: f"coalesce(nullif(lower(trim(metadata.{c})), ''), 'unknown')"
+_SCOPED = _BASE + f""",
+so AS (SELECT source_document_id, max('doc-' || sha256) AS scope FROM sources GROUP BY 1),
+dq AS (SELECT example_id AS query_id, max(question) AS text, max(report_id) AS report_id FROM retrieval_dev GROUP BY 1),
+sq AS (SELECT query_id, text, scope FROM dq JOIN so ON dq.report_id = so.source_document_id),
+pr AS (SELECT q.query_id, c.chunk_id FROM sq q JOIN ch c ON c.document_id = q.scope),
+qt AS (SELECT DISTINCT query_id, unnest({_tok('text')}) AS term FROM sq),
+sc AS (SELECT query_id, chunk_id, {_SCORE} AS s FROM pr JOIN qt USING (query_id) JOIN tf USING (chunk_id, term) JOIN df USING (term) JOIN dl USING (chunk_id), st GROUP BY 1, 2),
+al AS (SELECT query_id, chunk_id, coalesce(s, 0.0) AS s FROM pr LEFT JOIN sc USING (query_id, chunk_id))"""
+_PASSAGE = _SCOPED + rf""",
+ex AS (SELECT example_id, any_value(coalesce(answerable, false)) AS able, any_value(reference_answer) AS ref, any_value(evidence) AS evidence, any_value({_tidy('split')}) AS split FROM retrieval_dev WHERE example_id IS NOT NULL GROUP BY 1),
+top AS (SELECT query_id, chunk_id FROM al QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, chunk_id) = 1),
+wt AS (SELECT query_id, chunk_id, c.text, list_filter(list_distinct({_tok('q.text')}), lambda t: length(t) >= 3 AND t NOT IN {STOP_WORDS}) AS asked,
+  string_split(regexp_replace(c.text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM top JOIN sq q USING (query_id) JOIN ch c USING (chunk_id)),
+st2 AS (SELECT query_id, chunk_id, text, asked, unnest(parts) AS sentence, generate_subscripts(parts, 1) AS pos FROM wt),
+pa AS (SELECT query_id AS example_id, chunk_id, text, substr(sentence, 1, 420) AS passage FROM st2 WHERE length(trim(sentence)) > 0
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY len(list_intersect(asked, list_distinct({_tok('sentence')}))) DESC, pos) = 1),
+gd AS (SELECT DISTINCT example_id, e.chunk_id AS c, e.quote AS q FROM (SELECT example_id, unnest(evidence) AS e FROM ex)),
+gn AS (SELECT example_id, count(*) AS n FROM gd GROUP BY 1)"""
+_EXTRACTED = _PASSAGE + f""",
+ht AS (SELECT DISTINCT pa.example_id FROM pa JOIN gd ON gd.example_id = pa.example_id AND gd.c = pa.chunk_id AND gd.q = pa.passage),
+sr AS (SELECT ex.example_id, able, split, passage IS NULL AS p, coalesce(n, 0) AS n, ht.example_id IS NOT NULL AS h, coalesce(length(ref) > 0 AND {_PLAIN('passage')} = {_PLAIN('ref')}, false) AS same
+  FROM ex LEFT JOIN pa USING (example_id) LEFT JOIN gn USING (example_id) LEFT JOIN ht USING (example_id)),
+ms AS (SELECT example_id, able, split, p, CASE WHEN p THEN NOT able ELSE same END AS answer_correct, CASE WHEN NOT p THEN h::INT::DOUBLE WHEN n = 0 THEN 1.0 ELSE 0.0 END AS citation_precision,
+  CASE WHEN n > 0 THEN h::INT / n WHEN p THEN 1.0 ELSE 0.0 END AS citation_recall, 1.0::DOUBLE AS span_validity, p = NOT able AS abstention_correct, n FROM sr)"""
 
 ORACLES = {
+    "key_differences": f"""WITH a AS (SELECT DISTINCT {_tidy('event_id')} AS event_id FROM selection), b AS (SELECT {_tidy('event_id')} AS event_id, count(*) AS n FROM sources GROUP BY 1)
+SELECT coalesce(a.event_id, b.event_id) AS event_id, CASE WHEN n IS NULL THEN 'missing' WHEN a.event_id IS NULL THEN 'extra' ELSE 'repeated' END AS problem
+FROM (FROM a WHERE event_id IS NOT NULL) a FULL JOIN (FROM b WHERE event_id IS NOT NULL) b ON a.event_id = b.event_id WHERE n IS NULL OR a.event_id IS NULL OR n > 1""",
+    "extracted_answers": f"""WITH {_EXTRACTED}
+SELECT example_id, answer_correct, round(citation_precision, 6) AS citation_precision, round(citation_recall, 6) AS citation_recall, span_validity, abstention_correct,
+  array_to_string(list_filter([CASE WHEN NOT p AND able AND NOT answer_correct THEN 'answer_mismatch' END, CASE WHEN NOT p AND citation_precision < 1 THEN 'incorrect_citation' END, CASE WHEN NOT p AND NOT able THEN 'missed_abstention' END,
+  CASE WHEN n > 0 AND citation_recall < 1 THEN 'missing_gold_citation' END, CASE WHEN p AND able THEN 'unexpected_abstention' END], lambda x: x IS NOT NULL), ',') AS failures FROM ms""",
+    "extracted_summary": f"""WITH {_EXTRACTED},
+sl AS (SELECT *, unnest(['overall', 'answerable:' || able, 'split:' || coalesce(split, 'none')]) AS slice FROM ms)
+SELECT slice, count(*) AS n, round(avg(answer_correct::INT), 6) AS answer_accuracy, round(avg(citation_precision), 6) AS citation_precision, round(avg(citation_recall), 6) AS citation_recall, avg(span_validity) AS span_validity,
+  round(avg(abstention_correct::INT), 6) AS abstention_accuracy, round(coalesce(avg((NOT able)::INT) FILTER (WHERE p), 1.0), 6) AS abstention_precision, round(coalesce(avg(p::INT) FILTER (WHERE NOT able), 1.0), 6) AS abstention_recall FROM sl GROUP BY 1""",
+    "quote_spans": r"""WITH ch AS (SELECT chunk_id, max(text) AS text FROM chunks WHERE chunk_id IS NOT NULL GROUP BY 1),
+ev AS (SELECT example_id, unnest(evidence) AS e FROM retrieval_dev UNION ALL SELECT example_id, unnest(evidence) FROM retrieval_test),
+ci AS (SELECT DISTINCT example_id, e.chunk_id AS chunk_id, e.quote AS quote FROM ev WHERE example_id IS NOT NULL),
+tx AS (SELECT ci.*, text, regexp_replace(quote, '[\s\p{Z}]+', '', 'g') AS q, strpos(regexp_replace(text, '[\s\p{Z}]+', '', 'g'), regexp_replace(quote, '[\s\p{Z}]+', '', 'g')) AS pos FROM ci LEFT JOIN ch USING (chunk_id)),
+pl AS (SELECT *, CASE WHEN q <> '' AND pos > 0 THEN list_filter(range(1, length(text) + 1), lambda i: NOT regexp_matches(substr(text, i, 1), '[\s\p{Z}]')) END AS places FROM tx)
+SELECT example_id, chunk_id, quote, substr(text, places[pos], places[pos + length(q) - 1] - places[pos] + 1) AS span FROM pl""",
+    "evidence_prompts": """WITH t AS (SELECT example_id, max(question) AS question, any_value(evidence) AS evidence FROM retrieval_test WHERE example_id IS NOT NULL GROUP BY 1),
+e AS (SELECT example_id, unnest(evidence) AS e, generate_subscripts(evidence, 1) AS pos FROM t),
+b AS (SELECT example_id, e.chunk_id AS c, min(pos) AS a, string_agg(coalesce(e.quote, ''), chr(10) ORDER BY pos) AS q FROM e GROUP BY 1, 2),
+j AS (SELECT example_id, string_agg('<chunk id="' || coalesce(c, '') || '">' || chr(10) || q || chr(10) || '</chunk>', chr(10) || chr(10) ORDER BY a) AS x FROM b GROUP BY 1)
+SELECT example_id, sha256(coalesce(question || chr(10) || chr(10), '') || coalesce(x, '<no_evidence />')) AS prompt_sha256 FROM t LEFT JOIN j USING (example_id)""",
+    "example_problems": """SELECT DISTINCT example_id, unnest(list_filter([CASE WHEN coalesce(trim(question), '') = '' THEN 'no_question' END, CASE WHEN answerable AND coalesce(trim(reference_answer), '') = '' THEN 'no_answer' END,
+  CASE WHEN answerable AND coalesce(len(evidence), 0) = 0 THEN 'no_evidence' END, CASE WHEN NOT coalesce(answerable, false) AND coalesce(trim(reference_answer), '') <> '' THEN 'answer_unexpected' END,
+  CASE WHEN NOT coalesce(answerable, false) AND len(evidence) > 0 THEN 'evidence_unexpected' END, CASE WHEN list_contains(provenance.reviewers, provenance.author) THEN 'own_reviewer' END,
+  CASE WHEN coalesce(len(provenance.source_document_ids), 0) = 0 THEN 'no_source' END, CASE WHEN provenance.is_synthetic AND lower(trim(split)) = 'test' THEN 'synthetic_test' END], lambda x: x IS NOT NULL)) AS problem
+FROM retrieval_dev WHERE example_id IS NOT NULL""",
     "report_urls": r"""SELECT CASE WHEN report_url IS NULL OR trim(report_url) = '' THEN 'missing' WHEN NOT regexp_matches(report_url, '^[a-z]+://[^/]+') THEN 'malformed' WHEN NOT starts_with(lower(report_url), 'https://') THEN 'not_https'
   WHEN regexp_matches(report_url, '^[a-z]+://[^/]*@') THEN 'credentials' WHEN regexp_matches(report_url, '^[a-z]+://[^/]*:\d+(/|$)') AND NOT regexp_matches(report_url, '^[a-z]+://[^/]*:443(/|$)') THEN 'port'
   WHEN regexp_extract(lower(report_url), '^[a-z]+://([^/:]+)', 1) <> 'dockets.inquiry.example' THEN 'host' ELSE 'allowed' END AS verdict, count(*) AS n_rows FROM selection GROUP BY 1""",
     "snapshot_prefixes": "SELECT substr(sha256(text), 1, 2) AS prefix, count(DISTINCT sha256(text)) AS n_bodies, count(*) AS n_rows FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "event_profile": "SELECT lower(trim(event_type)) AS event_type, strftime(ts, '%Y-%m') AS month, count(*) AS n_events, count(props ->> '$.k') AS n_with_k, CAST(sum(CAST(props ->> '$.k' AS BIGINT)) AS BIGINT) AS sum_k FROM events GROUP BY 1, 2",
     "bm25_topk": f"WITH {_BM25} SELECT query_id, chunk_id, rank, round(s, 6) AS score FROM rk WHERE rank <= 10",
-    "bm25_scoped": f"""WITH {_BASE},
-so AS (SELECT source_document_id, max('doc-' || sha256) AS scope FROM sources GROUP BY 1),
-dq AS (SELECT example_id AS query_id, max(question) AS text, max(report_id) AS report_id FROM retrieval_dev GROUP BY 1),
-sq AS (SELECT query_id, text, scope FROM dq JOIN so ON dq.report_id = so.source_document_id),
-pr AS (SELECT q.query_id, c.chunk_id FROM sq q JOIN ch c ON c.document_id = q.scope),
-qt AS (SELECT DISTINCT query_id, unnest({_tok('text')}) AS term FROM sq),
-sc AS (SELECT query_id, chunk_id, {_SCORE} AS s FROM pr JOIN qt USING (query_id) JOIN tf USING (chunk_id, term) JOIN df USING (term) JOIN dl USING (chunk_id), st GROUP BY 1, 2),
-al AS (SELECT query_id, chunk_id, coalesce(s, 0.0) AS s FROM pr LEFT JOIN sc USING (query_id, chunk_id))
+    "bm25_scoped": f"""WITH {_SCOPED}
 SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, chunk_id) AS INT) AS rank, round(s, 6) AS score FROM al QUALIFY rank <= 5""",
     "dense_topk": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 p AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e) / sqrt(list_dot_product(q.e, q.e) * list_dot_product(v.e, v.e)) AS s FROM v q CROSS JOIN v WHERE q.vec_id % 50 = 0)
