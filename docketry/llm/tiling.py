@@ -140,11 +140,23 @@ def unmarked(text: Column) -> Column:
 DIVIDED = r"(?<=\p{L})[-‐‑][ \t]*\r?\n\s*(?=\p{L})"
 
 
+#: Neighbouring line ends of a text that are read independently of each other.
+FREE_LINE_ENDS = 3
+
+
 def readings(df: DataFrame, text: str) -> DataFrame:
-    """df with text as it reads: where a line ends in a hyphen, once with the word rejoined and once as two words."""
-    df = df.withColumn(text, unmarked(F.col(text)))
-    both = F.when(F.col(text).rlike(DIVIDED), F.array(F.regexp_replace(text, DIVIDED, ""), F.col(text)))
-    return df.withColumn(text, F.explode(F.coalesce(both, F.array(text))))
+    """df with text as it reads: where a line ends in a hyphen, with the word rejoined and as two words.
+
+    Any FREE_LINE_ENDS line ends in a row are read in all combinations, in at most 2 ** FREE_LINE_ENDS readings of a
+    text: reading r takes line end i by bit i modulo FREE_LINE_ENDS of r. Texts without such line ends have one reading.
+    """
+    parts = F.split(F.col(text), DIVIDED)
+    bits = F.least(F.size(parts) - 1, F.lit(FREE_LINE_ENDS))
+    df = df.withColumn(text, unmarked(F.col(text))).withColumn("_parts", parts)
+    df = df.withColumn("_reading", F.explode(F.sequence(F.lit(0), F.when(F.size("_parts") > 1, F.pow(F.lit(2), bits).cast("int") - 1).otherwise(0))))
+    joins = lambda i: F.getbit(F.col("_reading"), i % FREE_LINE_ENDS) == 1
+    read = F.array_join(F.transform("_parts", lambda p, i: F.concat(p, F.when(joins(i) | (i == F.size("_parts") - 1), "").otherwise("-\n"))), "")
+    return df.withColumn(text, F.when(F.size("_parts") > 1, read).otherwise(F.col(text))).drop("_parts", "_reading")
 
 
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")

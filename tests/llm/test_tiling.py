@@ -48,6 +48,13 @@ def test_compound_at_line_end(spark):
     assert set(found(spark, ["the right-\nhand gear was found folded after the event"], items)) == {(0, "i")}
 
 
+def test_each_line_end_reads_by_itself(spark):
+    items = [("i", "the right-hand gear was found folded after the event")]
+    texts = ["the right-\nhand gear was fo-\nund folded after the event", "a-\nb c-\nd the right-hand ge-\nar was fo-\r\n  und folded after the event", "the right-\nhand gear was found-\nfolded aft-\ner the event", "the right-\nhand gear"]
+    for sent in (10**6, 0):
+        assert set(found(spark, texts, items, sent_windows=sent)) == {(0, "i"), (1, "i"), (2, "i")}
+
+
 def test_reordered_passage_by_coverage(spark):
     words = [f"w{i}" for i in range(20)]
     text = " ".join(words[10:] + words[:10])
