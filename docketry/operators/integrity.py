@@ -107,7 +107,8 @@ def record_problems(records: DataFrame, chunks: DataFrame) -> DataFrame:
     own = records.where("record_id IS NOT NULL").select("record_id", roles.alias("roles"), content.alias("content"))
     expected = F.array(F.lit("system"), F.lit("user"), F.lit("assistant"))
     shape = F.array_compact(F.array(F.when(~F.coalesce(F.col("roles") == expected, F.lit(False)), "roles"), F.when(F.json_object_keys("content").isNull(), "not_json")))
-    spans = F.from_json(F.get_json_object("content", "$.citations"), "array<struct<chunk_id:string,quote:string>>")
+    whole = F.when(F.json_object_keys("content").isNotNull(), F.get_json_object("content", "$.citations"))  # not of an object that stops
+    spans = F.from_json(whole, "array<struct<chunk_id:string,quote:string>>")
     cited = own.select("record_id", F.explode(spans).alias("c")).select("record_id", F.lower(F.trim("c.chunk_id")).alias("chunk_id"), "c.quote").where("chunk_id IS NOT NULL AND quote IS NOT NULL").distinct()
     known = chunks.where("chunk_id IS NOT NULL").select(F.lower(F.trim("chunk_id")).alias("chunk_id"), "text", F.lit(True).alias("known"))
     flat = lambda c: F.regexp_replace(c, r"\s+", " ")

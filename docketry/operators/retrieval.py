@@ -202,14 +202,21 @@ def bounded_context(passages: DataFrame, limit: int) -> DataFrame:
     return own.withColumn("_b", before).where(F.col("_b") < limit).withColumn("text", F.expr(f"substring(text, 1, cast({limit} - _b as int))")).drop("_b")
 
 
+def nearest_sentence(question: Column, text: Column, most: int = 420) -> Column:
+    """The sentence of text with most different terms of question, the earliest if several, cut to most characters.
+
+    Terms have three characters at least and aren't stop words. The sentence is given as it stands in text, blanks before
+    the first one included, so that it can be cited. Null where text is null or blank.
+    """
+    asked = F.array_distinct(F.filter(tokens(question), lambda t: (F.length(t) >= 3) & ~t.isin(*STOP_WORDS)))
+    said = F.transform(sentences(text), lambda s, i: F.when(F.length(F.trim(s)) > 0, F.struct(F.size(F.array_intersect(asked, tokens(s))).alias("hits"), (-i).alias("first"), s.alias("sentence"))))
+    return F.substring(F.array_max(said)["sentence"], 1, most)
+
+
 def context_passage(pairs: DataFrame, most: int = 420) -> DataFrame:
-    """(query_id, passage): of each row's text the sentence with most different terms of the question, the earliest if
-    several, cut to most characters. Terms have three characters at least and aren't stop words."""
-    asked = F.array_distinct(F.filter(tokens("question"), lambda t: (F.length(t) >= 3) & ~t.isin(*STOP_WORDS)))
-    said = pairs.select("query_id", asked.alias("asked"), F.posexplode(sentences("text")).alias("at", "sentence")).where(F.length(F.trim("sentence")) > 0)
-    hits = F.size(F.array_intersect("asked", tokens("sentence")))
-    best = said.groupBy("query_id").agg(F.max(F.struct(hits.alias("hits"), (-F.col("at")).alias("first"), "sentence"))["sentence"].alias("passage"))
-    return best.withColumn("passage", F.substring("passage", 1, most))
+    """(query_id, passage) of pairs (query_id, question, text), one per query; see nearest_sentence. Blank texts give no
+    row."""
+    return pairs.select("query_id", nearest_sentence(F.col("question"), F.col("text"), most).alias("passage")).where("passage IS NOT NULL")
 
 
 def term_spread(chunks: DataFrame) -> DataFrame:
@@ -218,4 +225,4 @@ def term_spread(chunks: DataFrame) -> DataFrame:
     return each.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-__all__ = ["bm25_topk", "bm25_scores", "scoped_bm25", "dense_topk", "fused", "reranked", "overlap", "bounded_context", "context_passage", "term_spread", "ranked", "fold"]
+__all__ = ["bm25_topk", "bm25_scores", "scoped_bm25", "dense_topk", "fused", "reranked", "overlap", "bounded_context", "nearest_sentence", "context_passage", "term_spread", "ranked", "fold"]

@@ -327,7 +327,8 @@ def _passages(spark: SparkSession, folder: str) -> DataFrame:
     """(example_id, chunk_id, text, passage): of the best chunk in its report the sentence nearest to a question."""
     asked = _dev(spark, folder).select(F.col("example_id").alias("query_id"), "question")
     best = _scoped(spark, folder, 1).select("query_id", "chunk_id").join(_chunks(spark, folder).select("chunk_id", "text"), "chunk_id").join(asked, "query_id")
-    return best.join(retrieval.context_passage(best), "query_id").select(F.col("query_id").alias("example_id"), "chunk_id", "text", "passage")
+    nearest = retrieval.nearest_sentence(F.col("question"), F.col("text"))
+    return best.select(F.col("query_id").alias("example_id"), "chunk_id", "text", nearest.alias("passage")).where("passage IS NOT NULL")
 
 
 def _extracted(spark: SparkSession, folder: str) -> DataFrame:
@@ -487,6 +488,23 @@ SELECT example_id, answer_correct, round(citation_precision, 6) AS citation_prec
 sl AS (SELECT *, unnest(['overall', 'answerable:' || able, 'split:' || coalesce(split, 'none')]) AS slice FROM ms)
 SELECT slice, count(*) AS n, round(avg(answer_correct::INT), 6) AS answer_accuracy, round(avg(citation_precision), 6) AS citation_precision, round(avg(citation_recall), 6) AS citation_recall, avg(span_validity) AS span_validity,
   round(avg(abstention_correct::INT), 6) AS abstention_accuracy, round(coalesce(avg((NOT able)::INT) FILTER (WHERE p), 1.0), 6) AS abstention_precision, round(coalesce(avg(p::INT) FILTER (WHERE NOT able), 1.0), 6) AS abstention_recall FROM sl GROUP BY 1""",
+    "generation_summary": rf"""WITH {_PASSAGE},
+gv AS (SELECT example_id, able, ref, evidence, chunk_id, unnest([{{'variant': 'rag', 't': passage || ' [1]'}}, {{'variant': 'passage', 't': passage}}]) AS v FROM pa JOIN ex USING (example_id)),
+gt AS (SELECT v.variant AS variant, v.t AS t, able, ref, chunk_id, list_distinct([e.chunk_id for e in coalesce(evidence, [])]) AS gold, {_tok('v.t')} AS a, {_tok('ref')} AS b,
+  list_distinct([CAST(x AS INT) for x in regexp_extract_all(v.t, '\[(\d{{1,9}})\]', 1)]) AS cited FROM gv),
+gs AS (SELECT *, CAST(coalesce(list_sum([least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))) for x in list_distinct(list_intersect(a, b))]), 0) AS DOUBLE) AS k FROM gt)
+SELECT variant, count(*) AS examples, round(avg(CASE WHEN ref IS NOT NULL THEN ({_PLAIN('t')} = {_PLAIN('ref')})::INT END), 6) AS exact_match,
+  round(avg(CASE WHEN ref IS NULL THEN NULL WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE 2.0 * k / (len(a) + len(b)) END), 6) AS token_f1,
+  round(avg(CASE WHEN len(gold) > 0 AND variant = 'rag' THEN list_contains(gold, chunk_id)::INT / len(gold) END), 6) AS gold_coverage,
+  round(avg(CASE WHEN able THEN CASE WHEN len(cited) > 0 THEN list_contains(cited, 1)::INT / len(cited) ELSE 0.0 END END), 6) AS citation_precision, round(avg(CASE WHEN able THEN list_contains(cited, 1)::INT END), 6) AS citation_recall,
+  round(avg(CASE WHEN NOT able THEN regexp_matches(array_to_string(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}_-]+'), ' '), 'do not know|does not specify|not specified|insufficient')::INT END), 6) AS refusal_correct FROM gs GROUP BY 1""",
+    "record_problems": rf"""WITH {_SF},
+ow AS (SELECT record_id, messages, CASE WHEN json_valid({_CONTENT}) AND json_type(CASE WHEN json_valid({_CONTENT}) THEN CAST({_CONTENT} AS JSON) END) = 'OBJECT' THEN CAST({_CONTENT} AS JSON) END AS j FROM sf),
+ci AS (SELECT DISTINCT record_id, lower(trim(c ->> '$.chunk_id')) AS chunk_id, c ->> '$.quote' AS quote FROM (SELECT record_id, unnest(CAST(j -> '$.citations' AS JSON[])) AS c FROM ow)),
+kn AS (SELECT lower(trim(chunk_id)) AS chunk_id, max(text) AS text FROM chunks WHERE chunk_id IS NOT NULL GROUP BY 1)
+SELECT record_id, unnest(list_filter([CASE WHEN coalesce([lower(trim(m.role)) for m in messages] <> ['system', 'user', 'assistant'], true) THEN 'roles' END, CASE WHEN j IS NULL THEN 'not_json' END], lambda x: x IS NOT NULL)) AS problem FROM ow
+UNION SELECT record_id, CASE WHEN kn.chunk_id IS NULL THEN 'unknown_chunk' ELSE 'quote_not_found' END FROM ci LEFT JOIN kn USING (chunk_id)
+WHERE ci.chunk_id IS NOT NULL AND quote IS NOT NULL AND (kn.chunk_id IS NULL OR NOT coalesce(contains(regexp_replace(text, '\s+', ' ', 'g'), trim(regexp_replace(quote, '\s+', ' ', 'g'))), false))""",
     "quote_spans": r"""WITH ch AS (SELECT chunk_id, max(text) AS text FROM chunks WHERE chunk_id IS NOT NULL GROUP BY 1),
 ev AS (SELECT example_id, unnest(evidence) AS e FROM retrieval_dev UNION ALL SELECT example_id, unnest(evidence) FROM retrieval_test),
 ci AS (SELECT DISTINCT example_id, e.chunk_id AS chunk_id, e.quote AS quote FROM ev WHERE example_id IS NOT NULL),

@@ -117,3 +117,14 @@ def test_example_and_record_problems(spark):
     chunks = spark.createDataFrame([("c1 ", "has two\n words"), (None, "x")], "chunk_id string, text string")
     got = {tuple(x) for x in integrity.record_problems(r, chunks).collect()}
     assert got == {("r2", "quote_not_found"), ("r2", "unknown_chunk"), ("r3", "not_json")} | {(k, p) for k in ("r4", "r5", "r6") for p in ("roles", "not_json")}
+
+
+def test_nearest_sentence(spark):
+    from docketry.operators import retrieval
+
+    long = "The rudder jammed " + "x" * 500 + "."
+    rows = [("1", "Did the rudder jam or jammed?", "It was calm. The rudder jammed! A rudder jammed."), ("2", "of it", "First one. Second."), ("3", None, " \n Only."), ("4", "q", " "), ("5", "q", None), ("6", "rudder", "No. " + long)]
+    df = spark.createDataFrame(rows, "query_id string, question string, text string").withColumn("passage", F.lit("clash"))
+    got = {r["query_id"]: r["passage"] for r in retrieval.context_passage(df).collect()}
+    assert got == {"1": "The rudder jammed!", "2": "First one.", "3": " \n Only.", "6": long[:420]}
+    assert retrieval.context_passage(df.limit(0)).count() == 0
