@@ -611,7 +611,7 @@ SELECT record_id, round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 WHEN len(a)
     "citation_scores": """WITH d AS (SELECT example_id, any_value(evidence) AS evidence FROM retrieval_dev WHERE example_id IS NOT NULL GROUP BY 1),
 u AS (SELECT DISTINCT example_id, e.chunk_id AS c, e.quote AS q FROM (SELECT example_id, unnest(evidence) AS e FROM d)),
 k AS (SELECT example_id, count(*) AS g, count(*) FILTER (WHERE c IN (SELECT chunk_id FROM chunks WHERE chunk_id IS NOT NULL)) AS p FROM u GROUP BY 1)
-SELECT example_id, CASE WHEN coalesce(p, 0) > 0 THEN 1.0 WHEN coalesce(g, 0) = 0 THEN 1.0 ELSE 0.0 END AS precision, CASE WHEN coalesce(g, 0) > 0 THEN round(p / g, 6) ELSE 1.0 END AS recall
+SELECT example_id, CAST(CASE WHEN coalesce(p, 0) > 0 THEN 1 WHEN coalesce(g, 0) = 0 THEN 1 ELSE 0 END AS DOUBLE) AS precision, CASE WHEN coalesce(g, 0) > 0 THEN round(p / g, 6) ELSE 1.0 END AS recall
 FROM d LEFT JOIN k USING (example_id)""",
     "sentence_quality": f"""WITH {_BASE.split('qs AS')[0].strip().rstrip(',')}, s AS (SELECT unnest({_SENT}) AS s FROM ch)
 SELECT coalesce({_REASON}, 'accepted') AS reason, count(*) AS n_sentences FROM s WHERE s <> '' GROUP BY 1""",
