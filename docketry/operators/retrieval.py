@@ -7,7 +7,7 @@ set meets the postings in a shuffle by term.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,6 +19,8 @@ from docketry.functions.text import STOP_WORDS, fold, sentences, tokens
 K1, B = 1.2, 0.75
 #: Questions times their different terms (or dimensions) that are sent to all tasks, 8 bytes each.
 SENT_CELLS = 4_000_000
+#: Candidates that a task holds before they are cut to the best, if that is more than 4 k per query.
+HELD_ROWS = 400_000
 
 
 def ranked(scores: DataFrame, k: int, by: str = "query_id", item: str = "chunk_id") -> DataFrame:
@@ -50,16 +52,43 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int, sent_cells: int = S
     count, different = queries.count(), wanted.select("term").distinct().count()
     if count * max(different, 1) > sent_cells:
         return _bm25_by_shuffle(own, queries, wanted, frequencies, n, mean, k)
-    names = [r[0] for r in queries.select("query_id").orderBy("query_id").collect()]
     idf = {r["term"]: float(np.log(1 + (n - r["df"] + 0.5) / (r["df"] + 0.5))) for r in frequencies.collect()}
-    place = {t: i for i, t in enumerate(sorted(idf))}
+
+    def weigh(counts: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return counts * (K1 + 1) / (counts + K1 * (1 - B + B * length / mean))
+
+    return _sent_topk(own, queries, wanted, idf, weigh, k)
+
+
+def overlap_topk(chunks: DataFrame, queries: DataFrame, k: int, sent_cells: int = SENT_CELLS) -> DataFrame:
+    """(query_id, chunk_id, rank, score): the best k of all chunks (chunk_id, text) by the share of a question's
+    different terms that they have; see overlap. Chunks without any term fill the ranks by id, as in bm25_topk.
+    """
+    own = chunks.select("chunk_id", F.array_distinct(tokens("text")).alias("terms"))
+    wanted = queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
+    count, different = queries.count(), wanted.select("term").distinct().count()
+    sizes = wanted.groupBy("query_id").agg(F.count("*").alias("_size"))
+    if count * max(different, 1) > sent_cells:
+        hits = own.select("chunk_id", F.explode("terms").alias("term")).join(wanted, "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("_hits"))
+        scores = hits.join(sizes, "query_id").select("query_id", "chunk_id", (F.col("_hits") / F.col("_size")).alias("score"))
+        return _filled(ranked(scores, k), own, queries, k)
+    asked = {r[0]: 1.0 for r in wanted.select("term").distinct().collect()}
+    counted = _sent_topk(own, queries, wanted, asked, lambda counts, length: counts, k).join(sizes, "query_id", "left")
+    return counted.withColumn("score", F.coalesce(F.col("score") / F.col("_size"), F.lit(0.0))).select("query_id", "chunk_id", "rank", "score")
+
+
+def _sent_topk(own: DataFrame, queries: DataFrame, wanted: DataFrame, values: dict[str, float], weigh: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int) -> DataFrame:
+    """The best k of own (chunk_id, terms) by the sum over a question's terms of their values times weigh(counts of the
+    terms in a chunk, its length); the questions are sent to all tasks."""
+    names = [r[0] for r in queries.select("query_id").orderBy("query_id").collect()]
+    place = {t: i for i, t in enumerate(sorted(values))}
     column = {q: i for i, q in enumerate(names)}
     asked = np.zeros((len(place), len(names)))
     for r in wanted.collect():
         if r["term"] in place:
-            asked[place[r["term"]], column[r["query_id"]]] = idf[r["term"]]
-    sent = chunks.sparkSession.sparkContext.broadcast((place, asked, names))
-    kinds = {f.name: f.dataType.simpleString() for f in (*queries.schema, *chunks.schema)}
+            asked[place[r["term"]], column[r["query_id"]]] = values[r["term"]]
+    sent = own.sparkSession.sparkContext.broadcast((place, asked, names))
+    kinds = {f.name: f.dataType.simpleString() for f in (*queries.schema, *own.schema)}
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place, asked, names = sent.value
@@ -73,11 +102,10 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int, sent_cells: int = S
                         if j is not None:
                             weights[i, j] += 1
                 length = part["terms"].map(len).to_numpy()[:, None]
-                weights = weights * (K1 + 1) / (weights + K1 * (1 - B + B * length / mean))
-                found = _best(weights @ asked, part["chunk_id"].to_numpy(), names, k, "chunk_id")
+                found = _best(weigh(weights, length) @ asked, part["chunk_id"].to_numpy(), names, k, "chunk_id")
                 best = found if best is None else pd.concat([best, found])
-            if best is not None and len(best) > 20 * k * len(names):
-                best = _kept(best, k)
+                if len(best) > max(4 * k * len(names), HELD_ROWS):
+                    best = _kept(best, k)
         if best is not None:
             yield _kept(best, k)
 
@@ -102,7 +130,11 @@ def bm25_scores(own: DataFrame, wanted: DataFrame, frequencies: DataFrame, n: in
 
 
 def _bm25_by_shuffle(own: DataFrame, queries: DataFrame, wanted: DataFrame, frequencies: DataFrame, n: int, mean: float, k: int) -> DataFrame:
-    positive = ranked(bm25_scores(own, wanted, frequencies, n, mean), k)
+    return _filled(ranked(bm25_scores(own, wanted, frequencies, n, mean), k), own, queries, k)
+
+
+def _filled(positive: DataFrame, own: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The best k with score above 0, and score 0 by id where a query has fewer."""
     held = positive.groupBy("query_id").agg(F.count("*").alias("_n"))
     short = queries.join(held, "query_id", "left").where(F.coalesce("_n", F.lit(0)) < k).select("query_id")
     # Only the first 2 k ids can fill ranks: at most k of them are taken already.
@@ -225,4 +257,4 @@ def term_spread(chunks: DataFrame) -> DataFrame:
     return each.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-__all__ = ["bm25_topk", "bm25_scores", "scoped_bm25", "dense_topk", "fused", "reranked", "overlap", "bounded_context", "nearest_sentence", "context_passage", "term_spread", "ranked", "fold"]
+__all__ = ["bm25_topk", "bm25_scores", "overlap_topk", "scoped_bm25", "dense_topk", "fused", "reranked", "overlap", "bounded_context", "nearest_sentence", "context_passage", "term_spread", "ranked", "fold"]

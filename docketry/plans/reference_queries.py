@@ -69,9 +69,9 @@ def _candidates(spark: SparkSession, folder: str, k: int) -> DataFrame:
 
 
 def hybrid_rrf(spark: SparkSession, folder: str) -> DataFrame:
-    """BM25 ranks fused with ranks by the share of the question's terms."""
-    lexical = _candidates(spark, folder, 30)
-    other = retrieval.ranked(lexical.select("query_id", "chunk_id", retrieval.overlap(F.col("question"), F.col("text")).alias("score")), 30)
+    """BM25 ranks fused with ranks by the share of the question's terms: 100 candidates of all chunks from each side."""
+    lexical = _top(spark, folder, 100)
+    other = retrieval.overlap_topk(_chunks(spark, folder).select("chunk_id", "text"), _questions(spark, folder), 100)
     return _rounded(retrieval.fused(lexical, other, 10, weight=0.25))
 
 

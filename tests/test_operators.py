@@ -59,6 +59,37 @@ def test_bm25_both_ways(spark):
     assert retrieval.bm25_topk(c, q.limit(0), 3).count() == 0
 
 
+def test_fusion_searches_all_chunks_on_both_sides(spark, tmp_path):
+    from docketry.plans import reference_queries
+
+    # 120 short chunks of one rare word are ahead in BM25; the chunk with most of the question's terms is long.
+    texts = {f"c{i:03d}": "zulu" for i in range(120)} | {"whole": "zulu alpha bravo charlie " + "filler " * 3000} | {f"d{i:03d}": "alpha bravo charlie filler" for i in range(400)}
+    question = "zulu alpha bravo charlie"
+    when = "timestamp'2024-01-01 00:00:00' AS ingested_at"
+    spark.createDataFrame([(c, "d", t, "text") for c, t in texts.items()], "chunk_id string, document_id string, text string, kind string").selectExpr("*", when).write.parquet(f"{tmp_path}/chunks.parquet")
+    test = spark.createDataFrame([("q", question, None, True, "", "test")], "example_id string, question string, evidence array<struct<chunk_id:string,quote:string>>, answerable boolean, reference_answer string, split string")
+    test.selectExpr("*", when).write.parquet(f"{tmp_path}/retrieval_test.parquet")
+    share = sorted((-len(set(question.split()) & set(t.split())) / 4, c) for c, t in texts.items())[:100]
+    sums = Counter()
+    for weight, side in ((0.25, [c for c, _ in brute_bm25(list(texts.items()), question, 100)]), (0.75, [c for _, c in share])):
+        for rank, c in enumerate(side, 1):
+            sums[c] += weight / (60 + rank)
+    want = [c for _, c in sorted((-round(s, 9), c) for c, s in sums.items())[:10]]
+    got = [r["chunk_id"] for r in reference_queries.hybrid_rrf(spark, str(tmp_path)).orderBy("rank").collect()]
+    assert got == want and "whole" in got
+
+
+def test_overlap_both_ways(spark):
+    chunks = [("c1", "a b"), ("c2", "b b b"), ("c3", None), ("c4", "x c a b")]
+    c = spark.createDataFrame(chunks, "chunk_id string, text string")
+    q = spark.createDataFrame([("q1", "a b c"), ("q2", "b"), ("q3", None), ("q4", "none")], "query_id string, text string")
+    want = {"q1": ["c4", "c1", "c2"], "q2": ["c1", "c2", "c4"], "q3": ["c1", "c2", "c3"], "q4": ["c1", "c2", "c3"]}
+    for sent in (10**6, 0):
+        got = retrieval.overlap_topk(c, q, 3, sent).orderBy("query_id", "rank").collect()
+        assert {n: [r["chunk_id"] for r in got if r["query_id"] == n] for n in want} == want
+        assert [round(r["score"], 6) for r in got if r["query_id"] == "q1"] == [1.0, 0.666667, 0.333333]
+
+
 def test_dense_order_and_clamp(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [-1.0, 0.0]), (4, [0.0, 0.0]), (5, None), (6, [2.0, 0.0])], "vec_id int, embedding array<double>")
     q = v.where("vec_id = 1").select(F.col("vec_id").alias("query_id"), "embedding")
