@@ -11,6 +11,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -95,9 +96,10 @@ def running_windows(words: np.ndarray, size: int) -> np.ndarray:
 def tiles(text: np.ndarray, passage: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling of two word-hash arrays: (place in text, place in passage, words), longest match first.
 
-    The search length starts at the whole passage and is halved while nothing of it is left to mark; a match found at a
+    The search length starts at the whole passage and is halved when nothing of it is left to mark; a match found at a
     length is extended to both sides as far as unmarked words agree, and matches are marked from the longest to the
-    shortest, ties by their place in the passage, then in the text. No word of either side is in two tiles.
+    shortest, ties by their place in the passage, then in the text; of a match that overlaps a tile the unmarked rests
+    are matches of their own. No word of either side is in two tiles.
     """
     found: list[tuple[int, int, int]] = []
     free_t, free_p = np.ones(len(text), bool), np.ones(len(passage), bool)
@@ -120,10 +122,19 @@ def tiles(text: np.ndarray, passage: np.ndarray, least: int) -> list[tuple[int,
                     while c < len(text) and d < len(passage) and free_t[c] and free_p[d] and text[c] == passage[d]:
                         c, d = c + 1, d + 1
                     matches.append((c - a, b, a))
-        for n, p, t in sorted(set(matches), key=lambda m: (-m[0], m[1], m[2])):
-            if free_t[t : t + n].all() and free_p[p : p + n].all() and (text[t : t + n] == passage[p : p + n]).all():
-                free_t[t : t + n] = free_p[p : p + n] = False
-                found.append((t, p, n))
+        queue = sorted({(-n, p, t) for n, p, t in matches})
+        while queue:
+            n, p, t = heappop(queue)
+            free = free_t[t : t - n] & free_p[p : p - n]
+            if free.all():
+                if (text[t : t - n] == passage[p : p - n]).all():
+                    free_t[t : t - n] = free_p[p : p - n] = False
+                    found.append((t, p, -n))
+            else:  # its unmarked rests take their turn by their own length
+                edges = np.flatnonzero(np.diff(np.concatenate(([0], free.astype(np.int8), [0]))))
+                for i, j in edges.reshape(-1, 2).tolist():
+                    if j - i >= size:
+                        heappush(queue, (i - j, p + i, t + i))
         if size == least:
             break
         size = max(least, size // 2)

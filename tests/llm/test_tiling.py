@@ -24,6 +24,40 @@ def test_tiles_are_greedy_and_disjoint(a, b, least):
     assert (max((n for *_, n in got), default=0) if common >= least else 0) == (common if common >= least else 0)
 
 
+def brute_tiles(a, b, least):
+    """Greedy tiling by its definition: again and again the longest common run of unmarked words, first by passage, then text."""
+    free_a, free_b, out = [True] * len(a), [True] * len(b), []
+    while True:
+        best = None
+        for p in range(len(b)):
+            for t in range(len(a)):
+                n = 0
+                while t + n < len(a) and p + n < len(b) and free_a[t + n] and free_b[p + n] and a[t + n] == b[p + n]:
+                    n += 1
+                if n >= least and (best is None or n > best[0]):
+                    best = (n, p, t)
+        if best is None:
+            return out
+        n, p, t = best
+        free_a[t : t + n], free_b[p : p + n] = [False] * n, [False] * n
+        out.append((t, p, n))
+
+
+def test_rest_of_an_occluded_match_is_marked():
+    text = [*range(7), *range(100, 113), *range(6, 13)]
+    with np.errstate(over="ignore"):
+        got = tiles(np.array(text, U), np.arange(20, dtype=U), 5)
+    assert sum(n for *_, n in got) == sum(n for *_, n in brute_tiles(text, list(range(20)), 5)) == 13
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=40), st.lists(st.integers(0, 4), max_size=25), st.integers(1, 4))
+def test_tiles_are_those_of_brute_force(a, b, least):
+    with np.errstate(over="ignore"):
+        got = tiles(np.array(a, U), np.array(b, U), least)
+    assert got == brute_tiles(a, b, least)
+
+
 def found(spark, texts, items, least=8, **how):
     t = spark.createDataFrame([("documents", str(i), 0, x, "clash") for i, x in enumerate(texts)], "found_in string, record_key string, part int, text string, words string")
     known = passages(spark.createDataFrame(items, "item_id string, passage string"), least)
