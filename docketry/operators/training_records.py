@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,15 +64,40 @@ def rendered_chat(messages: Column) -> Column:
 
 
 def round_robin(candidates: DataFrame, family: str, key: str, answer: str, target: int, most_per_family: int) -> DataFrame:
-    """(family, key, round): answers that no earlier candidate has, dealt in rounds over the sorted families.
-
-    Candidates with the same normalized answer count once, as the one with the smallest family and key. In a round each
-    family gives its next candidate by key, at most most_per_family; target ends the last round.
+    """(family, key, round): answers dealt in rounds over the sorted families, none twice.
+
+    In a round each family gives its next candidate by key whose normalized answer hasn't been dealt yet, at most
+    most_per_family in all; target ends the last round. Each choice depends on all before it, so it is made in one task,
+    over those candidates that can be dealt at all: at most target answers are dealt, so a family gives only of its first
+    target different answers and an answer is given only by its first target families (in the first round each of these
+    gives something, or the answer has been dealt); and a family that is the first with some answer gives in the first
+    round, so no family comes after the target-th of these. The task is bounded by target, not by the candidates.
     """
     own = candidates.where(F.col(answer).isNotNull() & F.col(family).isNotNull()).withColumn("_d", answer_digest(F.col(answer)))
-    once = own.groupBy("_d").agg(F.min(F.struct(family, key)).alias("r")).select(f"r.{family}", f"r.{key}")
-    dealt = once.withColumn("round", F.row_number().over(Window.partitionBy(family).orderBy(key))).where(F.col("round") <= most_per_family)
-    return dealt.orderBy("round", family).limit(target)
+    once = own.groupBy(family, "_d").agg(F.min(key).alias(key))
+    first = once.withColumn("_n", F.row_number().over(Window.partitionBy(family).orderBy(key, "_d"))).where(F.col("_n") <= target).drop("_n")
+    first = first.withColumn("_n", F.row_number().over(Window.partitionBy("_d").orderBy(family))).where(F.col("_n") <= target)
+    last = first.where("_n = 1").select(family).distinct().orderBy(family).limit(target).agg(F.max(family).alias("_last"))
+    kept = first.crossJoin(F.broadcast(last)).where(F.col(family) <= F.col("_last")).select(family, key, "_d")
+    kinds = {f.name: f.dataType.simpleString() for f in kept.schema}
+
+    def deal(rows: pd.DataFrame) -> pd.DataFrame:
+        waiting = {name: iter(part[[key, "_d"]].itertuples(index=False, name=None)) for name, part in rows.sort_values([family, key, "_d"]).groupby(family)}
+        dealt: set[str] = set()
+        out = []
+        for number in range(1, most_per_family + 1):
+            for name in list(waiting):
+                if len(out) == target:
+                    break
+                taken = next(((k, d) for k, d in waiting[name] if d not in dealt), None)
+                if taken is None:
+                    del waiting[name]
+                    continue
+                dealt.add(taken[1])
+                out.append((name, taken[0], number))
+        return pd.DataFrame(out, columns=[family, key, "round"])
+
+    return kept.groupBy().applyInPandas(deal, f"`{family}` {kinds[family]}, `{key}` {kinds[key]}, round int").orderBy("round", family)
 
 
 def neighbours(records: DataFrame, key: str, offsets: tuple[int, ...] = (1, 2), seed: int = 0) -> DataFrame:

@@ -218,6 +218,22 @@ def test_records(spark):
     assert len(near) == 10 and all(r["key"] != r["neighbour"] for r in near)
 
 
+def test_rounds_drop_only_what_has_been_dealt(spark):
+    rows = [("a", f"k{i}", f"answer {i}") for i in range(6)] + [("b", f"m{i}", f"answer {i}") for i in range(6)] + [("c", "n0", "answer 0"), ("d", "o0", "answer 1"), ("d", "o1", "answer 9")]
+    df = spark.createDataFrame(rows, "fam string, key string, ans string")
+    for target in (1, 3, 5, 7, 20):
+        waiting, dealt, want = {f: [(k, x) for g, k, x in rows if g == f] for f in "abcd"}, set(), []
+        for number in (1, 2, 3, 4):
+            for f in "abcd":
+                left = [(k, x) for k, x in waiting[f] if x not in dealt]
+                if left and len(want) < target:
+                    dealt.add(left[0][1])
+                    want.append((f, left[0][0], number))
+        got = [tuple(r) for r in training_records.round_robin(df, "fam", "key", "ans", target, 4).collect()]
+        assert got == want
+    assert {x for x in want if x[0] == "b"} and training_records.round_robin(df.limit(0), "fam", "key", "ans", 5, 4).count() == 0
+
+
 def test_quality_reasons(spark):
     rows = [("Short.", "length"), ("The operator had removed the valve from forty airplanes", "unfinished"), ("the operator had removed the valve from forty airplanes.", "fragment"), ("The operator had removed the va1ve from forty airplanes.", "misread"), ("The operator had removed the valve from forty airplanes.", None), (None, "length")]
     df = spark.createDataFrame(rows, "s string, r string")
