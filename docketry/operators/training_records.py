@@ -25,28 +25,64 @@ REASONS = {
     "misread": r"\p{L}\d\p{Ll}|\p{Ll}[@|]\p{Ll}",
 }
 
+#: The whole gate of the queries: REASONS with the reference's bounds and its rules that aren't wording of its domain.
+GATE = {
+    "length": r"^.{0,79}$|^.{321,}$",
+    "unfinished": REASONS["unfinished"],
+    "fragment": r"^[^\p{Lu}\p{Nd}]",
+    "footnote": r"^\d+\s+[A-Z]|\b\d+\s+(?:A|An|The)\s+[a-z]",
+    "list_or_page": r"•|\b\d\s+\d\b",
+    "table": REASONS["table"],
+    "boilerplate": r"(?i)^(?:exemplar|figure|table) ",
+    "reference": r"(?i:\b(?:see|figure|table|appendix|exhibit)\s+\d)|^[A-Z]-\d",
+    "section": r"(?i)\bsection\s+\d",
+    "transcript": REASONS["transcript"] + r"|^\d{1,2}:\d{2}:\d{2}\b",
+    "fused": r"[.!?][”\"]?\s+(?:A|According|An|As|At|He|In|It|On|She|That|The|They|This|We)\s",
+    "instruction": r"(?i)^(?:If .+?,\s+)?(?:continue|do|ensure|maintain)\b",
+    "address": r"(?i:http|www\.)",
+    "heading": r"\b\d+(?:\.\d+){1,3}\s+[A-Z][A-Za-z]",
+    "split_word": REASONS["split_word"] + r"|\b[b-z]\s+[a-z]{2,}\b|(?i:\ba\s+re\b)",
+    "spaced_mark": REASONS["spaced_mark"] + r"|\s\)|[,.)][A-Za-z]",
+    "merged_word": REASONS["merged_word"],
+    "odd_quotes": r"^[^\"]*\"(?:[^\"]*\"[^\"]*\")*[^\"]*$",
+    "misread": REASONS["misread"] + r"|\b[A-Za-z0-9]{2,}(?:\s+-\s*|-\s+)[A-Za-z0-9]|\b[a-z]{2,}[A-Z]{2,}\b|\d{2,}[a-z]{3,}\b|\b[A-Z][A-Za-z]{3,}\d{4}\b|\b[A-Z]\s+[A-Z][A-Za-z]?\b|\b(?:[A-Z]-){2,}\s*[A-Z]\b",
+}
+#: Letters among the characters of a best sentence, at least.
+LETTER_SHARE = 0.65
+
 
-def quality_reason(c: Column) -> Column:
-    """The first reason that holds for a sentence; null for a good one."""
+def quality_reason(c: Column, reasons: dict[str, str] = REASONS, flags: str = "(?s)") -> Column:
+    """The first of reasons that holds for a sentence; null for a good one."""
     out = F.when(c.isNull(), "length")
-    for name, pattern in REASONS.items():
-        out = out.when(c.rlike(r"(?s)" + pattern), name)
+    for name, pattern in reasons.items():
+        out = out.when(c.rlike(flags + pattern), name)
     return out
 
 
+def gate_reason(c: Column) -> Column:
+    """The first reason of the whole gate; quotation marks also count by side. (?U): classes are Unicode, as in the reference."""
+    marks = lambda m: F.length(c) - F.length(F.replace(c, F.lit(m), F.lit("")))
+    names = list(GATE)
+    at = names.index("odd_quotes") + 1
+    before, after = ({n: GATE[n] for n in part} for part in (names[:at], names[at:]))
+    sided = F.when(marks("“") != marks("”"), "odd_quotes")
+    return F.coalesce(quality_reason(c, before, "(?sU)"), sided, quality_reason(c, after, "(?sU)"))
+
+
 def quality_report(rows: DataFrame, text: str) -> DataFrame:
     """(reason, sentences) over the sentences of all rows; accepted where there is no reason."""
-    own = rows.select(F.explode(sentences(F.regexp_replace(text, r"\s+", " "))).alias("s")).where("s != ''")
-    return own.groupBy(F.coalesce(quality_reason(F.col("s")), F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n_sentences"))
+    own = rows.select(F.explode(sentences(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))).alias("s")).where("s != ''")
+    return own.groupBy(F.coalesce(gate_reason(F.col("s")), F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n_sentences"))
 
 
 def best_sentence(rows: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
-    """(key, sentence, relevance): per row the good sentence with most terms, then the longest, then the last by text."""
-    own = rows.select(key, F.explode(sentences(F.regexp_replace(text, r"\s+", " "))).alias("sentence"))
+    """(key, sentence, relevance): per row the good sentence of enough letters with most terms, then the longest, then the last by text."""
+    own = rows.select(key, F.explode(sentences(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))).alias("sentence"))
     relevance = F.lit(0)
     for t in terms:
         relevance = relevance + F.contains(F.lower("sentence"), F.lit(t)).cast("int")
-    good = own.where(quality_reason(F.col("sentence")).isNull()).withColumn("relevance", relevance).where("relevance > 0")
+    letters = F.length(F.regexp_replace("sentence", r"\P{L}", "")) >= LETTER_SHARE * F.length("sentence")
+    good = own.where(gate_reason(F.col("sentence")).isNull() & letters).withColumn("relevance", relevance).where("relevance > 0")
     best = good.groupBy(key).agg(F.max(F.struct("relevance", F.length("sentence").alias("n"), "sentence")).alias("b"))
     return best.select(key, "b.sentence", "b.relevance")
 

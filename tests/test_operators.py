@@ -238,3 +238,18 @@ def test_quality_reasons(spark):
     rows = [("Short.", "length"), ("The operator had removed the valve from forty airplanes", "unfinished"), ("the operator had removed the valve from forty airplanes.", "fragment"), ("The operator had removed the va1ve from forty airplanes.", "misread"), ("The operator had removed the valve from forty airplanes.", None), (None, "length")]
     df = spark.createDataFrame(rows, "s string, r string")
     assert [r[0] for r in df.select(training_records.quality_reason(F.col("s"))).collect()] == [r for _, r in rows]
+
+
+def test_whole_gate_and_letter_share(spark):
+    good = "The operator had removed the valve from forty airplanes before the engine was tested again."
+    rows = [
+        (good, None), (good[:70] + ".", "length"), ("12 " + good, "footnote"), (good.replace("forty", "4 0"), "list_or_page"), ("Table " + good, "boilerplate"),
+        (good.replace("forty", "the section 4"), "section"), ("10:20:30 " + good.lower(), "transcript"), (good.replace("valve from", "valve.” The"), "fused"), ("Ensure that " + good, "instruction"),
+        (good.replace("forty", "1.2 Forty"), "heading"), (good.replace("forty", "f orty"), "split_word"), (good.replace("forty", "(forty )"), "spaced_mark"), (good.replace("forty", "“forty"), "odd_quotes"),
+        (good.replace("forty", '"x-ray" "Beta'), "odd_quotes"), (good.replace("forty", "12forty"), "misread"), ("“" + good + "”.", "fragment"), (None, "length"),
+    ]
+    df = spark.createDataFrame(rows, "s string, r string")
+    assert [r[0] for r in df.select(training_records.gate_reason(F.col("s"))).collect()] == [r for _, r in rows]
+    digits = "The engine 1234567890 1234567890 1234567890 1234567890 had stopped 1234567890 1234567890."
+    texts = spark.createDataFrame([("a", " " + good + " The engine had stopped by then."), ("b", digits)], "k string, t string")
+    assert [tuple(r) for r in training_records.best_sentence(texts, "k", "t", ["engine"]).collect()] == [("a", good, 1)]
