@@ -8,6 +8,7 @@ set meets the postings in a shuffle by term.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -170,30 +171,42 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, sent_cells: int =
     """(query_id, vec_id, rank, score): exact cosine of vectors (vec_id, embedding) and queries (query_id, embedding).
 
     Order by score, then id; scores below 0 keep their rank and show 0. Null vectors and vectors of norm 0 or of another
-    length than the queries' are in no row. The query matrix's size is checked; a larger set raises.
+    length than the queries' are in no row. Queries of more than sent_cells values are searched in blocks by a hash of
+    their ids, so that the driver and each task hold one block at a time.
     """
-    rows = queries.where("query_id IS NOT NULL AND embedding IS NOT NULL").select("query_id", "embedding").limit(sent_cells).collect()
+    asked = queries.where("query_id IS NOT NULL AND embedding IS NOT NULL").select("query_id", "embedding")
+    cells, least, width = asked.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0)), F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    if least != width:
+        raise ValueError("queries of several lengths")
+    if cells <= sent_cells:
+        return _dense_block(vectors, asked, k, width or 0)
+    count = -(-2 * cells // max(sent_cells, 1))  # blocks are half full on average: hashes don't fill them alike
+    block = F.pmod(F.xxhash64("query_id"), F.lit(count))
+    return reduce(DataFrame.unionByName, [_dense_block(vectors, asked.where(block == i), k, width) for i in range(count)])
+
+
+def _dense_block(vectors: DataFrame, queries: DataFrame, k: int, width: int) -> DataFrame:
+    rows = queries.collect()
     names = [r[0] for r in rows]
-    asked = np.array([r[1] for r in rows], float)
-    if asked.size > sent_cells:
-        raise ValueError("more query values than sent_cells; search the queries in blocks")
+    asked = np.array([r[1] for r in rows], float).reshape(len(rows), width)
     norms = np.linalg.norm(asked, axis=1, keepdims=True) if len(rows) else np.ones((0, 1))
     sent = vectors.sparkSession.sparkContext.broadcast((asked / np.where(norms == 0, 1, norms), names))
-    width = asked.shape[1] if len(rows) else 0
     q_kind, v_kind = queries.schema["query_id"].dataType.simpleString(), vectors.schema["vec_id"].dataType.simpleString()
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         asked, names = sent.value
         best: pd.DataFrame | None = None
+        step = max(1, SENT_CELLS // max(len(names), 1))  # so many rows are scored at once
         for batch in batches:
             if not len(batch) or not names:
                 continue
-            block = np.stack(batch["embedding"].to_numpy()).astype(float)
-            norm = np.linalg.norm(block, axis=1)
-            block, ids = block[norm > 0] / norm[norm > 0, None], batch["vec_id"].to_numpy()[norm > 0]
-            if len(ids):
-                found = _best(block @ asked.T, ids, names, k, "vec_id")
-                best = _kept(found if best is None else pd.concat([best, found]), k)
+            for part in (batch[i : i + step] for i in range(0, len(batch), step)):
+                block = np.stack(part["embedding"].to_numpy()).astype(float)
+                norm = np.linalg.norm(block, axis=1)
+                block, ids = block[norm > 0] / norm[norm > 0, None], part["vec_id"].to_numpy()[norm > 0]
+                if len(ids):
+                    found = _best(block @ asked.T, ids, names, k, "vec_id")
+                    best = _kept(found if best is None else pd.concat([best, found]), k)
         if best is not None:
             yield best
 

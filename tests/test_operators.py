@@ -98,6 +98,13 @@ def test_dense_order_and_clamp(spark):
     assert retrieval.dense_topk(v, q.limit(0), 3).count() == 0
 
 
+def test_dense_in_blocks(spark):
+    v = spark.createDataFrame([(i, [float(i % 7) - 3, float(i % 5) - 1, 1.0]) for i in range(40)], "vec_id int, embedding array<double>")
+    q = v.where("vec_id % 4 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    whole = sorted(map(tuple, retrieval.dense_topk(v, q, 3).collect()))
+    assert len(whole) == 30 and sorted(map(tuple, retrieval.dense_topk(v, q, 3, sent_cells=12).collect())) == whole
+
+
 def test_fusion_and_rerank(spark):
     a = spark.createDataFrame([("q", "shared", 1), ("q", "lex", 2)], "query_id string, chunk_id string, rank int")
     b = spark.createDataFrame([("q", "dense", 1), ("q", "shared", 2)], "query_id string, chunk_id string, rank int")
