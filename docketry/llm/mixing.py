@@ -2,54 +2,16 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.llm.flows import cheapest_flow
 from docketry.operators.ranking import running, seeded_key
 
 #: Different sets of sources that documents belong to; the flow is solved on the driver over their sums.
 MOST_PATTERNS = 20_000
 
 
-def cheapest_flow(arcs: Sequence[tuple[object, object, int, int]], source: object, sink: object) -> list[int]:
-    """Flow on each arc (from, to, capacity, cost) of the largest flow that costs least, by shortest augmenting paths."""
-    to: list[object] = []
-    room: list[int] = []
-    cost: list[int] = []
-    out: dict[object, list[int]] = {}
-    for a, b, capacity, price in arcs:
-        out.setdefault(a, []).append(len(to))
-        out.setdefault(b, []).append(len(to) + 1)
-        to += [b, a]
-        room += [capacity, 0]
-        cost += [price, -price]
-    while True:
-        best, via, queue, queued = {source: 0}, {}, deque([source]), {source}
-        while queue:  # costs may be negative on the way back, so nodes are looked at again when they get cheaper
-            x = queue.popleft()
-            queued.discard(x)
-            for i in out.get(x, ()):
-                y = to[i]
-                if room[i] and (y not in best or best[x] + cost[i] < best[y]):
-                    best[y], via[y] = best[x] + cost[i], i
-                    if y not in queued:
-                        queue.append(y)
-                        queued.add(y)
-        if sink not in best:
-            return [room[i] for i in range(1, len(room), 2)]
-        path, x = [], sink
-        while x != source:
-            path.append(via[x])
-            x = to[via[x] ^ 1]
-        step = min(room[i] for i in path)
-        for i in path:
-            room[i] -= step
-            room[i ^ 1] += step
-
-
 def routed(patterns: dict[tuple[str, ...], int], quotas: dict[str, int], repeats: dict[str, int]) -> dict[tuple[tuple[str, ...], str], int]:
     """Tokens that each membership pattern gives to each source.
 
@@ -73,61 +35,84 @@ def routed(patterns: dict[tuple[str, ...], int], quotas: dict[str, int], repeats
     return {x: flows[i] for i, x in links.items() if flows[i]}
 
 
-def _plan(documents: DataFrame, targets: DataFrame, numerator: int, denominator: int) -> tuple[int, list, dict, dict]:
-    rows = targets.where("source IS NOT NULL").collect()
+#: Quotas and routed amounts are whole numbers of 1/SCALE tokens, so that shares of the mix are exact.
+SCALE = 10_000
+
+
+def _plan(documents: DataFrame, targets: DataFrame, numerator: int, denominator: int) -> tuple[int, list, dict, dict, dict]:
+    rows = targets.where("_name IS NOT NULL").collect()
     total = documents.agg(F.coalesce(F.sum("_tokens"), F.lit(0))).first()[0]
     size = total * numerator // denominator
     sums = documents.where(F.size("_pattern") > 0).groupBy("_pattern").agg(F.sum("_tokens").alias("t")).limit(MOST_PATTERNS + 1).collect()
     if len(sums) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} patterns of membership")
     patterns = {tuple(r["_pattern"]): r["t"] for r in sums}
-    quotas = {r["_name"]: size * r["target_bp"] // 10_000 for r in rows}
-    return size, rows, patterns, routed(patterns, quotas, {r["_name"]: r["max_repeats"] for r in rows})
+    quotas = {r["_name"]: size * r["target_bp"] * SCALE // 10_000 for r in rows}
+    flows = routed({p: t * SCALE for p, t in patterns.items()}, quotas, {r["_name"]: r["max_repeats"] for r in rows})
+    return size, rows, patterns, quotas, flows
 
 
 def _prepared(documents: DataFrame, targets: DataFrame, members: str, key: str, tokens: str) -> tuple[DataFrame, DataFrame]:
-    pattern = F.array_sort(F.array_distinct(F.array_compact(F.coalesce(F.col(members), F.array().cast("array<string>")))))
+    named = targets.select("source", F.coalesce("target_bp", F.lit(0)).alias("target_bp"), F.coalesce("max_repeats", F.lit(0)).alias("max_repeats"), F.lower(F.trim("source")).alias("_name"))
+    sought = F.array(*[F.lit(r[0]) for r in named.where("_name IS NOT NULL").select("_name").distinct().collect()]).cast("array<string>")
+    pattern = F.array_sort(F.array_intersect(F.coalesce(F.col(members), F.array().cast("array<string>")), sought))  # other sources route nothing
     own = documents.select(F.col(key).alias("_key"), pattern.alias("_pattern"), F.coalesce(F.col(tokens).cast("bigint"), F.lit(0)).alias("_tokens"))
-    return own, targets.withColumn("_name", F.lower(F.trim("source")))
+    return own, named
 
 
-def mix(documents: DataFrame, targets: DataFrame, members: str, key: str = "doc_id", tokens: str = "n_tokens", numerator: int = 3, denominator: int = 5, seed: int = 0) -> DataFrame:
-    """(source, key, uses, tokens): the documents of the mix, each with how often a source uses it.
-
-    members is an array of the sources that a document belongs to, in lower case without blanks at the ends; null and
-    empty arrays belong to no source and are in no mix. targets has source, target_bp and max_repeats. The mix has
-    numerator / denominator of all tokens. A source's part is an interval of the endless repetition of the documents of
-    a pattern in seeded order, as long as the flow gives it tokens; a document is used as often as it starts in it.
-    So a source's tokens differ from its flow by less than its two longest documents. Positions are running totals that
-    no single task sums over a source.
-    """
-    own, named = _prepared(documents, targets, members, key, tokens)
-    _, rows, patterns, flows = _plan(own, named, numerator, denominator)
+def _drawn(own: DataFrame, rows: list, patterns: dict, flows: dict, key: str, seed: int) -> DataFrame:
     spelled = {r["_name"]: r["source"] for r in rows}
     at: dict[tuple[str, ...], int] = {}
     parts = []
+    whole = lambda x: (x + SCALE // 2) // SCALE  # noqa: E731; places in tokens
     for (p, s), amount in sorted(flows.items()):
         begin = at.get(p, 0)
-        parts.append((list(p), patterns[p], spelled[s], begin, begin + amount))
+        parts.append((list(p), patterns[p], spelled[s], whole(begin), whole(begin + amount)))
         at[p] = begin + amount
-    plan = documents.sparkSession.createDataFrame(parts, "_pattern array<string>, _all bigint, source string, _from bigint, _to bigint")
+    plan = own.sparkSession.createDataFrame(parts, "_pattern array<string>, _all bigint, source string, _from bigint, _to bigint")
     placed = running(own.where(F.size("_pattern") > 0).withColumn("_order", seeded_key(seed, "_key")), ["_pattern"], "_order", "_key", F.col("_tokens"))
-    rounds = lambda end: F.expr(f"({end} - before + 2 * _all - 1) div _all - 1")  # noqa: E731; the least number of rounds that end no earlier
+    # The number of rounds in which the middle of the document comes before end.
+    rounds = lambda end: F.expr(f"greatest(0, (2 * ({end} - before) - _tokens + 2 * _all - 1) div (2 * _all))")
     used = placed.join(F.broadcast(plan), "_pattern").withColumn("uses", rounds("_to") - rounds("_from"))
     return used.where("uses > 0").select("source", F.col("_key").alias(key), "uses", (F.col("uses") * F.col("_tokens")).alias("tokens"))
 
 
+def mix(documents: DataFrame, targets: DataFrame, members: str, key: str = "doc_id", tokens: str = "n_tokens", numerator: int = 3, denominator: int = 5, seed: int = 0) -> DataFrame:
+    """(source, key, uses, tokens): the documents of the mix, each with how often a source uses it.
+
+    members is an array of the sources that a document belongs to, in lower case without blanks at the ends; null and
+    empty arrays belong to no source and are in no mix. targets has source, target_bp and max_repeats (nulls count as
+    0), each source once. The mix has numerator / denominator of all tokens. A source's part of a pattern of membership
+    is an interval of the endless repetition of its documents in seeded order, as long as the flow gives it tokens; a
+    document is used as often as its middle lies in it, so the last one only where that comes nearer to the share. Each
+    end of a part is off by at most half a document, and a source that takes all of a pattern by none. Positions are
+    running totals that no single task sums over a source.
+    """
+    own, named = _prepared(documents, targets, members, key, tokens)
+    _, rows, patterns, _, flows = _plan(own, named, numerator, denominator)
+    return _drawn(own, rows, patterns, flows, key, seed)
+
+
 def mix_report(documents: DataFrame, targets: DataFrame, members: str, key: str = "doc_id", tokens: str = "n_tokens", numerator: int = 3, denominator: int = 5, seed: int = 0) -> DataFrame:
-    """Per source of targets: own_tokens, quota, routed (by the flow), mixed (by the documents chosen), actual_bp, reachable.
+    """Per source of targets: own_tokens, quota, routed (by the flow, both in tokens), reachable, mixed (by the documents
+    drawn), actual_bp (of the size asked for), off_bp (actual less target) and share_bp (of what all sources reach).
 
-    reachable says whether the source's tokens times its repeats are at least its exact share of the mix.
+    reachable says whether the flow fills the source's exact share of the mix. Shares that can't be filled aren't handed
+    on to other sources; the mix is then smaller by them.
     """
     own, named = _prepared(documents, targets, members, key, tokens)
-    size, rows, patterns, flows = _plan(own, named, numerator, denominator)
+    size, rows, patterns, quotas, flows = _plan(own, named, numerator, denominator)
     have = {r["_name"]: sum(t for p, t in patterns.items() if r["_name"] in p) for r in rows}
     sent = {r["_name"]: sum(v for (_, s), v in flows.items() if s == r["_name"]) for r in rows}
-    plan = [(r["source"], r["target_bp"], r["max_repeats"], have[r["_name"]], size * r["target_bp"] // 10_000, sent[r["_name"]], r["max_repeats"] * have[r["_name"]] * 10_000 >= r["target_bp"] * size) for r in rows]
-    table = documents.sparkSession.createDataFrame(plan, "source string, target_bp int, max_repeats int, own_tokens bigint, quota bigint, routed bigint, reachable boolean")
-    chosen = mix(documents, targets, members, key, tokens, numerator, denominator, seed).groupBy("source").agg(F.sum("tokens").alias("mixed"))
+    plan = [(r["source"], r["target_bp"], r["max_repeats"], have[r["_name"]], quotas[r["_name"]] / SCALE, sent[r["_name"]] / SCALE, sent[r["_name"]] == quotas[r["_name"]]) for r in rows]
+    table = own.sparkSession.createDataFrame(plan, "source string, target_bp int, max_repeats int, own_tokens bigint, quota double, routed double, reachable boolean")
+    chosen = _drawn(own, rows, patterns, flows, key, seed).groupBy("source").agg(F.sum("tokens").alias("mixed"))
     out = table.join(chosen, "source", "left").withColumn("mixed", F.coalesce("mixed", F.lit(0)))
-    return out.withColumn("actual_bp", F.round(F.col("mixed") * 10_000 / F.greatest(F.lit(size), F.lit(1)), 2))
+    reached = out.withColumn("actual_bp", F.round(F.col("mixed") * 10_000 / F.greatest(F.lit(size), F.lit(1)), 2)).withColumn("off_bp", F.round(F.col("actual_bp") - F.col("target_bp"), 2))
+    whole = F.greatest(F.sum("mixed").over(Window.partitionBy(F.lit(0))), F.lit(1))  # one row per source
+    return reached.withColumn("share_bp", F.round(F.col("mixed") * 10_000 / whole, 2))
+
+
+def short_sources(report: DataFrame) -> DataFrame:
+    """The sources of a mix_report to which the flow routes less than their share, so that what is drawn falls short too."""
+    return report.where("routed < quota AND mixed < quota").select("source")

@@ -100,13 +100,23 @@ def p4_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p4_report(spark, folder).where("NOT met").select(*CATEGORIES)
+    """The categories of which the drawn sample has fewer rows than they need."""
+    return p4_report(spark, folder).where("taken < need").select(*CATEGORIES)
+
+
+def p4_margins(spark: SparkSession, folder: str) -> DataFrame:
+    return quotas.margin_report(p4_report(spark, folder), CATEGORIES[0], CATEGORIES[1:])
 
 
 def p4_sample(spark: SparkSession, folder: str) -> DataFrame:
     records, targets = _categorized(spark, folder)
-    report = quotas.sample_report(records, targets, CATEGORIES[0], CATEGORIES[1:], "event_key")
-    return quotas.quota_sample(records, report, CATEGORIES, "event_key").select("event_id", *CATEGORIES)
+    plan = quotas.sample_plan(records, targets, CATEGORIES[0], CATEGORIES[1:])
+    return quotas.quota_sample(records, plan, CATEGORIES, "event_key").select("event_id", *CATEGORIES)
+
+
+def p4_available(spark: SparkSession, folder: str) -> DataFrame:
+    """What the categories have and need, without the quotas."""
+    return p4_report(spark, folder).select(*CATEGORIES, "target_bp", "min_rows", "available", "need", "target", "shortfall")
 
 
 CHUNK = ["chunk_id", "document_id", "section", "page_start", "page_end", "text"]
@@ -126,13 +136,22 @@ def _packed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _packed(spark, folder).where("pieces > 1 AND piece = 1").select("capacity_tokens", "doc_id")
+    return packing.divided_items(_packed(spark, folder))
 
 
 def p7_placement(spark: SparkSession, folder: str) -> DataFrame:
     return _packed(spark, folder)
 
 
+def p7_held(spark: SparkSession, folder: str) -> DataFrame:
+    """Per capacity: documents, their pieces, tokens placed, containers that hold too much, documents placed in part."""
+    placed = _packed(spark, folder)
+    over = placed.groupBy("capacity_tokens", "block", "container").agg(F.sum("tokens").alias("t")).groupBy("capacity_tokens").agg(F.count_if(F.col("t") > F.col("capacity_tokens")).alias("n_overfull"))
+    parts = placed.groupBy("capacity_tokens", "doc_id").agg(F.count("*").alias("n"), F.max("pieces").alias("pieces"), F.sum("tokens").alias("t"))
+    whole = parts.groupBy("capacity_tokens").agg(F.count("*").alias("n_documents"), F.sum("n").alias("n_pieces"), F.sum("t").alias("n_tokens"), F.count_if(F.col("n") != F.col("pieces")).alias("n_partial"))
+    return whole.join(over, "capacity_tokens")
+
+
 def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return packing.container_report(_packed(spark, folder))
 
@@ -147,7 +166,23 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p8_report(spark, folder).where("NOT reachable").select("source")
+    return mixing.short_sources(p8_report(spark, folder))
+
+
+def p8_routed(spark: SparkSession, folder: str) -> DataFrame:
+    """What the flow routes to each source."""
+    return p8_report(spark, folder).select("source", "own_tokens", F.round("quota", 2).alias("quota"), F.round("routed", 2).alias("routed"), "reachable")
+
+
+def _shared(spark: SparkSession, folder: str) -> DataFrame:
+    """One document per text, the first that has it, with all sources that hold the text as its members."""
+    own = table(spark, folder, "documents").where("text IS NOT NULL AND text != ''").select(F.sha2("text", 256).alias("digest"), "doc_id", "n_tokens", tidy("source").alias("s"))
+    return own.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.collect_set("s").alias("members"))
+
+
+def p8_shared(spark: SparkSession, folder: str) -> DataFrame:
+    """The report of a mix without copies, in which a text that several sources hold may count for any of them."""
+    return mixing.mix_report(_shared(spark, folder), table(spark, folder, "mix_targets"), "members")
 
 
 def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
@@ -164,7 +199,7 @@ def p9_classes(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_coverage, p2_found, p2_splits, p3_found, p3_defects, p4_found, p4_report, p4_sample, p5_found, p5_text, p7_found, p7_placement, p7_report, p8_found, p8_report, p8_mix, p9_found, p9_classes)
+    for f in (p1_found, p1_coverage, p2_found, p2_splits, p3_found, p3_defects, p4_found, p4_report, p4_available, p4_margins, p4_sample, p5_found, p5_text, p7_found, p7_placement, p7_held, p7_report, p8_found, p8_report, p8_routed, p8_mix, p8_shared, p9_found, p9_classes)
 }
 
 _EVENTS = """
@@ -182,6 +217,29 @@ counted AS (
 SELECT t.proposed_split, t.event_type, t.severity FROM sample_targets t
 LEFT JOIN counted c ON c.split = lower(t.proposed_split) AND c.event_type = lower(t.event_type) AND c.severity = lower(t.severity)
 WHERE coalesce(c.have, 0) < greatest(t.min_rows, ((SELECT count(*) FROM events) // 4) * t.target_bp // 10000)""",
+    "p4_available": f"""
+WITH {_EVENTS},
+counted AS (
+  SELECT CASE split WHEN 'dev' THEN 'development' ELSE split END AS split, event_type, severity, count(*) AS have
+  FROM events GROUP BY 1, 2, 3),
+size AS (SELECT count(*) // 4 AS n FROM events),
+needed AS (
+  SELECT t.proposed_split, t.event_type, t.severity, t.target_bp, t.min_rows, coalesce(c.have, 0) AS available,
+    greatest(t.min_rows, size.n * t.target_bp // 10000) AS need, CAST(size.n * t.target_bp AS DOUBLE) / 10000 AS target
+  FROM sample_targets t CROSS JOIN size
+  LEFT JOIN counted c ON c.split = lower(t.proposed_split) AND c.event_type = lower(t.event_type) AND c.severity = lower(t.severity))
+SELECT *, greatest(need - available, 0) AS shortfall FROM needed""",
+    "p7_held": """
+SELECT CAST(c AS BIGINT) AS capacity_tokens, count(*) AS n_documents, CAST(sum(greatest(1, (t + c - 1) // c)) AS BIGINT) AS n_pieces,
+  CAST(sum(t) AS BIGINT) AS n_tokens, CAST(0 AS BIGINT) AS n_partial, CAST(0 AS BIGINT) AS n_overfull
+FROM (SELECT DISTINCT capacity_tokens AS c FROM pack_bins) CROSS JOIN (SELECT coalesce(n_tokens, 0) AS t FROM documents) GROUP BY c""",
+    "p8_routed": """
+WITH own AS (SELECT lower(trim(source)) AS s, sum(n_tokens) AS t FROM documents GROUP BY 1),
+size AS (SELECT sum(n_tokens) * 3 // 5 AS n FROM documents)
+SELECT m.source, CAST(coalesce(own.t, 0) AS BIGINT) AS own_tokens, CAST(round(size.n * m.target_bp / 10000.0, 2) AS DOUBLE) AS quota,
+  CAST(round(least(size.n * m.target_bp / 10000.0, m.max_repeats * coalesce(own.t, 0)), 2) AS DOUBLE) AS routed,
+  m.max_repeats * coalesce(own.t, 0) * 10000 >= m.target_bp * size.n AS reachable
+FROM mix_targets m CROSS JOIN size LEFT JOIN own ON own.s = lower(trim(m.source))""",
     "p7_found": """
 SELECT CAST(b.capacity_tokens AS BIGINT) AS capacity_tokens, d.doc_id
 FROM documents d JOIN (SELECT DISTINCT capacity_tokens FROM pack_bins) b ON d.n_tokens > b.capacity_tokens""",
