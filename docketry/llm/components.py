@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketry.operators.joins import weighted_join
 from docketry.operators.ranking import running, seeded_key
 from docketry.session import cut_lineage
 from docketry.sources.tables import tidy
@@ -19,8 +20,8 @@ FOREST_EDGES = 250_000
 PLACEHOLDERS = ("-", "--", "?", "n/a", "na", "n.a.", "nil", "none", "null", "not available", "not known", "tba", "tbd", "undefined", "unknown", "unspecified", "not stated", "not specified", "anonymous")
 
 
-def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over the edges of one partition: (node, smallest node of its tree)."""
+def _local_forests(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Union-find over each most edges of a partition: (node, smallest node of its tree)."""
     parent: dict[str, str] = {}
 
     def root(x: str) -> str:
@@ -29,41 +30,67 @@ def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             x = parent[x]
         return x
 
+    def trees() -> Iterator[pa.RecordBatch]:
+        nodes = list(parent)
+        for i in range(0, len(nodes), 50_000):
+            part = nodes[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([root(x) for x in part], pa.string())], names=["node", "root"])
+
+    held = 0
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if held == most:  # the rest of a partition that is larger than its share is a forest of its own
+                yield from trees()
+                parent, held = {}, 0
+            held += 1
             parent.setdefault(a, a)
             parent.setdefault(b, b)
             a, b = root(a), root(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    nodes = list(parent)
-    for i in range(0, len(nodes), 50_000):
-        part = nodes[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([root(x) for x in part], pa.string())], names=["node", "root"])
+    yield from trees()
+
+
+def _gathered(level: DataFrame, number: int, parts: int) -> DataFrame:
+    """The edges of a level dealt to parts so that those around the same node lie together.
+
+    Each node has a random rank, new in every level. An edge goes to the part of the node of least rank in the closed
+    neighbourhood of its first end. So a forest joins whole neighbourhoods of such nodes, of which there are half as
+    many as nodes along a chain and fewer wherever nodes have more neighbours.
+    """
+    rank = lambda c: F.xxhash64(F.lit(number), c)
+    ends = level.select("a", "b").union(level.select("b", "a")).union(level.select("a", "a"))
+    centre = ends.groupBy("a").agg(F.min(F.struct(rank(F.col("b")).alias("r"), F.col("b").alias("centre"))).alias("m")).select("a", "m.centre")
+    return level.join(centre, "a").repartition(parts, "centre").select("a", "b")
 
 
-def connected_components(edges: DataFrame, per_task: int = FOREST_EDGES) -> DataFrame:
+def connected_components(edges: DataFrame, per_task: int = FOREST_EDGES, count_levels: list[int] | None = None) -> DataFrame:
     """(node, component) of all nodes of edges (a STRING, b STRING); component is the smallest node that a path reaches.
 
-    Each level cuts the edges into parts of about per_task, builds a forest of each part by union-find, and labels each
-    node with the smallest root it has in any part. What is left to merge are edges between the roots of nodes that
-    occur in several parts; they are the next level's edges, far fewer, in fewer parts. The last level has one part, of
-    at most per_task edges, or none. Labels are then composed from the last level to the first. Parts are cut by a
-    hash of the edge (at first of a alone), so the edges of a node of any degree are spread; within a part such a node
-    costs one row. Edges with a null end are dropped; repeated edges and loops change nothing.
+    Each level cuts the edges into parts of about per_task, builds forests of at most per_task edges in each part by
+    union-find, and labels each node with the smallest root that it has anywhere. What is left to merge are edges between
+    the roots of nodes that occur in several forests; they are the next level's edges. From the second level on the
+    edges of a neighbourhood are gathered in one part (see _gathered), so at most half of the trees are left by the
+    next level and there are about log2(parts) levels, whatever the order of the nodes. The last level has one part.
+    Labels are then composed from the last level to the first. The first level is cut by a hash of a, so the edges of a
+    node of any degree on the other side are spread; after that a node has at most one edge per forest. Edges with a
+    null end are dropped; repeated edges and loops change nothing. count_levels receives the parts of each level.
     """
     level = edges.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b")
-    left, labels, by = level.count(), [], ["a"]
+    left, labels = level.count(), []
     while left:
         parts = ceil(left / per_task)
-        forest = level.repartition(parts, *by).mapInArrow(_local_forest, "node string, root string")
-        # A node has at most one root per part, so the set is bounded by the number of parts.
+        if count_levels is not None:
+            count_levels.append(parts)
+        dealt = level.repartition(parts, "a") if not labels or parts == 1 else _gathered(level, len(labels), parts)
+        forest = dealt.mapInArrow(lambda batches: _local_forests(batches, per_task), "node string, root string")
+        # A node has at most one root per forest, so the set is bounded by the number of forests.
         named = cut_lineage(forest.groupBy("node").agg(F.min("root").alias("label"), F.collect_set("root").alias("roots")))
         labels.append(named.select("node", "label"))
         if parts == 1:
             break
-        level = named.select(F.explode("roots").alias("a"), F.col("label").alias("b")).where("a != b").distinct()
-        left, by = level.count(), ["a", "b"]
+        level = cut_lineage(named.select(F.explode("roots").alias("a"), F.col("label").alias("b")).where("a != b").distinct())
+        left = level.count()
     if not labels:
         return level.select(F.col("a").alias("node"), F.col("b").alias("component"))
     out = labels.pop()
@@ -88,10 +115,11 @@ def related_groups(records: DataFrame, key: str, fields: Sequence[str], placehol
     return nodes.select(F.substring("node", 2, 1 << 30).alias(key), F.substring("component", 2, 1 << 30).alias("group_id"))
 
 
-def torn_groups(grouped: DataFrame, split: str) -> DataFrame:
-    """The rows of grouped (with group_id) whose group has more than one split; null splits don't count."""
-    torn = grouped.groupBy("group_id").agg(F.min(split).alias("_a"), F.max(split).alias("_b")).where("_a < _b").select("group_id")
-    return grouped.join(torn, "group_id", "left_semi")
+def torn_groups(grouped: DataFrame, split: str, name: str) -> DataFrame:
+    """The rows of grouped (with group_id) whose group has more than one split, with group_<name>, the least value of
+    the column name in the group; null splits don't count. A group may hold any share of the rows."""
+    sums = grouped.groupBy("group_id").agg(F.min(split).alias("_a"), F.max(split).alias("_b"), F.min(name).alias(f"group_{name}"), F.count("*").alias("_n"))
+    return weighted_join(grouped, cut_lineage(sums.where("_a < _b").drop("_a", "_b")), "group_id", "_n")
 
 
 def _dealt(deficits: list[int], size: int, count: int) -> list[int]:
@@ -137,7 +165,7 @@ def assign_splits(grouped: DataFrame, targets: Sequence[tuple[str, int]], seed:
             if got:
                 plan.append((size, start, start + got, name))
                 start += got
-    parts = grouped.sparkSession.createDataFrame(plan, "_size bigint, _from bigint, _to bigint, split string")
+    parts = F.broadcast(grouped.sparkSession.createDataFrame(plan, "_size bigint, _from bigint, _to bigint, split string"))  # rows: splits x different sizes
     ranked = running(sizes.withColumn("_key", seeded_key(seed, "group_id")), ["_size"], "_key", "group_id").drop("before", "_key")
-    chosen = ranked.join(parts, [ranked["_size"] == parts["_size"], F.col("rank") > F.col("_from"), F.col("rank") <= F.col("_to")]).select("group_id", "split")
-    return grouped.drop("split").join(chosen, "group_id")
+    chosen = ranked.join(parts, [ranked["_size"] == parts["_size"], F.col("rank") > F.col("_from"), F.col("rank") <= F.col("_to")]).select("group_id", "split", ranked["_size"])
+    return weighted_join(grouped.drop("split"), cut_lineage(chosen), "group_id", "_size")

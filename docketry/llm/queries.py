@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm import components, lookalike, mixing, packing, pairs, quotas, scan_noise, tiling
+from docketry.session import cut_lineage
 from docketry.sources.tables import one_per_key, table, tidy
 
 
@@ -53,14 +54,11 @@ def _selection(spark: SparkSession, folder: str) -> DataFrame:
 def _grouped(spark: SparkSession, folder: str) -> DataFrame:
     records = _selection(spark, folder)
     groups = components.related_groups(records, "event_key", ["event_family_id", "source_id", "author"])
-    return records.join(groups, "event_key")
+    return cut_lineage(records.join(groups, "event_key").select("event_id", "group_id", "proposed_split"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    grouped = _grouped(spark, folder).select("event_id", "group_id", "proposed_split")
-    torn = components.torn_groups(grouped, "proposed_split")
-    named = torn.groupBy("group_id").agg(F.min("event_id").alias("group_event_id"))
-    return torn.join(named, "group_id").select("group_event_id", "event_id")
+    return components.torn_groups(_grouped(spark, folder), "proposed_split", "event_id").select("group_event_id", "event_id")
 
 
 def p2_splits(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,4 +1,5 @@
 from collections import Counter, defaultdict
+from math import log2
 
 from docketry.llm.components import _dealt, assign_splits, connected_components, related_groups, torn_groups
 from hypothesis import given, settings
@@ -33,6 +34,18 @@ def test_components_in_one_level_and_in_many(spark):
     assert connected_components(df.limit(0)).count() == 0
 
 
+def test_levels_are_few_whatever_the_order(spark):
+    chain = spark.range(1500).selectExpr("format_string('n%05d', id) a", "format_string('n%05d', id + 1) b")
+    star = spark.range(1500).selectExpr("format_string('n%05d', id) a", "'hub' b")
+    grid = spark.range(900).selectExpr("format_string('n%05d', id) a", "format_string('n%05d', CASE WHEN id % 30 < 29 THEN id + 1 ELSE id END) b")
+    grid = grid.union(spark.range(870).selectExpr("format_string('n%05d', id)", "format_string('n%05d', id + 30)"))
+    for edges in (chain, star, grid):
+        parts: list[int] = []
+        got = connected_components(edges, 50, parts)
+        assert {r[0] for r in got.select("component").distinct().collect()} == {"hub" if edges is star else "n00000"}
+        assert len(parts) <= log2(parts[0]) + 3
+
+
 RECORDS = [("e3", "F1", None, "train"), ("e1", "f1 ", "s", "TRAIN"), ("e2", None, "S", "test"), ("e4", "unknown", "-", None), ("e5", "Unknown", "", "test"), ("e6", "g", None, None), ("e7", "G", None, "test")]
 
 
@@ -42,7 +55,7 @@ def test_related_and_torn(spark):
     got = dict(map(tuple, groups.collect()))
     assert got == {"e1": "e1", "e2": "e1", "e3": "e1", "e4": "e4", "e5": "e5", "e6": "e6", "e7": "e6"}
     held = df.drop("group_id").join(groups, "k").withColumnRenamed("split", "s")
-    assert {r["k"] for r in torn_groups(held, "s").collect()} == {"e1", "e2", "e3"}
+    assert {(r["k"], r["group_k"]) for r in torn_groups(held, "s", "k").collect()} == {("e1", "e1"), ("e2", "e1"), ("e3", "e1")}
     assert related_groups(df.limit(0), "k", ["family"]).count() == 0
 
 
