@@ -89,6 +89,39 @@ def test_each_line_end_reads_by_itself(spark):
         assert set(found(spark, texts, items, sent_windows=sent)) == {(0, "i"), (1, "i"), (2, "i")}
 
 
+def test_dense_line_ends_in_any_mix(spark):
+    items = [("i", "the runway surface aircraft landed engine left-hand side was damaged"), ("j", "alpha runway beta sur face gamma air-craft delta run way surface landed here")]
+    texts = [
+        "run-\nway sur-\nface air-\ncraft landed engine left-\nhand side was",
+        "al-\npha run-\nway be-\nta sur-\nface gam-\nma air-\ncraft del-\nta run-\nway sur-\nface land-\ned here",
+        "run-\nway sur-\nface air-\ncraft landed engine left-\nhander side was",
+        " ".join(f"w{i}a-\nb" for i in range(3000)) + " the run-\nway sur-\nface air-\ncraft land-\ned en-\ngine left-\nhand",
+        "a-\n" * 3000 + "b",
+    ]
+    for sent in (10**6, 0):
+        assert set(found(spark, texts, items, sent_windows=sent)) == {(0, "i"), (1, "j"), (3, "i")}
+        assert set(found(spark, [x.replace("-\n", "") for x, _ in zip(texts, range(1), strict=False)], [("d", texts[1])], sent_windows=sent)) == set()
+    for mix in range(0, 1024, 37):
+        text = " ".join(f"p{i}" + ("-\n" if mix >> i & 1 else "") + f"q{i}" if i % 2 else f"p{i}-\nq{i}" for i in range(10))
+        item = " ".join(f"p{i}q{i}" if mix >> i & 1 else f"p{i} q{i}" if not i % 2 else f"p{i}q{i}" for i in range(10))
+        with np.errstate(over="ignore"):
+            known = set(tiling.running_windows(parts_of(item).hashes, 8).tolist())
+            parts = parts_of(text.replace("-\n", tiling.MARK))
+            spans = [(int(p), int(q), int(h)) for p, q, h in zip(parts.first, parts.last, parts.whole, strict=True)]
+            windows = {x[0] for x in tiling.divided_windows(parts.hashes, spans, 8, np.ones(len(parts.hashes), bool))} | set(tiling.running_windows(parts.hashes, 8).tolist())
+        assert known <= windows
+
+
+def parts_of(text):
+    return tiling.word_parts(tiling.Block(np.array([ord(c) for c in text], np.uint32), np.array([0, len(text)])))
+
+
+def test_divided_passages(spark):
+    items = [("i", "the run-\nway sur-\nface of air-\ncraft land-\ned here"), ("j", "no eight words in here")]
+    for sent in (10**6, 0):
+        assert set(found(spark, ["the runway surface of aircraft landed here today", "the run way surface of air craft landed here", "THE RUN WAY SUR FACE OF AIR CRAFT LAND ED"], items, 7, sent_windows=sent)) == {(0, "i"), (1, "i"), (2, "i")}
+
+
 def test_reordered_passage_by_coverage(spark):
     words = [f"w{i}" for i in range(20)]
     text = " ".join(words[10:] + words[:10])
