@@ -21,46 +21,59 @@ def existence_deltas(rows: DataFrame, key: Column, came: str = "ingested_at", we
     return deltas.groupBy("key", F.col("d.at").alias("at")).agg(F.sum("d.alive").alias("alive"), F.sum("d.seen").alias("seen"))
 
 
-def judged_references(references: DataFrame, deltas: DataFrame, period: str = "day") -> DataFrame:
-    """references (with ref_key and created_at, one row per reference) with reason: null where sound, else missing,
-    deleted or late.
+def reference_deltas(references: DataFrame, came: str = "created_at", went: str | None = None) -> DataFrame:
+    """(key, at, refs): +1 at the time a reference (ref_key) was made, -1 when it was taken back, summed per key and time.
+
+    Null times count as before all others. Without a column went, references stay. Null keys are left out.
+    """
+    made = references.where("ref_key IS NOT NULL").select(F.col("ref_key").alias("key"), F.col(came).alias("at"), F.lit(1).alias("refs"))
+    if went:
+        made = made.union(references.where(F.col("ref_key").isNotNull() & F.col(went).isNotNull()).select("ref_key", went, F.lit(-1)))
+    return made.groupBy("key", "at").agg(F.sum("refs").alias("refs"))
+
 
-    A reference is sound if its key's alive count is positive at created_at, deltas of that moment included. Otherwise
-    reason is missing if no row has the key, deleted if one was seen by then, else late. A null created_at is before all
-    arrivals. Null keys are taken to be left out by the caller.
+def orphan_times(referred: DataFrame, deltas: DataFrame, period: str = "day") -> DataFrame:
+    """(key, at, refs, alive, seen, known, reason) at each time of referred (see reference_deltas) at which a key has more
+    references than were taken back: the running counts, and why its references are orphans: missing if no row has the
+    key, deleted if one was seen by then but none is alive, late if none was seen yet, null if they are sound.
 
-    References and deltas of a key are lined up by time and their counts run along. To spread a key of any number of
-    references, references of one key and moment are judged once, and counts run over periods first and within a period
-    after that; a window never holds more than one period of one key.
+    Deltas of that moment count. A null time is before all arrivals. References and existence (see existence_deltas) of
+    a key are lined up by time and their signed counts run along, over periods first and within a period after that, so
+    a window never holds more than one period of one key, and all references of a key at one moment are one row.
     """
-    asked = references.select(F.col("ref_key").alias("key"), F.col("created_at").alias("at")).distinct()
     unit = lambda c: F.date_trunc(period, c)
-    lined = deltas.select("key", "at", unit("at").alias("unit"), "alive", "seen", F.lit(False).alias("asks")).unionByName(
-        asked.select("key", "at", unit("at").alias("unit"), F.lit(0).alias("alive"), F.lit(0).alias("seen"), F.lit(True).alias("asks"))
+    lined = deltas.select("key", "at", unit("at").alias("unit"), F.lit(0).cast("bigint").alias("refs"), "alive", "seen", F.lit(1).alias("rows")).unionByName(
+        referred.select("key", "at", unit("at").alias("unit"), "refs", F.lit(0).cast("bigint").alias("alive"), F.lit(0).cast("bigint").alias("seen"), F.lit(0).alias("rows"))
     )
-    units = lined.groupBy("key", "unit").agg(F.sum("alive").alias("alive"), F.sum("seen").alias("seen"), F.count(F.when(~F.col("asks"), 1)).alias("rows"), F.max("asks").alias("asked"))
+    counts = ("refs", "alive", "seen")
+    units = lined.groupBy("key", "unit").agg(*[F.sum(c).alias(c) for c in counts], F.sum("rows").alias("rows"), F.max(F.col("rows") == 0).alias("asked"))
     before = Window.partitionBy("key").orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)
     bases = units.select(
-        "key", "unit", "asked", F.coalesce(F.sum("alive").over(before), F.lit(0)).alias("alive0"), F.coalesce(F.sum("seen").over(before), F.lit(0)).alias("seen0"),
-        F.sum("rows").over(Window.partitionBy("key")).alias("known"),
-    ).where("asked").drop("asked")
+        "key", "unit", "asked", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in counts], F.sum("rows").over(Window.partitionBy("key")).alias("known")
+    ).where("asked").drop("asked")
     same = [lined["key"] == bases["key"], lined["unit"].eqNullSafe(bases["unit"])]
     within = lined.join(bases, same).drop(bases["key"]).drop(bases["unit"])
     upto = Window.partitionBy("key", "unit").orderBy(F.col("at").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ran = within.withColumn("alive", F.col("alive0") + F.sum("alive").over(upto)).withColumn("seen", F.col("seen0") + F.sum("seen").over(upto)).where("asks")
+    ran = within.select("key", "at", "known", "rows", *[(F.col(f"{c}0") + F.sum(c).over(upto)).alias(c) for c in counts]).where("rows = 0 AND refs > 0")
     some = F.col("at").isNotNull()
     reason = F.when(F.col("known") == 0, "missing").when(some & (F.col("alive") > 0), F.lit(None)).when(some & (F.col("seen") > 0), "deleted").otherwise("late")
-    verdicts = ran.select("key", "at", reason.alias("reason"))
+    return ran.select("key", "at", *counts, "known", reason.alias("reason"))
+
+
+def judged_references(references: DataFrame, deltas: DataFrame, period: str = "day") -> DataFrame:
+    """references (with ref_key and created_at, one row per reference) with reason: null where sound, else missing,
+    deleted or late at the time they were made; see orphan_times. Null keys drop out.
+    """
+    verdicts = orphan_times(reference_deltas(references), deltas, period).select("key", "at", "reason")
     matched = [references["ref_key"] == verdicts["key"], references["created_at"].eqNullSafe(verdicts["at"])]
     return references.join(verdicts, matched).drop("key", "at")
 
 
-def orphan_report(references: DataFrame, deltas: DataFrame) -> DataFrame:
-    """Keys with references and, at the end of all deltas, no existence: (key, refs, alive, ever), each key once.
+def orphan_report(referred: DataFrame, deltas: DataFrame) -> DataFrame:
+    """(key, refs, alive, ever) of keys with, at the end of all deltas, positive references and no existence, each once.
 
-    The current state of the signed counts, whatever the times of references: positive references, zero existence.
+    The current state of the signed counts of reference_deltas and existence_deltas: one aggregate over both.
     """
-    refs = references.groupBy(F.col("ref_key").alias("key")).agg(F.count("*").alias("refs"))
-    state = deltas.groupBy("key").agg(F.sum("alive").alias("alive"), F.sum("seen").alias("ever"))
-    out = refs.join(state, "key", "left").withColumn("alive", F.coalesce("alive", F.lit(0))).withColumn("ever", F.coalesce("ever", F.lit(0)))
-    return out.where("alive <= 0")
+    both = referred.select("key", "refs", F.lit(0).cast("bigint").alias("alive"), F.lit(0).cast("bigint").alias("seen")).union(deltas.select("key", F.lit(0).cast("bigint"), "alive", "seen"))
+    state = both.groupBy("key").agg(F.sum("refs").alias("refs"), F.sum("alive").alias("alive"), F.sum("seen").alias("ever"))
+    return state.where("refs > 0 AND alive <= 0")

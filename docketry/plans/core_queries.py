@@ -41,7 +41,16 @@ def p6_report(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_report)} | reference_queries.QUERIES
+def p6_current(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys that have references and, after all changes, no row: the current state of the signed counts."""
+    to_chunks, to_sources = _references(spark, folder)
+    chunks = references.existence_deltas(table(spark, folder, "chunks"), tidy("chunk_id"))
+    sources = references.existence_deltas(table(spark, folder, "sources"), tidy("source_document_id"))
+    report = lambda refs, there, name: references.orphan_report(references.reference_deltas(refs), there).select(F.lit(name).alias("target"), F.col("key").alias("ref_key"), "refs", "ever")
+    return report(to_chunks, chunks, "chunks").unionByName(report(to_sources, sources, "sources"))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_report, p6_current)} | reference_queries.QUERIES
 
 _P6 = r"""
 WITH refs AS (
@@ -67,6 +76,11 @@ found AS (
 
 ORACLES = {
     "p6_found": _P6 + "SELECT ref_table, record_key, ref_field, ref_key, reason, period FROM found",
+    "p6_current": _P6 + """
+SELECT CASE r.kind WHEN 'c' THEN 'chunks' ELSE 'sources' END AS target, r.k AS ref_key, r.refs,
+  CAST((SELECT count(*) FROM there t WHERE t.kind = r.kind AND t.k = r.k AND t.i IS NOT NULL) AS BIGINT) AS ever
+FROM (SELECT kind, ref_key AS k, count(*) AS refs FROM refs GROUP BY 1, 2) r
+WHERE NOT EXISTS (SELECT 1 FROM there t WHERE t.kind = r.kind AND t.k = r.k AND t.i IS NOT NULL AND t.d IS NULL)""",
     "p6_report": _P6 + """
 SELECT ref_table, ref_field, period, reason, count(*) AS n_references, count(DISTINCT record_key) AS n_records, count(DISTINCT ref_key) AS n_keys
 FROM found GROUP BY 1, 2, 3, 4""",

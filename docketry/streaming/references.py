@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def delta_stream(references: DataFrame, existence: DataFrame) -> DataFrame:
+    """One stream of changes (key, refs, alive) for running_orphans, from a stream of reference changes (key, refs) and one
+    of existence changes (key, alive), +1 and -1 as in reference_deltas and existence_deltas."""
+    return references.select("key", F.col("refs").cast("int").alias("refs"), F.lit(0).alias("alive")).unionByName(existence.select("key", F.lit(0).alias("refs"), F.col("alive").cast("int").alias("alive")))
+
+
 def running_orphans(deltas: DataFrame) -> DataFrame:
     """(key, refs, alive) of the keys with references and without existence, from a stream (key, refs INT, alive INT).
 

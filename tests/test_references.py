@@ -1,7 +1,7 @@
 from datetime import datetime, timedelta
 
-from docketry.operators.references import existence_deltas, judged_references, orphan_report
-from docketry.streaming.references import running_orphans
+from docketry.operators.references import existence_deltas, judged_references, orphan_report, orphan_times, reference_deltas
+from docketry.streaming.references import delta_stream, running_orphans
 from pyspark.sql import functions as F
 
 T0 = datetime(2024, 1, 1)
@@ -48,9 +48,14 @@ def test_empty_tables(spark):
 
 def test_current_orphans(spark):
     rows = spark.createDataFrame([("a", day(1), None, ""), ("b", day(1), day(2), ""), ("c", day(1), None, "")], ROWS)
-    refs = spark.createDataFrame([("r", "b"), ("r", "a"), ("s", "b"), ("s", "z")], "record string, ref_key string")
-    got = {r["key"]: (r["refs"], r["alive"], r["ever"]) for r in orphan_report(refs, existence_deltas(rows, F.col("key"))).collect()}
+    refs = [("r", "b", day(3), None), ("r", "a", day(3), None), ("s", "b", day(3), None), ("s", "z", None, None), ("t", "y", day(1), day(2)), ("u", "b", day(4), day(5)), ("v", None, day(1), None)]
+    made = reference_deltas(spark.createDataFrame(refs, "record string, ref_key string, created_at timestamp, dropped_at timestamp"), went="dropped_at")
+    existence = existence_deltas(rows, F.col("key"))
+    got = {r["key"]: (r["refs"], r["alive"], r["ever"]) for r in orphan_report(made, existence).collect()}
     assert got == {"b": (2, 0, 1), "z": (1, 0, 0)}
+    times = {(r["key"], r["at"]): (r["refs"], r["reason"]) for r in orphan_times(made, existence).collect()}
+    assert times[("b", day(4))] == (3, "deleted") and times[("b", day(5))] == (2, "deleted") and times[("y", day(1))] == (1, "missing") and ("y", day(2)) not in times
+    assert orphan_report(made.limit(0), existence).count() == 0
 
 
 def test_streaming_report(spark, tmp_path):
@@ -66,3 +71,19 @@ def test_streaming_report(spark, tmp_path):
         assert [(r["key"], r["refs"]) for r in spark.table("orphans").collect()] == [("b", 1)]
     finally:
         out.stop()
+
+
+def test_stream_gives_the_batch_report(spark, tmp_path):
+    rows = spark.createDataFrame([(f"k{i % 7}", day(i), day(i + 3) if i % 2 else None, "") for i in range(20)] + [("k9", day(1), day(2), "")], ROWS)
+    refs = spark.createDataFrame([(str(i), f"k{i % 11}", day(i)) for i in range(40)], "record string, ref_key string, created_at timestamp")
+    made, existence = reference_deltas(refs), existence_deltas(rows, F.col("key"))
+    made.write.parquet(str(tmp_path / "refs"))
+    existence.write.parquet(str(tmp_path / "rows"))
+    streams = [spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name)) for df, name in ((made, "refs"), (existence, "rows"))]
+    out = running_orphans(delta_stream(*streams)).writeStream.format("memory").queryName("running").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        out.processAllAvailable()
+        got = sorted((r["key"], r["refs"], r["alive"]) for r in spark.table("running").collect())
+    finally:
+        out.stop()
+    assert got == sorted((r["key"], r["refs"], r["alive"]) for r in orphan_report(made, existence).collect()) != []
