@@ -234,3 +234,73 @@ def _composed(points: np.ndarray, offsets: np.ndarray) -> Block:
         keep[marks[at[joined]]] = False
         last_class[r[~joined]] = classes[at[~joined]]
     return Block(points[keep], np.concatenate(([0], np.cumsum(keep)))[offsets])
+
+
+#: Scripts whose letters are brought back in their own words, by their blocks. The order settles nothing but speed.
+SCRIPTS = {"Cyrillic": (0x400, 0x530), "Greek": (0x370, 0x400), "Armenian": (0x530, 0x590)}
+
+
+@cache
+def _own_letters() -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Whether a code point is a letter or a mark, whether it is a Latin letter, and per script the letter of the script
+    that is drawn like it (0 where there is none)."""
+    word, latin = np.zeros(LIMIT, bool), np.zeros(LIMIT, bool)
+    for cp in (*range(0x250), *range(0x300, 0x590), *range(0x1E00, 0x2000)):
+        ch = chr(cp)
+        word[cp] = unicodedata.category(ch)[0] in "LM"
+        latin[cp] = "LATIN" in unicodedata.name(ch, "")
+    backs = []
+    for a, b in SCRIPTS.values():
+        back: dict[int, int] = {}
+        for x in LOOKALIKES.split():
+            if a <= ord(x[0]) < b and x[1].isalpha():
+                back.setdefault(ord(x[1]), ord(x[0]))
+        for cp in np.flatnonzero(latin):  # accented letters, by their letter
+            parts = unicodedata.normalize("NFD", chr(cp))
+            if len(parts) > 1 and ord(parts[0]) in back:
+                whole = unicodedata.normalize("NFC", chr(back[ord(parts[0])]) + parts[1:])
+                if len(whole) == 1:
+                    back.setdefault(int(cp), ord(whole))
+        to = np.zeros(LIMIT, np.uint32)
+        to[list(back)] = list(back.values())
+        backs.append(to)
+    return word, latin, backs
+
+
+def scripted(block: Block) -> Block:
+    """A block in the one form of canonical, with each word in one script: letters drawn like Latin ones are those of
+    another script in words that have more letters that only this script has than letters that only Latin has, and in
+    words without either where more words of the text are of that script. The result depends on the one form alone, so
+    texts that look the same stay equal.
+    """
+    word, latin, backs = _own_letters()
+    points, offsets = block
+    if not len(points) or points.max() < 0x370:
+        return block
+    inside = word[points]
+    begins = inside & ~np.concatenate(([False], inside[:-1]))
+    row_starts = offsets[:-1][offsets[:-1] < offsets[1:]]
+    begins[row_starts] |= inside[row_starts]
+    number = np.cumsum(begins) - 1
+    first = np.flatnonzero(begins)
+    if not len(first):
+        return block
+    row = np.searchsorted(offsets, first, "right") - 1
+    rows, out = len(offsets) - 1, points.copy()
+    count = lambda flags: np.bincount(number[flags & inside], minlength=len(first))
+    is_latin = latin[points]
+    undecided, best = [], np.zeros(rows, np.int64)
+    choice = np.full(rows, -1)
+    for i, ((a, b), back) in enumerate(zip(SCRIPTS.values(), backs, strict=True)):
+        theirs, only_latin = count((points >= a) & (points < b)), count(is_latin & (back[points] == 0))
+        chosen = theirs > only_latin
+        at = inside & chosen[number] & (back[points] > 0)
+        out[at] = back[points[at]]
+        undecided.append((theirs == 0) & (only_latin == 0))
+        votes = np.bincount(row[chosen], minlength=rows) - np.bincount(row[(only_latin > 0) & ~chosen], minlength=rows)
+        choice[votes > best], best = i, np.maximum(best, votes)
+    for i, back in enumerate(backs):
+        drawn_alike = count(back[points] == 0) == 0  # every letter has a form of the script
+        at = inside & (undecided[i] & drawn_alike & (choice[row] == i))[number] & (back[points] > 0)
+        out[at] = back[points[at]]
+    return Block(out, offsets)

@@ -191,13 +191,24 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def p9_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text in the one form, each word in one script."""
+    return lookalike.with_canonical(table(spark, folder, "documents").select("doc_id", "text"), scripts=True).select("doc_id", F.col("canonical").alias("text"))
+
+
+def p9_plain(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the texts of plain characters, which are in the one form already, length and digest of their form."""
+    own = lookalike.with_canonical(table(spark, folder, "documents").select("doc_id", "text"), scripts=True).where(F.col("text").rlike(r"^[ -~\n]*$"))
+    return own.select("doc_id", F.length("canonical").cast("bigint").alias("n"), F.md5("canonical").alias("digest"))
+
+
 def p9_classes(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.lookalike_classes(table(spark, folder, "documents").select("doc_id", "text"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_coverage, p2_found, p2_splits, p3_found, p3_defects, p4_found, p4_report, p4_available, p4_margins, p4_sample, p5_found, p5_text, p7_found, p7_placement, p7_held, p7_report, p8_found, p8_report, p8_routed, p8_mix, p8_shared, p9_found, p9_classes)
+    for f in (p1_found, p1_coverage, p2_found, p2_splits, p3_found, p3_defects, p4_found, p4_report, p4_available, p4_margins, p4_sample, p5_found, p5_text, p7_found, p7_placement, p7_held, p7_report, p8_found, p8_report, p8_routed, p8_mix, p8_shared, p9_found, p9_text, p9_plain, p9_classes)
 }
 
 _EVENTS = """
@@ -246,6 +257,8 @@ WITH own AS (SELECT lower(trim(source)) AS s, sum(n_tokens) AS t FROM documents
 size AS (SELECT sum(n_tokens) * 3 // 5 AS n FROM documents)
 SELECT m.source FROM mix_targets m LEFT JOIN own ON own.s = lower(trim(m.source)), size
 WHERE m.max_repeats * coalesce(own.t, 0) * 10000 < m.target_bp * size.n""",
+    "p9_plain": """
+SELECT doc_id, length(text) AS n, md5(text) AS digest FROM documents WHERE regexp_full_match(text, '[ -~\n]*')""",
     "p2_found": """
 WITH RECURSIVE
 one AS (

@@ -62,3 +62,16 @@ def test_classes_and_nulls(spark):
     assert got[9] == (1, 3) and got[5] == (5, 1) and not {6, 7, 8} & set(got)
     held = {r["doc_id"]: r["canonical"] for r in with_canonical(df.withColumnRenamed("text", "canonical"), "canonical", "form").withColumnRenamed("form", "f").select("doc_id", "f").withColumnRenamed("f", "canonical").collect()}
     assert held[6] is None and held[7] == "" and held[2] == "wing"
+
+
+def test_one_script_per_word(spark):
+    texts = {
+        1: "Самолёт совершил посадку", 2: "Cамолёт coвершил пocaдку", 3: "The copy сору was есо", 4: "The copy copy was eco", 5: "ｐｌａｉｎ о\u0301", 6: "Он и с ней", 7: None, 8: "",
+        9: "ΑΘΗΝΑ οδός", 10: "AΘHNA oδός", 11: "Её ёлка в cеле",
+    }
+    df = spark.createDataFrame([(i, t, "clash") for i, t in texts.items()], "doc_id bigint, text string, canonical string")
+    got = {r["doc_id"]: r["canonical"] for r in with_canonical(df, scripts=True).collect()}
+    assert got[1] == got[2] == texts[1] and got[3] == got[4] == texts[4] and got[5] == "plain ó" and got[6] == texts[6] and got[7] is None and got[8] == ""
+    assert got[9] == got[10] == texts[9] and got[11] == "Её ёлка в селе"
+    plain = {r["doc_id"]: r["canonical"] for r in with_canonical(df).collect()}
+    assert len({plain[1], plain[2]}) == 1 and len({plain[i] for i in plain}) == len({got[i] for i in got})
