@@ -1,9 +1,14 @@
-"""Text as it is compared: folding, tokens, normalized answers, sentences, digests. All are JVM expressions."""
+"""Text as it is compared: folding, tokens, normalized answers, sentences, digests. All but one are JVM expressions."""
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TOKEN = r"[\p{L}\p{N}_]+(?:[-./][\p{L}\p{N}_]+)*"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -27,6 +32,20 @@ def normalized_answer(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?U)\b(a|an|the)\b", " "), r"(?U)\s+", " "))
 
 
+_COMPATIBLE_WORD = re.compile(r"[\w-]+")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _compatible_words(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: _COMPATIBLE_WORD.findall(unicodedata.normalize("NFKC", t).casefold()), na_action="ignore")
+
+
+def compatible_words(c: Column | str) -> Column:
+    """Words of the compatibility form (NFKC) without case: runs of letters, digits, underscores and hyphens. Null gives
+    no words. Spark has no Unicode normalization, so this is the one step in Arrow batches; what follows is JVM-side."""
+    return F.coalesce(_compatible_words(c), F.array().cast("array<string>"))
+
+
 def sentences(c: Column | str) -> Column:
     return F.split(c, r"(?<=[.!?])\s+")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.functions.text import normalized_answer, tokens
+from docketry.functions.text import normalized_answer
 
 IDENTIFIER = r"(?<![A-Z0-9-])(?=[A-Z0-9-]*[A-Z])(?=[A-Z0-9-]*\d)[A-Z0-9-]{5,}(?![A-Z0-9-])"
 
@@ -57,9 +57,8 @@ def half_even_percentiles(rows: DataFrame, value: str, shares: dict[str, float])
     return upto.agg(*[F.min(F.when(F.col("_to") > F.bround(F.lit((total - 1) * share)), F.col(value))).alias(name) for name, share in shares.items()])
 
 
-def token_f1(predicted: Column, expected: Column) -> Column:
-    """F1 of the two multisets of words; 1 if both are empty, 0 if one is."""
-    a, b = tokens(predicted), tokens(expected)
+def token_f1(a: Column, b: Column) -> Column:
+    """F1 of two multisets of words (arrays, see compatible_words); 1 if both are empty, 0 if one is."""
     both = F.array_distinct(F.array_intersect(a, b))
     times = lambda xs, t: F.size(F.filter(xs, lambda x: x == t))
     common = F.aggregate(both, F.lit(0), lambda s, t: s + F.least(times(a, t), times(b, t)))
@@ -81,9 +80,14 @@ def citation_scores(predicted: Column, gold: Column) -> tuple[Column, Column]:
 
 
 def numeric_match(answer: Column, target: Column, tolerance: Column | float = 0.0) -> Column:
-    """Whether any number of answer, commas left out, is within tolerance of target; null answers don't match."""
-    numbers = F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(r"(?<![\w.])-?\d[\d,]*(?:\.\d+)?"), F.lit(0))
-    return F.exists(numbers, lambda x: F.abs(F.regexp_replace(x, ",", "").cast("double") - target) <= tolerance)
+    """Whether any number of answer, commas left out, is within tolerance of target; null answers don't match.
+
+    A number is a run of digits and commas that starts with a digit, with a minus before it and a fraction after it if
+    there are any; it doesn't begin within a word or another number.
+    """
+    within = r"[\w.]"
+    numbers = F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(rf"(?<!{within})-?[0-9][0-9,]*(?:\.[0-9]+)?"), F.lit(0))
+    return F.exists(numbers, lambda x: F.abs(F.translate(x, ",", "").cast("double") - target) <= tolerance)
 
 
 def all_mentioned(answer: Column, facts: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.operators import references
-from docketry.plans import reference_queries
+from docketry.plans import corpus_queries, reference_queries
 from docketry.sources.tables import table, tidy
 
 
@@ -50,7 +50,7 @@ def p6_current(spark: SparkSession, folder: str) -> DataFrame:
     return report(to_chunks, chunks, "chunks").unionByName(report(to_sources, sources, "sources"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_report, p6_current)} | reference_queries.QUERIES
+QUERIES = {f.__name__: f for f in (p6_found, p6_report, p6_current)} | reference_queries.QUERIES | corpus_queries.QUERIES
 
 _P6 = r"""
 WITH refs AS (
@@ -84,4 +84,4 @@ WHERE NOT EXISTS (SELECT 1 FROM there t WHERE t.kind = r.kind AND t.k = r.k AND
     "p6_report": _P6 + """
 SELECT ref_table, ref_field, period, reason, count(*) AS n_references, count(DISTINCT record_key) AS n_records, count(DISTINCT ref_key) AS n_keys
 FROM found GROUP BY 1, 2, 3, 4""",
-} | reference_queries.ORACLES
+} | reference_queries.ORACLES | corpus_queries.ORACLES

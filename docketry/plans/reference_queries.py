@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.functions.text import PUNCTUATION, STOP_WORDS, tokens
-from docketry.operators import answers, chunking, evaluation, integrity, metrics, retrieval, selection, training_records
+from docketry.functions.text import PUNCTUATION, STOP_WORDS, compatible_words, tokens
+from docketry.operators import answers, evaluation, integrity, metrics, retrieval, selection, training_records
 from docketry.sources import snapshots
 from docketry.sources.tables import one_per_key, table, tidy
 
@@ -199,11 +199,6 @@ def scope_violations(spark: SparkSession, folder: str) -> DataFrame:
     return integrity.scope_violations(dev, one_per_key(table(spark, folder, "sources"), "source_document_id", ["event_id", "event_family_id", "split"]))
 
 
-def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
-    own = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "text")
-    return chunking.chunked(own).select("chunk_id", "document_id", "start_offset", "end_offset", "section", "kind")
-
-
 def chunk_lengths(spark: SparkSession, folder: str) -> DataFrame:
     lengths = table(spark, folder, "chunks").select(F.length("text").alias("n"))
     return metrics.half_even_percentiles(lengths, "n", {"least": 0.0, "median": 0.5, "p95": 0.95, "most": 1.0})
@@ -222,7 +217,8 @@ def _answered(spark: SparkSession, folder: str) -> DataFrame:
 
 def token_f1(spark: SparkSession, folder: str) -> DataFrame:
     own = _answered(spark, folder)
-    return own.select("record_id", F.round(metrics.token_f1(F.col("answer"), F.col("quote")), 6).alias("f1"), metrics.exact_match(F.col("answer"), F.col("quote")).alias("exact"))
+    words = own.withColumn("a", compatible_words("answer")).withColumn("b", compatible_words("quote"))
+    return words.select("record_id", F.round(metrics.token_f1(F.col("a"), F.col("b")), 6).alias("f1"), metrics.exact_match(F.col("answer"), F.col("quote")).alias("exact"))
 
 
 def numeric_matches(spark: SparkSession, folder: str) -> DataFrame:
@@ -243,19 +239,40 @@ def citation_scores(spark: SparkSession, folder: str) -> DataFrame:
     return held.select("example_id", F.round(precision, 6).alias("precision"), F.round(recall, 6).alias("recall"))
 
 
-def failure_classes(spark: SparkSession, folder: str) -> DataFrame:
-    content = F.try_element_at("messages", F.lit(-1))["content"]
-    return _sft(spark, folder).groupBy(F.coalesce(answers.failure_class(content), F.lit("readable")).alias("failure")).agg(F.count("*").alias("n_records"))
-
-
-def processed_answers(spark: SparkSession, folder: str) -> DataFrame:
-    """The last message of each record on the chunks that the record names."""
-    own = _sft(spark, folder).withColumn("raw", F.try_element_at("messages", F.lit(-1))["content"])
+def _processed(spark: SparkSession, folder: str) -> DataFrame:
+    """The last message of each record on the chunks that the record names, as raw and out, with the words of raw."""
+    own = one_per_key(table(spark, folder, "sft"), "record_id", ["messages", "created_at", "ingested_at"]).withColumn("raw", F.try_element_at("messages", F.lit(-1))["content"])
     context = F.concat_ws("\n", F.transform(F.filter("messages", lambda m: tidy(m["role"]) == "user"), lambda m: m["content"]))
     ids = F.regexp_extract_all(context, F.lit(r'<chunk id="([^"]*)">'), F.lit(1))
     texts = F.regexp_extract_all(context, F.lit(r'(?s)<chunk id="[^"]*">\s*(.*?)\s*</chunk>'), F.lit(1))
-    own = own.withColumn("ids", ids).withColumn("texts", texts).where(F.size("ids") == F.size("texts"))
-    return own.withColumn("out", answers.postprocess(F.col("raw"), F.col("ids"), F.col("texts"))).select("record_id", "out.answer", F.size("out.citations").alias("n_citations"), "out.abstained", "out.abstention_reason", "out.warnings")
+    words = F.size(F.filter(F.split(F.coalesce("raw", F.lit("")), r"\s+"), lambda w: w != ""))
+    return own.withColumn("out", answers.postprocess(F.col("raw"), ids, texts)).withColumn("words", words)
+
+
+def processed_answers(spark: SparkSession, folder: str) -> DataFrame:
+    return _processed(spark, folder).select("record_id", "out.answer", F.size("out.citations").cast("bigint").alias("n_citations"), "out.abstained", "out.abstention_reason", F.array_join("out.warnings", ",").alias("warnings"))
+
+
+#: Words of a completion from which on an object that isn't closed counts as cut off at the end of the budget.
+COMPLETION_WORDS = 60
+
+
+def failure_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Primary failures of the records' last messages; an abstention counts as right where it gives a reason of its own."""
+    own = _processed(spark, folder)
+    right = F.col("out.abstained") & (F.col("out.abstention_reason") != answers.UNSUPPORTED)
+    failure = answers.failure_class(F.col("raw"), F.col("out.warnings"), F.col("out.abstained"), right, F.col("words"), F.lit(COMPLETION_WORDS))
+    return own.groupBy(F.coalesce(failure, F.lit("none")).alias("failure")).agg(F.count("*").alias("n_records"))
+
+
+def contract_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares of outcomes per form of the output, with the lag of its arrival as latency."""
+    text = F.coalesce(F.trim("raw"), F.lit(""))
+    form = F.when(text == "", "empty").when(text.startswith("```"), "fenced").when(text.startswith("{"), "object").otherwise("plain")
+    lag = F.timestamp_diff("MICROSECOND", "created_at", "ingested_at") / 1000.0
+    rows = _processed(spark, folder).select(form.alias("form"), F.col("out.answer").isNotNull().alias("correct"), "out.warnings", "out.abstained", lag.alias("latency_ms"))
+    out = answers.contract_summary(rows, "form")
+    return out.select("form", "count", *[F.round(c, 6).alias(c) for c in out.columns if c.endswith(("rate", "closed"))], F.round("mean_latency_ms", 1).alias("mean_latency_ms"))
 
 
 def sentence_quality(spark: SparkSession, folder: str) -> DataFrame:
@@ -354,11 +371,14 @@ def extracted_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 def generation_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Passages as generated texts, with and without the number of their chunk."""
-    top = _passages(spark, folder).select("example_id", "passage", F.array("chunk_id").alias("ids"))
+    lag = table(spark, folder, "retrieval_dev").groupBy("example_id").agg(F.min(F.timestamp_diff("MICROSECOND", "created_at", "ingested_at") / 1000.0).alias("latency_ms"))
+    top = _passages(spark, folder).select("example_id", "passage", F.array("chunk_id").alias("ids")).join(lag, "example_id")
     variants = F.array(F.struct(F.lit("rag").alias("variant"), F.concat("passage", F.lit(" [1]")).alias("text")), F.struct(F.lit("passage").alias("variant"), F.col("passage").alias("text")))
-    spread = top.select("example_id", "ids", F.explode(variants).alias("v")).select("example_id", "v.variant", "v.text", F.col("ids").alias("retrieved_chunk_ids"), F.col("ids").alias("context_chunk_ids"))
+    used = F.length("v.text").cast("bigint")
+    spread = top.select("example_id", "ids", "latency_ms", F.explode(variants).alias("v")).select("example_id", "v.variant", "v.text", F.col("ids").alias("retrieved_chunk_ids"), F.col("ids").alias("context_chunk_ids"), "latency_ms", used.alias("completion_tokens"), F.lit(0).cast("bigint").alias("prompt_tokens"))
     out = evaluation.generation_summary(evaluation.generation_scores(spread, _dev(spark, folder)))
-    return out.select("variant", "examples", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("variant", "examples")])
+    means = ("exact_match", "token_f1", "gold_coverage", "citation_precision", "citation_recall", "refusal_correct")
+    return out.select("variant", "examples", *[F.round(c, 6).alias(c) for c in means], F.round("mean_latency_ms", 1).alias("mean_latency_ms"), "completion_tokens")
 
 
 def task_accuracy(spark: SparkSession, folder: str) -> DataFrame:
@@ -397,7 +417,7 @@ _QUERIES = (
     report_urls, snapshot_prefixes, event_profile,
     bm25_topk, bm25_scoped, dense_topk, hybrid_rrf, rerank_topk, context_budget, context_passage, term_spread, retrieval_metrics, retrieval_slices, family_splits, split_leakage,
     first_per_event, replacement_events, event_features, diverse_events, discovery_windows, repeated_chunks, equal_documents, orphan_documents, family_coverage, pending_events,
-    span_violations, uncovered_pages, evidence_violations, scope_violations, chunk_documents, chunk_lengths, chunk_kinds, token_f1, numeric_matches, citation_scores, failure_classes,
+    span_violations, uncovered_pages, evidence_violations, scope_violations, chunk_lengths, chunk_kinds, token_f1, numeric_matches, citation_scores, failure_classes, contract_outcomes,
     processed_answers, sentence_quality, best_sentences, token_budget, chat_rendering, training_rounds, neighbour_records, public_manifest, family_token_sums,
 )
 QUERIES = {f.__name__: f for f in _QUERIES}
@@ -409,6 +429,16 @@ def _tok(x: str) -> str:
     return rf"regexp_extract_all(replace(lower(coalesce({x}, '')), 'ß', 'ss'), '[\p{{L}}\p{{N}}_]+(?:[-./][\p{{L}}\p{{N}}_]+)*')"
 
 
+def _words(x: str) -> str:
+    """The words of generations; the texts of the tables hold no compatibility characters but those that lower maps."""
+    return rf"regexp_extract_all(replace(lower(nfc_normalize(coalesce({x}, ''))), 'ß', 'ss'), '[\p{{L}}\p{{N}}_-]+')"
+
+
+def _flat(x: str) -> str:
+    """NFC, line feeds, single blanks within lines, nothing at the ends."""
+    return rf"trim(regexp_replace(regexp_replace(replace(replace(nfc_normalize({x}), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[\t\v\f\x1c-\x1f\x{{85}}\p{{Z}}]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), ' ' || chr(10))"
+
+
 def _tidy(x: str) -> str:
     return rf"nullif(lower(regexp_replace({x}, '^\s+|\s+$', '', 'g')), '')"
 
@@ -447,6 +477,24 @@ _ANSWERED = f"""{_SF},
 an AS (SELECT record_id, j ->> '$.answer' AS answer, j ->> '$.citations[0].quote' AS quote
   FROM (SELECT record_id, CASE WHEN json_valid({_CONTENT}) THEN CAST({_CONTENT} AS JSON) END AS j FROM sf WHERE len(messages) > 0)
   WHERE answer IS NOT NULL AND quote IS NOT NULL)"""
+_PROCESSED = rf"""sm AS (SELECT record_id, any_value(messages) AS messages, any_value(created_at) AS created_at, max(ingested_at) AS ingested_at FROM sft WHERE record_id IS NOT NULL GROUP BY 1),
+rw AS (SELECT record_id, created_at, ingested_at, messages[-1].content AS raw, array_to_string([m.content for m in messages if {_tidy('m.role')} = 'user'], chr(10)) AS ctx FROM sm),
+cx AS (SELECT *, regexp_extract_all(ctx, '<chunk id="([^"]*)">', 1) AS ids, [{_flat('x')} for x in regexp_extract_all(ctx, '(?s)<chunk id="[^"]*">\s*(.*?)\s*</chunk>', 1)] AS texts, {_flat("coalesce(raw, '')")} AS norm FROM rw),
+cd AS (SELECT *, CASE WHEN length(norm) >= 6 AND starts_with(norm, '```') AND ends_with(norm, '```') THEN trim(regexp_replace(substr(norm, 4, length(norm) - 6), '^(?i:json)', ''), ' ' || chr(10)) ELSE norm END AS cand FROM cx),
+js AS (SELECT *, CASE WHEN json_valid(cand) THEN CAST(cand AS JSON) END AS j FROM cd),
+ty AS (SELECT *, coalesce(json_type(j) = 'OBJECT' AND list_sort(json_keys(j)) = ['abstained', 'abstention_reason', 'answer', 'citations'] AND json_type(j, '$.abstained') = 'BOOLEAN'
+    AND json_type(j, '$.answer') IN ('VARCHAR', 'NULL') AND json_type(j, '$.abstention_reason') IN ('VARCHAR', 'NULL') AND json_type(j, '$.citations') = 'ARRAY', false) AS shaped FROM js),
+cs AS (SELECT *, CASE WHEN shaped THEN CAST(j -> '$.citations' AS JSON[]) ELSE [] END AS cits, shaped AND (j ->> '$.abstained') = 'true' AS declared FROM ty),
+ct AS (SELECT *, len(list_filter(cits, lambda c: NOT coalesce(json_type(c) = 'OBJECT' AND list_sort(json_keys(c)) = ['chunk_id', 'quote'] AND json_type(c, '$.chunk_id') = 'VARCHAR' AND json_type(c, '$.quote') = 'VARCHAR', false))) > 0 AS odd,
+  [{{'c': {_flat("x ->> '$.chunk_id'")}, 'q': {_flat("x ->> '$.quote'")}}} for x in cits] AS pairs FROM cs),
+kp AS (SELECT *, [p for p in pairs if p.c <> '' AND p.q <> '' AND list_contains(ids, p.c) AND contains(texts[list_position(ids, p.c)], p.q)] AS good FROM ct),
+wn AS (SELECT *, {_flat("coalesce(j ->> '$.answer', '')")} AS said, CASE WHEN len(ids) <> len(texts) OR len(ids) <> len(list_distinct(ids)) THEN 'duplicate_evidence' WHEN norm = '' THEN 'empty_output' WHEN length(raw) > 16384 THEN 'output_too_long'
+    WHEN j IS NULL THEN 'invalid_json' WHEN NOT shaped THEN 'malformed_output' WHEN declared THEN CASE WHEN json_type(j, '$.answer') <> 'NULL' OR len(cits) > 0 THEN 'malformed_output' ELSE '' END WHEN odd THEN 'malformed_output' END AS w FROM kp),
+po AS (SELECT record_id, raw, created_at, ingested_at, said, good,
+  CASE WHEN w IS NOT NULL THEN w ELSE array_to_string(list_filter([CASE WHEN len(good) < len(pairs) THEN 'invalid_citation' END, CASE WHEN said = '' OR len(good) = 0 THEN 'insufficient_evidence' END], lambda x: x IS NOT NULL), ',') END AS warnings,
+  w IS NOT NULL OR said = '' OR len(good) = 0 AS abstained,
+  CASE WHEN w = '' THEN coalesce(nullif({_flat("coalesce(j ->> '$.abstention_reason', '')")}, ''), 'insufficient evidence') ELSE 'insufficient evidence' END AS reason FROM wn),
+pr AS (SELECT record_id, raw, created_at, ingested_at, CASE WHEN NOT abstained THEN said END AS answer, CASE WHEN abstained THEN 0 ELSE len(list_distinct(good)) END AS n_citations, abstained, CASE WHEN abstained THEN reason END AS abstention_reason, warnings FROM po)"""
 _SENT = r"string_split(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
 _REASON = "CASE " + " ".join(f"WHEN regexp_matches(s, '(?s){p}') THEN '{n}'" for n, p in training_records.REASONS.items()) + " END"
 _PLAIN = lambda x: rf"array_to_string(list_filter(regexp_split_to_array(trim(regexp_replace(translate(replace(lower({x}), 'ß', 'ss'), '{PUNCTUATION.replace(chr(39), chr(39) * 2)}', ''), '\s+', ' ', 'g')), ' '), lambda t: t NOT IN ('a', 'an', 'the', '')), ' ')"
@@ -490,14 +538,15 @@ SELECT slice, count(*) AS n, round(avg(answer_correct::INT), 6) AS answer_accura
   round(avg(abstention_correct::INT), 6) AS abstention_accuracy, round(coalesce(avg((NOT able)::INT) FILTER (WHERE p), 1.0), 6) AS abstention_precision, round(coalesce(avg(p::INT) FILTER (WHERE NOT able), 1.0), 6) AS abstention_recall FROM sl GROUP BY 1""",
     "generation_summary": rf"""WITH {_PASSAGE},
 gv AS (SELECT example_id, able, ref, evidence, chunk_id, unnest([{{'variant': 'rag', 't': passage || ' [1]'}}, {{'variant': 'passage', 't': passage}}]) AS v FROM pa JOIN ex USING (example_id)),
-gt AS (SELECT v.variant AS variant, v.t AS t, able, ref, chunk_id, list_distinct([e.chunk_id for e in coalesce(evidence, [])]) AS gold, {_tok('v.t')} AS a, {_tok('ref')} AS b,
+gt AS (SELECT example_id, v.variant AS variant, v.t AS t, able, ref, chunk_id, list_distinct([e.chunk_id for e in coalesce(evidence, [])]) AS gold, {_words('v.t')} AS a, {_words('ref')} AS b,
   list_distinct([CAST(x AS INT) for x in regexp_extract_all(v.t, '\[(\d{{1,9}})\]', 1)]) AS cited FROM gv),
 gs AS (SELECT *, CAST(coalesce(list_sum([least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))) for x in list_distinct(list_intersect(a, b))]), 0) AS DOUBLE) AS k FROM gt)
-SELECT variant, count(*) AS examples, round(avg(CASE WHEN ref IS NOT NULL THEN ({_PLAIN('t')} = {_PLAIN('ref')})::INT END), 6) AS exact_match,
+SELECT variant, count(*) AS examples, round(avg(CASE WHEN ref IS NOT NULL THEN (a = b)::INT END), 6) AS exact_match,
   round(avg(CASE WHEN ref IS NULL THEN NULL WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE 2.0 * k / (len(a) + len(b)) END), 6) AS token_f1,
   round(avg(CASE WHEN len(gold) > 0 AND variant = 'rag' THEN list_contains(gold, chunk_id)::INT / len(gold) END), 6) AS gold_coverage,
   round(avg(CASE WHEN able THEN CASE WHEN len(cited) > 0 THEN list_contains(cited, 1)::INT / len(cited) ELSE 0.0 END END), 6) AS citation_precision, round(avg(CASE WHEN able THEN list_contains(cited, 1)::INT END), 6) AS citation_recall,
-  round(avg(CASE WHEN NOT able THEN regexp_matches(array_to_string(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}_-]+'), ' '), 'do not know|does not specify|not specified|insufficient')::INT END), 6) AS refusal_correct FROM gs GROUP BY 1""",
+  round(avg(CASE WHEN NOT able THEN regexp_matches(array_to_string(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}_-]+'), ' '), 'do not know|does not specify|not specified|insufficient')::INT END), 6) AS refusal_correct,
+  round(avg(l), 1) AS mean_latency_ms, CAST(sum(length(t)) AS BIGINT) AS completion_tokens FROM gs JOIN (SELECT example_id, min((epoch_us(ingested_at) - epoch_us(created_at)) / 1000.0) AS l FROM retrieval_dev GROUP BY 1) USING (example_id) GROUP BY 1""",
     "record_problems": rf"""WITH {_SF},
 ow AS (SELECT record_id, messages, CASE WHEN json_valid({_CONTENT}) AND json_type(CASE WHEN json_valid({_CONTENT}) THEN CAST({_CONTENT} AS JSON) END) = 'OBJECT' THEN CAST({_CONTENT} AS JSON) END AS j FROM sf),
 ci AS (SELECT DISTINCT record_id, lower(trim(c ->> '$.chunk_id')) AS chunk_id, c ->> '$.quote' AS quote FROM (SELECT record_id, unnest(CAST(j -> '$.citations' AS JSON[])) AS c FROM ow)),
@@ -605,7 +654,7 @@ FROM d LEFT JOIN s ON d.report_id = s.source_document_id""",
 SELECT min(CASE WHEN i = 0 THEN n END) AS least, min(CASE WHEN i = round_even((c - 1) * 0.5, 0) THEN n END) AS median, min(CASE WHEN i = round_even((c - 1) * 0.95, 0) THEN n END) AS p95, max(n) AS most FROM l""",
     "chunk_kinds": "WITH ch AS (SELECT chunk_id, max(kind) AS kind, max(document_id) AS document_id, max(text) AS text FROM chunks WHERE chunk_id IS NOT NULL GROUP BY 1) SELECT kind, count(*) AS n_chunks, count(DISTINCT document_id) AS n_documents, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM ch GROUP BY 1",
     "token_f1": f"""WITH {_ANSWERED},
-t AS (SELECT record_id, answer, quote, {_tok('answer')} AS a, {_tok('quote')} AS b FROM an),
+t AS (SELECT record_id, answer, quote, {_words('answer')} AS a, {_words('quote')} AS b FROM an),
 c AS (SELECT *, CAST(coalesce(list_sum([least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))) for x in list_distinct(list_intersect(a, b))]), 0) AS DOUBLE) AS k FROM t)
 SELECT record_id, round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE 2.0 * k / (len(a) + len(b)) END, 6) AS f1, {_PLAIN('answer')} = {_PLAIN('quote')} AS exact FROM c""",
     "citation_scores": """WITH d AS (SELECT example_id, any_value(evidence) AS evidence FROM retrieval_dev WHERE example_id IS NOT NULL GROUP BY 1),
@@ -613,6 +662,17 @@ u AS (SELECT DISTINCT example_id, e.chunk_id AS c, e.quote AS q FROM (SELECT exa
 k AS (SELECT example_id, count(*) AS g, count(*) FILTER (WHERE c IN (SELECT chunk_id FROM chunks WHERE chunk_id IS NOT NULL)) AS p FROM u GROUP BY 1)
 SELECT example_id, CAST(CASE WHEN coalesce(p, 0) > 0 THEN 1 WHEN coalesce(g, 0) = 0 THEN 1 ELSE 0 END AS DOUBLE) AS precision, CASE WHEN coalesce(g, 0) > 0 THEN round(p / g, 6) ELSE 1.0 END AS recall
 FROM d LEFT JOIN k USING (example_id)""",
+    "processed_answers": f"WITH {_PROCESSED} SELECT record_id, answer, CAST(n_citations AS BIGINT) AS n_citations, abstained, abstention_reason, warnings FROM pr",
+    "failure_classes": rf"""WITH {_PROCESSED},
+f AS (SELECT *, trim(coalesce(raw, ''), ' ' || chr(9) || chr(10) || chr(13)) AS t, len(list_filter(regexp_split_to_array(coalesce(raw, ''), '\s+'), lambda w: w <> '')) AS n FROM pr)
+SELECT CASE WHEN warnings = '' THEN CASE WHEN abstained AND abstention_reason = 'insufficient evidence' THEN 'unexpected_abstention' ELSE 'none' END
+  WHEN starts_with(t, '{{') AND len(string_split(t, '{{')) > len(string_split(t, '}}')) THEN CASE WHEN n >= {COMPLETION_WORDS} THEN 'generation_truncation' ELSE 'incomplete_json' END
+  WHEN contains(warnings, 'invalid_json') THEN 'non_json_output' WHEN contains(warnings, 'malformed_output') THEN 'schema_violation' WHEN contains(warnings, 'invalid_citation') THEN 'incorrect_citation'
+  WHEN contains(warnings, 'insufficient_evidence') THEN 'missing_citation' ELSE 'other_contract_failure' END AS failure, count(*) AS n_records FROM f GROUP BY 1""",
+    "contract_outcomes": f"""WITH {_PROCESSED},
+f AS (SELECT *, CASE WHEN trim(coalesce(raw, '')) = '' THEN 'empty' WHEN starts_with(trim(raw), '```') THEN 'fenced' WHEN starts_with(trim(raw), '{{') THEN 'object' ELSE 'plain' END AS form FROM pr)
+SELECT form, count(*) AS count, round(avg((answer IS NOT NULL)::INT), 6) AS task_accuracy_after_fail_closed, round(avg((warnings = '')::INT), 6) AS valid_grounded_output_rate, round(avg((warnings <> '')::INT), 6) AS format_failure_rate,
+  round(avg(abstained::INT), 6) AS abstention_rate, round(avg((epoch_us(ingested_at) - epoch_us(created_at)) / 1000.0), 1) AS mean_latency_ms FROM f GROUP BY 1""",
     "sentence_quality": f"""WITH {_BASE.split('qs AS')[0].strip().rstrip(',')}, s AS (SELECT unnest({_SENT}) AS s FROM ch)
 SELECT coalesce({_REASON}, 'accepted') AS reason, count(*) AS n_sentences FROM s WHERE s <> '' GROUP BY 1""",
     "best_sentences": f"""WITH {_BASE.split('qs AS')[0].strip().rstrip(',')}, s AS (SELECT chunk_id, unnest({_SENT}) AS s FROM ch),

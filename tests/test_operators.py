@@ -1,7 +1,9 @@
+import json
 import math
 from collections import Counter
 
 import pytest
+from docketry.functions.text import compatible_words
 from docketry.operators import answers, chunking, integrity, metrics, ranking, retrieval, selection, training_records
 from docketry.sources.tables import one_per_key, tidy
 from hypothesis import given, settings
@@ -128,9 +130,9 @@ def test_retrieval_scores(spark):
     assert got["q2"]["recall"] is None and got["q3"]["ndcg"] is None
 
 
-@pytest.mark.parametrize("a, b, want", [("", "", 1.0), ("x", "", 0.0), ("a a b", "a b b", 2 * 2 / 6), (None, None, 1.0), ("Straße", "strasse", 1.0)])
+@pytest.mark.parametrize("a, b, want", [("", "", 1.0), ("x", "", 0.0), ("a a b", "a b b", 2 * 2 / 6), (None, None, 1.0), ("Straße", "strasse", 1.0), ("ﬁve ½-inch", "FIVE 1⁄2-inch", 1.0), ("the well-known", "well known", 0.0)])
 def test_token_f1(spark, a, b, want):
-    df = spark.createDataFrame([(a, b)], "a string, b string")
+    df = spark.createDataFrame([(a, b)], "a string, b string").select(compatible_words("a").alias("a"), compatible_words("b").alias("b"))
     assert df.select(metrics.token_f1(F.col("a"), F.col("b"))).first()[0] == pytest.approx(want)
 
 
@@ -177,7 +179,7 @@ def test_uncovered_pages(spark):
 @given(st.text(alphabet=" ab.\n😀é", max_size=400))
 def test_chunk_spans(text):
     sizes = chunking.ChunkSizes(40, 10, 8, 10)
-    got = list(chunking.spans(text, 0, len(text), sizes))
+    got = list(chunking.spans(text, sizes))
     covered = set()
     for a, b in got:
         assert 0 <= a < b <= len(text) and not text[a].isspace() and not text[b - 1].isspace() and b - a <= sizes.target + sizes.reach
@@ -196,25 +198,116 @@ def test_chunked_documents(spark):
     assert chunking.chunked(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize(
-    "raw, reason",
-    [(None, "empty_output"), (" ", "empty_output"), ("x" * 20_000, "output_too_long"), ("{", "invalid_json"), ('{"a":1}', "malformed_output"), ('{"answer":"x","citations":[],"abstained":false,"abstention_reason":null}', "insufficient_evidence")],
-)
-def test_answers_fail_closed(raw, reason):
-    assert answers.processed(raw, {})["abstention_reason"] == reason
+def paged(spark, *texts):
+    return spark.createDataFrame([("d", i, t, "clash") for i, t in enumerate(texts, 1)], "document_id string, page_number int, text string, chunk_id string")
+
+
+def test_chunks_stay_within_pages(spark):
+    pages = paged(spark, "First page sentence. " * 50, "Second page sentence. " * 50, None, "")
+    whole = chunking.joined_pages(pages).first()["text"]
+    got = chunking.chunked_pages(pages, chunking.ChunkSizes(240, 40, 80, 50)).collect()
+    assert {r["page_start"] for r in got} == {1, 2} and all(r["page_start"] == r["page_end"] and whole[r["start_offset"] : r["end_offset"]] == r["text"] for r in got)
+    assert all("First" not in r["text"] or "Second" not in r["text"] for r in got)
+    assert chunking.empty_documents(pages).count() == 0 and chunking.empty_documents(paged(spark, "", " \n")).count() == 1
+
+
+def test_worked_chunks(spark):
+    one = chunking.chunked_pages(paged(spark, "", "Column A    Column B\nValue 1     Value 2\nValue 3     Value 4"), chunking.ChunkSizes(200, 20, 40, 40)).collect()
+    assert [(r["page_start"], r["kind"]) for r in one] == [(2, "table")]
+    titled = chunking.chunked_pages(paged(spark, "PROBABLE CAUSE\n\nThe probable cause was loss of control. " * 10), chunking.ChunkSizes(220, 30, 80, 40)).collect()
+    assert all(r["section"] == "PROBABLE CAUSE" for r in titled)
+    bare = chunking.chunked_pages(paged(spark, "Useful report content.", "Agency\n\nSubstantive transcript content.", "AGENCY"), header="agency").orderBy("start_offset").collect()
+    assert [r["text"] for r in bare] == ["Useful report content.", "Substantive transcript content."]
+    dotted = "A useful sentence. " * 90 + "Probable Cause" + "." * 120 + " 42\n" + "Next section. " * 90
+    starts = [a for a, _ in chunking.spans(dotted, chunking.ChunkSizes())]
+    assert all(b - a >= 320 for a, b in zip(starts, starts[1:], strict=False))
+    overlapping = list(chunking.spans("Sentence one. Sentence two. Sentence three. " * 20, chunking.ChunkSizes(180, 40, 80, 40)))
+    assert len(overlapping) > 2 and all(x[0] < y[0] < x[1] for x, y in zip(overlapping, overlapping[1:], strict=False))
+    with pytest.raises(ValueError, match="overlap"):
+        chunking.ChunkSizes(target=100, overlap=100)
+    assert chunking.ChunkSizes().fingerprint != chunking.ChunkSizes(reach=1).fingerprint
+
+
+def test_places_of_cuts_and_headings():
+    sizes = chunking.ChunkSizes(40, 0, 10, 15)
+    assert [b for _, b in chunking.spans("a" * 30 + "\n \n  " + "b" * 60, sizes)][0] == 30  # the paragraph end near the aim
+    assert [b for _, b in chunking.spans("a" * 20 + ". " + "b" * 5 + ". " + "c" * 60, sizes)][0] == 28  # the last sentence in reach
+    assert [b for _, b in chunking.spans("a. " + "b" * 90, sizes)][0] == 40  # a sentence out of reach doesn't count
+    page = chunking._Page("intro\n1.2 FINDINGS (A)\ntext\n2\n\nCAUSE OF IT\nNot one\n3 Also not\nTOO\nLAST-LINE")
+    assert [t for *_, t in page.titles] == ["1.2 FINDINGS (A)", "2\n\nCAUSE OF IT", "LAST-LINE"]
+    assert page.section(0, 12) is None and page.section(0, 30) == "1.2 FINDINGS (A)" and page.section(40, 60) == "2\n\nCAUSE OF IT"
+    assert page.section(0, 15) == "1.2 FINDI"  # a line cut by the end of the chunk counts as it is
+
+
+def test_chunk_problems(spark):
+    pages = paged(spark, "First page. " * 30, "Second page. " * 30, "   ", "Fourth")
+    chunks = chunking.chunked_pages(pages, chunking.ChunkSizes(100, 10, 30, 20))
+    assert chunking.chunk_problems(chunks, pages, 3, 64).count() == 0
+    rows = [
+        ("a", "d", "First", 0, 5, 1, 1), ("b", "d", "Xirst", 0, 5, 1, 1), ("c", "d", "page. \n\nSecond", 354, 368, 1, 2), ("e", "d", "page. \n\nSecond", 354, 368, 1, 1), ("f", "z", "x", 0, 1, 1, 1), ("g", "d", "\nSecond", 361, 368, 2, 2),
+        ("h", "d", None, None, None, None, None),
+    ]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "chunk_id string, document_id string, text string, start_offset int, end_offset int, page_start int, page_end int, said string")
+    got = {(r["chunk_id"], r["page"], r["problem"]) for r in chunking.chunk_problems(df, pages, 2, 64).collect()}
+    assert got == {("b", None, "text_differs"), ("e", None, "page_range"), ("f", None, "unknown_document"), ("f", None, "tiny_chunk"), ("h", None, "text_differs"), ("h", None, "page_range"), (None, 4, "uncovered_page")}
+    assert chunking.chunk_problems(df.limit(0), pages.limit(0)).count() == 0
+
+
+def output(**changed):
+    return json.dumps({"answer": "It landed safely.", "citations": [{"chunk_id": "c", "quote": "landed safely"}], "abstained": False, "abstention_reason": None} | changed)
+
+
+WORKED = [
+    (output(answer="It\u00a0 \tlanded safely."), "It landed safely.", 1, None, []),
+    ("```json\n" + output() + "\n```", "It landed safely.", 1, None, []),
+    ("``` " + output() + "```", "It landed safely.", 1, None, []),
+    (None, None, 0, "insufficient evidence", ["empty_output"]),
+    (" \n", None, 0, "insufficient evidence", ["empty_output"]),
+    ("plain answer", None, 0, "insufficient evidence", ["invalid_json"]),
+    (output() + " x", None, 0, "insufficient evidence", ["invalid_json"]),
+    ("{" + " " * 16_384, None, 0, "insufficient evidence", ["output_too_long"]),
+    ('{"answer": "unsupported"}', None, 0, "insufficient evidence", ["malformed_output"]),
+    ("[]", None, 0, "insufficient evidence", ["malformed_output"]),
+    (output(abstained=1), None, 0, "insufficient evidence", ["malformed_output"]),
+    (output(citations=[{"chunk_id": "c"}]), None, 0, "insufficient evidence", ["malformed_output"]),
+    (output(citations=[{"chunk_id": "c", "quote": None}]), None, 0, "insufficient evidence", ["malformed_output"]),
+    (output(citations=[{"chunk_id": "z", "quote": "landed safely"}]), None, 0, "insufficient evidence", ["invalid_citation", "insufficient_evidence"]),
+    (output(citations=[{"chunk_id": "z", "quote": "no"}, {"chunk_id": " c ", "quote": "landed\n safely"}, {"chunk_id": "c", "quote": "The aircraft  landed"}, {"chunk_id": "c", "quote": "The aircraft landed"}]), "It landed safely.", 1, None, ["invalid_citation"]),
+    (output(citations=[]), None, 0, "insufficient evidence", ["insufficient_evidence"]),
+    (output(answer=" "), None, 0, "insufficient evidence", ["insufficient_evidence"]),
+    (output(answer=None, citations=[], abstained=True, abstention_reason="Not\u00a0enough"), None, 0, "Not enough", []),
+    (output(answer=None, citations=[], abstained=True), None, 0, "insufficient evidence", []),
+    (output(citations=[], abstained=True), None, 0, "insufficient evidence", ["malformed_output"]),
+    (output(answer=None, abstained=True), None, 0, "insufficient evidence", ["malformed_output"]),
+]
+
+
+def test_answers_by_contract(spark):
+    df = spark.createDataFrame([(i, r[0], ["c", "d"], ["The aircraft\u00a0landed safely.", None]) for i, r in enumerate(WORKED)], "n int, raw string, i array<string>, t array<string>")
+    got = {r["n"]: r["o"] for r in df.select("n", answers.postprocess(F.col("raw"), F.col("i"), F.col("t")).alias("o")).collect()}
+    for n, (_, answer, citations, reason, warnings) in enumerate(WORKED):
+        assert (got[n]["answer"], len(got[n]["citations"]), got[n]["abstention_reason"], got[n]["warnings"], got[n]["abstained"]) == (answer, citations, reason, warnings, answer is None), WORKED[n]
+    twice = spark.createDataFrame([(output(), ["c", "c"], ["a", "b"])], "raw string, i array<string>, t array<string>")
+    assert twice.select(answers.postprocess(F.col("raw"), F.col("i"), F.col("t")).alias("o")).first()["o"]["warnings"] == ["duplicate_evidence"]
+    assert answers.plain_space(" A\u00a0 B\r\n\tC ") == "A B\nC"
 
 
-def test_answers_keep_what_is_quoted(spark):
-    raw = '```json\n{"answer":"x","citations":[{"chunk_id":"c","quote":"a  b"},{"chunk_id":"c","quote":"z"}],"abstained":false,"abstention_reason":null}\n```'
-    df = spark.createDataFrame([(raw, ["c"], ["say a b now"]), (None, None, None)], "raw string, i array<string>, t array<string>")
-    got = df.select(answers.postprocess(F.col("raw"), F.col("i"), F.col("t")).alias("o")).collect()
-    assert got[0]["o"]["answer"] == "x" and len(got[0]["o"]["citations"]) == 1 and got[0]["o"]["warnings"] == ["invalid_citation"]
-    assert got[1]["o"]["abstention_reason"] == "empty_output"
+def test_failure_classes(spark):
+    rows = [
+        ('{"a":', ["invalid_json"], False, 9, "incomplete_json"), ('{"a":', ["invalid_json"], False, 10, "generation_truncation"), ("plain", ["invalid_json"], False, 1, "non_json_output"),
+        ("{}", ["malformed_output"], False, 1, "schema_violation"), ("{}", ["invalid_citation", "insufficient_evidence"], False, 1, "incorrect_citation"), ("{}", ["insufficient_evidence"], False, 1, "missing_citation"),
+        (None, ["empty_output"], False, None, "other_contract_failure"), ("{}", [], False, 1, "unexpected_abstention"), ("{}", [], True, 1, None), (None, None, None, None, "unexpected_abstention"),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "n int, raw string, w array<string>, correct boolean, used int, want string")
+    got = df.select("n", "want", answers.failure_class(F.col("raw"), F.col("w"), F.lit(True), F.col("correct"), F.col("used"), F.lit(10)).alias("f")).collect()
+    assert all(r["f"] == r["want"] for r in got), got
 
 
-def test_failure_classes(spark):
-    df = spark.createDataFrame([(x,) for x in (None, '{"a":', "plain", '```\n{"a":1}\n```', '{"a":1}')], "raw string")
-    assert [r[0] for r in df.select(answers.failure_class(F.col("raw"))).collect()] == ["empty", "truncated", "no_json", "fenced", None]
+def test_contract_summary(spark):
+    df = spark.createDataFrame([("a", True, ["x"], False, 10.0), ("a", None, [], None, None), ("b", True, None, True, 4.0)], "v string, correct boolean, warnings array<string>, abstained boolean, latency_ms double")
+    got = {r["v"]: tuple(r)[1:] for r in answers.contract_summary(df, "v").collect()}
+    assert got == {"a": (2, 0.5, 0.5, 0.5, 0.0, 10.0), "b": (1, 1.0, 1.0, 0.0, 1.0, 4.0)}
+    assert answers.contract_summary(df.limit(0), "v").count() == 0
 
 
 def test_records(spark):
