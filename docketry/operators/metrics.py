@@ -48,12 +48,14 @@ def query_kind(c: Column | str) -> Column:
 def half_even_percentiles(rows: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
     """One row: for each share the value at 0-based place round-half-even((n - 1) x share) of the sorted values.
 
-    For lengths and counts: values are counted first, so the running count is over the different values and not over
-    the rows, of which there are few whatever the number of rows.
+    For lengths and counts: values are counted first, the counts summed per thousand values, and only those sums are
+    accumulated over all; within a thousand they run on by themselves. Null values are left out; no rows give nulls.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c"))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c")).withColumn("_b", F.floor(F.col(value) / 1000))
     total = counts.agg(F.coalesce(F.sum("_c"), F.lit(0))).first()[0]
-    upto = counts.withColumn("_to", F.sum("_c").over(Window.orderBy(value)))  # as many rows as there are different values
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.groupBy("_b").agg(F.sum("_c").alias("_s")).select("_b", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_s0"))
+    upto = counts.join(bases, "_b").withColumn("_to", F.col("_s0") + F.sum("_c").over(Window.partitionBy("_b").orderBy(value)))
     return upto.agg(*[F.min(F.when(F.col("_to") > F.bround(F.lit((total - 1) * share)), F.col(value))).alias(name) for name, share in shares.items()])
 
 

@@ -12,6 +12,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +41,36 @@ def _best(block: np.ndarray, ids: np.ndarray, names: list, k: int, item: str) ->
     return pd.DataFrame({"query_id": np.tile(names, len(rows)), item: ids[rows.ravel()], "score": picked.ravel()})
 
 
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
+
+
+def _statistics(own: DataFrame, terms: list[str]) -> tuple[int, float, dict[str, int]]:
+    """(chunks, mean length of at least 1, chunks per term) of own (terms ARRAY<STRING>), in one pass over the texts."""
+    sent = own.sparkSession.sparkContext.broadcast(pa.array(terms, pa.string()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, found, n, length = sent.value, np.zeros(len(sent.value), np.int64), 0, 0
+        for batch in batches:
+            row, term, sizes = _places(batch.column(0), known)
+            found += np.bincount(np.unique(row * max(len(known), 1) + term) % max(len(known), 1), minlength=len(known)) if len(row) else 0
+            n, length = n + len(sizes), length + int(sizes.sum())
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array([*at, -1, -2], pa.int32()), pa.array([*found[at], n, length], pa.int64())], names=["term", "n"])
+
+    sums = {r["term"]: r["n"] for r in own.select("terms").mapInArrow(count, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    n = sums.pop(-1, 0)
+    return n, max(1.0, sums.pop(-2, 0) / max(n, 1)), {terms[i]: v for i, v in sums.items()}
+
+
+def _places(lists: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in known) of the items of a list column that are in known, and the length of each list."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    place = pc.index_in(lists.flatten(), value_set=known)
+    hit = place.is_valid().to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(sizes)), sizes)[hit], place.drop_null().to_numpy(zero_copy_only=False).astype(np.int64), sizes
+
+
 def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int, sent_cells: int = SENT_CELLS) -> DataFrame:
     """(query_id, chunk_id, rank, score): the best k of chunks (chunk_id, text) for each of queries (query_id, text).
 
@@ -46,14 +78,13 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int, sent_cells: int = S
     chunks, the mean at least 1. Chunks without any term have score 0 and fill the ranks by id, so each query has
     min(k, chunks) rows. Ids are taken to be unique; null texts are empty.
     """
-    own = chunks.select("chunk_id", tokens("text").alias("terms"))
-    wanted = queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
-    n, mean = own.agg(F.count("*"), F.greatest(F.coalesce(F.avg(F.size("terms")), F.lit(0.0)), F.lit(1.0))).first()
-    frequencies = own.select(F.explode(F.array_distinct("terms")).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    own, wanted = chunks.select("chunk_id", tokens("text").alias("terms")), _asked(queries)
     count, different = queries.count(), wanted.select("term").distinct().count()
     if count * max(different, 1) > sent_cells:
-        return _bm25_by_shuffle(own, queries, wanted, frequencies, n, mean, k)
-    idf = {r["term"]: float(np.log(1 + (n - r["df"] + 0.5) / (r["df"] + 0.5))) for r in frequencies.collect()}
+        return _filled(ranked(_bm25_scores(own, wanted), k), own, queries, k)
+    terms = [r[0] for r in wanted.select("term").distinct().orderBy("term").collect()]
+    n, mean, df = _statistics(own, terms)
+    idf = {t: float(np.log(1 + (n - v + 0.5) / (v + 0.5))) for t, v in df.items()}
 
     def weigh(counts: np.ndarray, length: np.ndarray) -> np.ndarray:
         return counts * (K1 + 1) / (counts + K1 * (1 - B + B * length / mean))
@@ -65,8 +96,7 @@ def overlap_topk(chunks: DataFrame, queries: DataFrame, k: int, sent_cells: int
     """(query_id, chunk_id, rank, score): the best k of all chunks (chunk_id, text) by the share of a question's
     different terms that they have; see overlap. Chunks without any term fill the ranks by id, as in bm25_topk.
     """
-    own = chunks.select("chunk_id", F.array_distinct(tokens("text")).alias("terms"))
-    wanted = queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
+    own, wanted = chunks.select("chunk_id", F.array_distinct(tokens("text")).alias("terms")), _asked(queries)
     count, different = queries.count(), wanted.select("term").distinct().count()
     sizes = wanted.groupBy("query_id").agg(F.count("*").alias("_size"))
     if count * max(different, 1) > sent_cells:
@@ -82,35 +112,33 @@ def _sent_topk(own: DataFrame, queries: DataFrame, wanted: DataFrame, values: di
     """The best k of own (chunk_id, terms) by the sum over a question's terms of their values times weigh(counts of the
     terms in a chunk, its length); the questions are sent to all tasks."""
     names = [r[0] for r in queries.select("query_id").orderBy("query_id").collect()]
-    place = {t: i for i, t in enumerate(sorted(values))}
+    terms = sorted(values)
+    place = {t: i for i, t in enumerate(terms)}
     column = {q: i for i, q in enumerate(names)}
     asked = np.zeros((len(place), len(names)))
     for r in wanted.collect():
         if r["term"] in place:
             asked[place[r["term"]], column[r["query_id"]]] = values[r["term"]]
-    sent = own.sparkSession.sparkContext.broadcast((place, asked, names))
+    sent = own.sparkSession.sparkContext.broadcast((pa.array(terms, pa.string()), asked, names))
     kinds = {f.name: f.dataType.simpleString() for f in (*queries.schema, *own.schema)}
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        place, asked, names = sent.value
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, asked, names = sent.value
         best: pd.DataFrame | None = None
-        for batch in batches if names else ():
-            for part in (batch[i : i + 1000] for i in range(0, len(batch), 1000)):
-                weights = np.zeros((len(part), len(place)))
-                for i, terms in enumerate(part["terms"]):
-                    for t in terms:
-                        j = place.get(t)
-                        if j is not None:
-                            weights[i, j] += 1
-                length = part["terms"].map(len).to_numpy()[:, None]
-                found = _best(weigh(weights, length) @ asked, part["chunk_id"].to_numpy(), names, k, "chunk_id")
+        for batch in batches if len(names) else ():
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                row, term, sizes = _places(part.column(1), known)
+                weights = np.bincount(row * max(len(known), 1) + term, minlength=len(sizes) * len(known)).reshape(len(sizes), len(known)).astype(float)
+                ids = np.array(part.column(0).to_pylist(), object)
+                found = _best(weigh(weights, sizes[:, None]) @ asked, ids, names, k, "chunk_id")
                 best = found if best is None else pd.concat([best, found])
                 if len(best) > max(4 * k * len(names), HELD_ROWS):
                     best = _kept(best, k)
         if best is not None:
-            yield _kept(best, k)
+            yield pa.RecordBatch.from_pandas(_kept(best, k), preserve_index=False)
 
-    near = own.mapInPandas(score, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
+    near = own.mapInArrow(score, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
     return ranked(near, k).select("query_id", "chunk_id", "rank", "score")
 
 
@@ -121,17 +149,27 @@ def _kept(best: pd.DataFrame, k: int) -> pd.DataFrame:
     return kept.astype({c: object for c in kept.columns[:2]})  # ids as plain objects: joined string columns come in pieces
 
 
-def bm25_scores(own: DataFrame, wanted: DataFrame, frequencies: DataFrame, n: int, mean: float) -> DataFrame:
-    """(query_id, chunk_id, score) of all pairs that share a term; postings are cut to the questions' terms first."""
-    weighted = wanted.join(frequencies, "term").withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    postings = own.select("chunk_id", F.size("terms").alias("len"), F.explode("terms").alias("term")).join(frequencies.select("term"), "term", "left_semi")
-    tf = postings.groupBy("chunk_id", "term", "len").agg(F.count("*").alias("tf"))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean))
-    return tf.withColumn("w", weight).join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("idf")).alias("score"))
+#: Parts that the postings of a term are cut into where they meet many questions, so that no frequent term is one task.
+TERM_PARTS = 16
 
 
-def _bm25_by_shuffle(own: DataFrame, queries: DataFrame, wanted: DataFrame, frequencies: DataFrame, n: int, mean: float, k: int) -> DataFrame:
-    return _filled(ranked(bm25_scores(own, wanted, frequencies, n, mean), k), own, queries, k)
+def _bm25_scores(own: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score) of all pairs that share a term (and a scope, where both sides have one).
+
+    Postings are cut to the questions' terms first. A term's postings are dealt to TERM_PARTS parts by chunk and the
+    questions repeated for each, so a term or scope with a third of all rows is spread.
+    """
+    scope = ["scope"] if "scope" in wanted.columns else []
+    n, mean = own.agg(F.count("*"), F.greatest(F.coalesce(F.avg(F.size("terms")), F.lit(0.0)), F.lit(1.0))).first()
+    known = wanted.select("term").distinct()
+    every = own.select("chunk_id", *scope, F.size("terms").alias("len"), F.explode("terms").alias("term"))
+    postings = every.groupBy("chunk_id", *scope, "len", "term").agg(F.count("*").alias("tf"))
+    frequencies = postings.groupBy("term").agg(F.count("*").alias("df")).join(known, "term", "left_semi")
+    weighted = wanted.join(frequencies, "term").withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean))
+    parts = postings.withColumn("w", weight).withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(TERM_PARTS)).cast("int"))
+    repeated = weighted.select("query_id", *scope, "term", "idf", F.explode(F.sequence(F.lit(0), F.lit(TERM_PARTS - 1))).alias("part"))
+    return parts.join(repeated, [*scope, "term", "part"]).groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("idf")).alias("score"))
 
 
 def _filled(positive: DataFrame, own: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -146,25 +184,115 @@ def _filled(positive: DataFrame, own: DataFrame, queries: DataFrame, k: int) ->
     return ranked(positive.select("query_id", "chunk_id", "score").unionByName(zeros), k).select("query_id", "chunk_id", "rank", "score")
 
 
-def scoped_bm25(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def scoped_bm25(chunks: DataFrame, queries: DataFrame, k: int, sent_cells: int = SENT_CELLS) -> DataFrame:
     """bm25 within a scope: chunks (chunk_id, scope, text), queries (query_id, scope, text), rows of equal scope only.
 
     Frequencies, number and mean length stay those of all chunks; the scope cuts candidates after that and before ranks.
-    A question has min(k, chunks of its scope) rows, those without shared terms with score 0; a scope without chunks or
-    a null scope gives none.
+    A question has min(k, chunks of its scope) rows, those without shared terms with score 0. A scope without chunks or
+    a null scope gives none; empty_scopes names those questions, so that a caller can refuse them.
     """
-    own = chunks.select("chunk_id", tokens("text").alias("terms"))
-    wanted = queries.select("query_id", "scope", F.explode(F.array_distinct(tokens("text"))).alias("term"))
-    n, mean = own.agg(F.count("*"), F.greatest(F.coalesce(F.avg(F.size("terms")), F.lit(0.0)), F.lit(1.0))).first()
-    frequencies = own.select(F.explode(F.array_distinct("terms")).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    idf = wanted.join(frequencies, "term").withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    inside = chunks.join(queries.select("scope").distinct(), "scope", "left_semi").select("chunk_id", "scope", tokens("text").alias("terms"))
-    tf = inside.select("chunk_id", "scope", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy("chunk_id", "scope", "len", "term").agg(F.count("*").alias("tf"))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean))
-    scores = tf.join(idf, ["scope", "term"]).groupBy("query_id", "chunk_id").agg(F.sum(weight * F.col("idf")).alias("score"))
-    pairs = queries.select("query_id", "scope").join(inside.select("chunk_id", "scope"), "scope").select("query_id", "chunk_id")
-    filled = pairs.join(scores, ["query_id", "chunk_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    return ranked(filled, k).select("query_id", "chunk_id", "rank", "score")
+    own = chunks.select("chunk_id", "scope", tokens("text").alias("terms"))
+    wanted = _asked_in_scopes(queries)
+    if _scoped_cells(wanted) > sent_cells:
+        return _scoped_topk(_bm25_scores(own, wanted), chunks, queries, k)
+    terms = [r[0] for r in wanted.select("term").distinct().orderBy("term").collect()]
+    n, mean, df = _statistics(own, terms)
+    idf = {t: float(np.log(1 + (n - v + 0.5) / (v + 0.5))) for t, v in df.items()}
+
+    def weigh(counts: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return counts * (K1 + 1) / (counts + K1 * (1 - B + B * length / mean))
+
+    return _sent_scoped_topk(own, queries, wanted, idf, weigh, k)
+
+
+def _asked_in_scopes(queries: DataFrame) -> DataFrame:
+    return queries.where("scope IS NOT NULL").select("query_id", "scope", F.explode(F.array_distinct(tokens("text"))).alias("term"))
+
+
+def _scoped_cells(wanted: DataFrame) -> int:
+    each = wanted.groupBy("scope").agg(F.count_distinct("query_id").alias("q"), F.count_distinct("term").alias("t"))
+    return each.agg(F.coalesce(F.sum(F.col("q") * F.col("t")), F.lit(0))).first()[0]
+
+
+def scoped_overlap(chunks: DataFrame, queries: DataFrame, k: int, sent_cells: int = SENT_CELLS) -> DataFrame:
+    """As scoped_bm25, by the share of a question's different terms that a chunk has."""
+    wanted = _asked_in_scopes(queries)
+    sizes = wanted.groupBy("query_id").agg(F.count("*").alias("size"))
+    if _scoped_cells(wanted) > sent_cells:
+        repeated = wanted.join(sizes, "query_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(TERM_PARTS - 1))))
+        own = chunks.select("chunk_id", "scope", F.explode(F.array_distinct(tokens("text"))).alias("term"), F.pmod(F.xxhash64("chunk_id"), F.lit(TERM_PARTS)).cast("int").alias("part"))
+        scores = own.join(repeated, ["scope", "term", "part"]).groupBy("query_id", "chunk_id", "size").agg(F.count("*").alias("_h"))
+        return _scoped_topk(scores.select("query_id", "chunk_id", (F.col("_h") / F.col("size")).alias("score")), chunks, queries, k)
+    own = chunks.select("chunk_id", "scope", F.array_distinct(tokens("text")).alias("terms"))
+    asked = {r[0]: 1.0 for r in wanted.select("term").distinct().collect()}
+    counted = _sent_scoped_topk(own, queries, wanted, asked, lambda counts, length: counts, k).join(sizes, "query_id", "left")
+    return counted.select("query_id", "chunk_id", "rank", F.coalesce(F.col("score") / F.col("size"), F.lit(0.0)).alias("score"))
+
+
+def _sent_scoped_topk(own: DataFrame, queries: DataFrame, wanted: DataFrame, values: dict[str, float], weigh: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int) -> DataFrame:
+    """_sent_topk within scopes: own (chunk_id, scope, terms) is scored for the questions of its scope only."""
+    asked: dict[object, tuple[list, list[str], list[tuple[int, int, float]]]] = {}
+    for r in queries.where("scope IS NOT NULL").select("scope", "query_id").distinct().orderBy("scope", "query_id").collect():
+        asked.setdefault(r["scope"], ([], [], []))[0].append(r["query_id"])
+    at: dict[object, dict[str, int]] = {s: {} for s in asked}
+    column = {(s, q): i for s, (names, _, _) in asked.items() for i, q in enumerate(names)}
+    for r in wanted.collect():
+        if r["term"] in values:
+            place = at[r["scope"]].setdefault(r["term"], len(at[r["scope"]]))
+            asked[r["scope"]][2].append((place, column[r["scope"], r["query_id"]], values[r["term"]]))
+    for s, places in at.items():
+        asked[s][1].extend(places)
+    sent = own.sparkSession.sparkContext.broadcast(asked)
+    kinds = {f.name: f.dataType.simpleString() for f in (*queries.schema, *own.schema)}
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, found, held = sent.value, [], 0
+        for batch in batches:
+            scopes = batch.column(1).to_pylist()
+            rows: dict[object, list[int]] = {}
+            for i, scope in enumerate(scopes):
+                if scope in asked:
+                    rows.setdefault(scope, []).append(i)
+            for scope, own_rows in rows.items():
+                names, terms, weights_of = asked[scope]
+                part = batch.take(pa.array(own_rows))
+                row, term, sizes = _places(part.column(2), pa.array(terms, pa.string()))
+                counts = np.bincount(row * max(len(terms), 1) + term, minlength=len(sizes) * len(terms)).reshape(len(sizes), len(terms)).astype(float)
+                matrix = np.zeros((len(terms), len(names)))
+                for t, q, v in weights_of:
+                    matrix[t, q] = v
+                found.append(_best(weigh(counts, sizes[:, None]) @ matrix, np.array(part.column(0).to_pylist(), object), names, k, "chunk_id"))
+                held += len(found[-1])
+            if held > HELD_ROWS:
+                found = [_kept(pd.concat(found), k)]
+                held = len(found[0]) // 2  # what is kept is looked at again when as much has come
+        if found:
+            yield pa.RecordBatch.from_pandas(_kept(pd.concat(found), k), preserve_index=False)
+
+    near = own.select("chunk_id", "scope", "terms").mapInArrow(score, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
+    return ranked(near, k).select("query_id", "chunk_id", "rank", "score")
+
+
+def _scoped_topk(scores: DataFrame, chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The best k of scores, filled up with score 0 by id from the question's scope.
+
+    At most k of a scope's first 2 k ids can be taken already, so these are all that can fill. They are found per part of
+    a scope first, so that a scope of any size is cut before it is ranked.
+    """
+    best = ranked(scores, k).select("query_id", "chunk_id", "score")
+    by_part = Window.partitionBy("scope", F.pmod(F.xxhash64("chunk_id"), F.lit(64))).orderBy("chunk_id")
+    sought = queries.where("scope IS NOT NULL").select("scope").distinct()
+    near = chunks.join(sought, "scope", "left_semi").select("scope", "chunk_id").withColumn("_n", F.row_number().over(by_part)).where(F.col("_n") <= 2 * k)
+    first = near.withColumn("_n", F.row_number().over(Window.partitionBy("scope").orderBy("chunk_id"))).where(F.col("_n") <= 2 * k).drop("_n")
+    held = best.groupBy("query_id").agg(F.count("*").alias("_h"))
+    short = queries.select("query_id", "scope").join(held, "query_id", "left").where(F.coalesce("_h", F.lit(0)) < k)
+    fill = short.join(first, "scope").select("query_id", "chunk_id", F.lit(0.0).alias("score")).join(best.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    return ranked(best.unionByName(fill), k).select("query_id", "chunk_id", "rank", "score")
+
+
+def empty_scopes(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, scope) of questions whose scope is null or has no chunk."""
+    return queries.select("query_id", "scope").join(chunks.select("scope").distinct(), "scope", "left_anti").select("query_id", "scope")
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, sent_cells: int = SENT_CELLS) -> DataFrame:
@@ -270,4 +398,4 @@ def term_spread(chunks: DataFrame) -> DataFrame:
     return each.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-__all__ = ["bm25_topk", "bm25_scores", "overlap_topk", "scoped_bm25", "dense_topk", "fused", "reranked", "overlap", "bounded_context", "nearest_sentence", "context_passage", "term_spread", "ranked", "fold"]
+__all__ = ["bm25_topk", "overlap_topk", "scoped_bm25", "scoped_overlap", "empty_scopes", "dense_topk", "fused", "reranked", "overlap", "bounded_context", "nearest_sentence", "context_passage", "term_spread", "ranked", "fold"]

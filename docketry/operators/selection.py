@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import floor
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions.text import seeded_digest
 from docketry.operators.ranking import running
+from docketry.session import cut_lineage
 
 
 def largest_remainder(total: int, fractions: Sequence[tuple[str, float]]) -> dict[str, int]:
@@ -82,28 +82,56 @@ def discovery_windows(spans: DataFrame, requests: int, days: int) -> DataFrame:
     return spread.withColumn("begins", begins).withColumn("ends", F.least("last", F.date_add("begins", days - 1))).drop("_n")
 
 
-def diverse(candidates: DataFrame, target: int, seed: str, most_candidates: int = 100_000) -> DataFrame:
+#: Candidates that a diverse selection has at most; each is a pass over the different sets of features.
+MOST_TARGET = 1000
+
+
+def diverse(candidates: DataFrame, target: int, seed: str) -> DataFrame:
     """(place, source_id): target candidates (source_id, features ARRAY<STRING>), each with most features not seen yet.
 
-    Ties go to the smallest seeded digest. A choice depends on all before it, so it is made in one task, over one
-    candidate per different set of features: others can only come after it. Their number is checked and grows with the
-    combinations of feature values, not with the candidates; more raise.
+    Ties go to the smallest seeded digest, then id. Null ids are left out, null features count as none. Of the candidates
+    with one set of features only the first by digest can win while the set has features not seen yet; each place is one
+    distributed minimum over those. As soon as nothing new is left, the digest alone decides, and the remaining places
+    are the first ones by digest. The driver holds the chosen ones, which the caller bounds.
+    """
+    if not 0 <= target <= MOST_TARGET:
+        raise ValueError(f"a target is between 0 and {MOST_TARGET}")
+    own = candidates.where(F.col("source_id").isNotNull()).select("source_id", seeded_digest(seed, F.col("source_id").cast("string")).alias("d"), F.array_sort(F.array_distinct(F.coalesce("features", F.array().cast("array<string>")))).alias("f"))
+    firsts = cut_lineage(own.groupBy("f").agg(F.min(F.struct("d", "source_id")).alias("m")).select("f", "m.d", "m.source_id"))
+    seen: list[str] = []
+    chosen: list = []
+    while len(chosen) < target:
+        fresh = F.size(F.array_except("f", F.array(*[F.lit(x) for x in seen]).cast("array<string>")))
+        best = firsts.agg(F.min(F.struct((-fresh).alias("gain"), "d", "source_id", "f")).alias("b")).first()["b"]
+        if best is None or best["gain"] == 0:
+            break
+        chosen.append(best["source_id"])
+        seen += sorted(set(best["f"]) - set(seen))
+    if len(chosen) < target:
+        taken = candidates.sparkSession.createDataFrame([(c,) for c in chosen], own.select("source_id").schema)
+        rest = own.join(F.broadcast(taken), "source_id", "left_anti").orderBy("d", "source_id").limit(target - len(chosen)).collect()
+        chosen += [r["source_id"] for r in rest]
+    kind = own.schema["source_id"].dataType.simpleString()
+    return candidates.sparkSession.createDataFrame(list(enumerate(chosen, 1)), f"place int, source_id {kind}")
+
+
+def selected_candidates(candidates: DataFrame, used: DataFrame, quotas: Sequence[tuple[str, int]], seed: str) -> DataFrame:
+    """(place, split, source_id, event_id): as many candidates (source_id, event_id, family, url, features) as the quotas
+    sum to, diverse, none of a family in used (family) and none without a url.
+
+    The chosen are ordered by the seeded digest of their event and dealt to the splits in the order of quotas. Fewer
+    eligible candidates than that raise.
     """
-    keyed = candidates.withColumn("_d", seeded_digest(seed, F.col("source_id"))).withColumn("_f", F.array_sort(F.array_distinct("features")))
-    by_set = Window.partitionBy("_f", F.pmod(F.hash("source_id"), F.lit(64))).orderBy("_d", "source_id")
-    local = keyed.withColumn("_n", F.row_number().over(by_set)).where(F.col("_n") <= target)
-    kept = local.withColumn("_n", F.row_number().over(Window.partitionBy("_f").orderBy("_d", "source_id"))).where(F.col("_n") <= target)
-    if kept.count() > most_candidates:
-        raise ValueError("too many different sets of features")
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        seen: set[str] = set()
-        left = list(rows.sort_values(["_d", "source_id"])[["source_id", "_f"]].itertuples(index=False))
-        out = []
-        while left and len(out) < target:
-            best = max(range(len(left)), key=lambda i: (len(set(left[i][1]) - seen), -i))
-            seen |= set(left[best][1])
-            out.append(left.pop(best)[0])
-        return pd.DataFrame({"place": range(1, len(out) + 1), "source_id": out})
-
-    return kept.select("source_id", "_f", "_d").groupBy().applyInPandas(choose, "place int, source_id string")
+    total = sum(n for _, n in quotas)
+    free = candidates.where("url IS NOT NULL AND trim(url) != '' AND event_id IS NOT NULL").join(used.where("family IS NOT NULL").select("family").distinct(), "family", "left_anti")
+    chosen = diverse(free, total, seed)
+    if (found := chosen.count()) < total:
+        raise ValueError(f"{found} eligible candidates for {total} places")
+    named = chosen.join(free.select("source_id", "event_id"), "source_id").select("source_id", "event_id").distinct()
+    order = Window.partitionBy(F.lit(0)).orderBy(seeded_digest(seed, F.col("event_id").cast("string")), "source_id")  # as many rows as places
+    placed = named.withColumn("place", F.row_number().over(order))
+    split, upto = F.lit(None).cast("string"), 0
+    for name, n in quotas:
+        split = F.when((F.col("place") > upto) & (F.col("place") <= upto + n), name).otherwise(split)
+        upto += n
+    return placed.select("place", split.alias("split"), "source_id", "event_id")

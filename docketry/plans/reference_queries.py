@@ -55,6 +55,30 @@ def bm25_scoped(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(_scoped(spark, folder, 5))
 
 
+def _in_reports(spark: SparkSession, folder: str, by: str) -> tuple[DataFrame, DataFrame]:
+    """Chunks, and questions of retrieval_dev, with what they belong to: a report (its document), an event."""
+    sources = one_per_key(table(spark, folder, "sources"), "source_document_id", ["sha256", "event_id"]).select("source_document_id", F.concat(F.lit("doc-"), "sha256").alias("document"), "event_id")
+    scope = F.col("document") if by == "report" else tidy("event_id")
+    dev = one_per_key(table(spark, folder, "retrieval_dev"), "example_id", ["question", "report_id", "event_id"])
+    of_report = dev.drop("event_id").join(sources, dev["report_id"] == sources["source_document_id"], "left").select(F.col("example_id").alias("query_id"), scope.alias("scope"), F.col("question").alias("text"))
+    of_event = dev.select(F.col("example_id").alias("query_id"), tidy("event_id").alias("scope"), F.col("question").alias("text"))
+    owner = sources.where("document IS NOT NULL").groupBy("document").agg(F.min(scope).alias("scope"))
+    chunks = _chunks(spark, folder).join(F.broadcast(owner) if by == "event" else owner, F.col("document_id") == F.col("document")).select("chunk_id", "scope", "text")
+    return chunks, of_report if by == "report" else of_event
+
+
+def hybrid_scoped(spark: SparkSession, folder: str) -> DataFrame:
+    """Both rankings within the event that a question names, fused."""
+    chunks, asked = _in_reports(spark, folder, "event")
+    return _rounded(retrieval.fused(retrieval.scoped_bm25(chunks, asked, 100), retrieval.scoped_overlap(chunks, asked, 100), 5, weight=0.25))
+
+
+def empty_scopes(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions whose report has no chunk, which a service refuses."""
+    chunks, asked = _in_reports(spark, folder, "report")
+    return retrieval.empty_scopes(chunks, asked)
+
+
 def dense_topk(spark: SparkSession, folder: str) -> DataFrame:
     """Every vector whose id is divisible by 50 against all."""
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
@@ -415,7 +439,7 @@ def record_problems(spark: SparkSession, folder: str) -> DataFrame:
 _QUERIES = (
     key_differences, extracted_answers, extracted_summary, generation_summary, task_accuracy, quote_spans, evidence_prompts, example_problems, record_problems,
     report_urls, snapshot_prefixes, event_profile,
-    bm25_topk, bm25_scoped, dense_topk, hybrid_rrf, rerank_topk, context_budget, context_passage, term_spread, retrieval_metrics, retrieval_slices, family_splits, split_leakage,
+    bm25_topk, bm25_scoped, dense_topk, hybrid_rrf, hybrid_scoped, empty_scopes, rerank_topk, context_budget, context_passage, term_spread, retrieval_metrics, retrieval_slices, family_splits, split_leakage,
     first_per_event, replacement_events, event_features, diverse_events, discovery_windows, repeated_chunks, equal_documents, orphan_documents, family_coverage, pending_events,
     span_violations, uncovered_pages, evidence_violations, scope_violations, chunk_lengths, chunk_kinds, token_f1, numeric_matches, citation_scores, failure_classes, contract_outcomes,
     processed_answers, sentence_quality, best_sentences, token_budget, chat_rendering, training_rounds, neighbour_records, public_manifest, family_token_sums,
@@ -456,11 +480,11 @@ _BM25 = _BASE + f""",
 qt AS (SELECT DISTINCT query_id, unnest({_tok('text')}) AS term FROM qs),
 sc AS (SELECT query_id, chunk_id, {_SCORE} AS s FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (chunk_id), st GROUP BY 1, 2),
 al AS (SELECT q.query_id, c.chunk_id, coalesce(s, 0.0) AS s FROM qs q CROSS JOIN ch c LEFT JOIN sc ON sc.query_id = q.query_id AND sc.chunk_id = c.chunk_id),
-rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, chunk_id) AS INT) AS rank FROM al QUALIFY rank <= 30)"""
+rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, chunk_id) AS INT) AS rank FROM al QUALIFY rank <= 100)"""
 _OVER = f"""
 ov AS (SELECT r.query_id, r.chunk_id, r.rank, r.s, c.text,
   CAST(len(list_intersect(list_distinct({_tok('q.text')}), {_tok('c.text')})) AS DOUBLE) / greatest(len(list_distinct({_tok('q.text')})), 1) AS o
-  FROM rk r JOIN ch c USING (chunk_id) JOIN qs q USING (query_id))"""
+  FROM rk r JOIN ch c USING (chunk_id) JOIN qs q USING (query_id) WHERE r.rank <= 30)"""
 _METRIC = """,
 gold AS (SELECT DISTINCT query_id, chunk_id FROM (SELECT example_id AS query_id, unnest(evidence).chunk_id AS chunk_id FROM retrieval_test) WHERE chunk_id IS NOT NULL),
 fd AS (SELECT g.query_id, count(*) AS n_gold, count(r.rank) AS f, min(r.rank) AS first, coalesce(sum(1 / log2(r.rank + 1)), 0.0) AS gain
@@ -581,10 +605,33 @@ SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER B
     "dense_topk": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 p AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e) / sqrt(list_dot_product(q.e, q.e) * list_dot_product(v.e, v.e)) AS s FROM v q CROSS JOIN v WHERE q.vec_id % 50 = 0)
 SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS INT) AS rank, round(greatest(s, 0.0), 6) AS score FROM p QUALIFY rank <= 10""",
-    "hybrid_rrf": f"""WITH {_BM25}, {_OVER},
-o2 AS (SELECT query_id, chunk_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY round(o, 9) DESC, chunk_id) AS r2 FROM ov),
-fu AS (SELECT query_id, chunk_id, 0.25::DOUBLE / (60 + rank) + 0.75::DOUBLE / (60 + r2) AS s FROM o2)
+    "hybrid_rrf": f"""WITH {_BM25},
+nq AS (SELECT query_id, count(*) AS m FROM qt GROUP BY 1),
+oh AS (SELECT query_id, chunk_id, count(*) AS h FROM qt JOIN tf USING (term) GROUP BY 1, 2),
+oa AS (SELECT al.query_id, al.chunk_id, coalesce(h, 0) / greatest(coalesce(m, 1), 1) AS o FROM al LEFT JOIN oh USING (query_id, chunk_id) LEFT JOIN nq USING (query_id)),
+o2 AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(o, 9) DESC, chunk_id) AS r2 FROM oa QUALIFY r2 <= 100),
+fu AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, coalesce(0.25::DOUBLE / (60 + rank), 0) + coalesce(0.75::DOUBLE / (60 + r2), 0) AS s
+  FROM rk a FULL JOIN o2 b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id)
 SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, chunk_id) AS INT) AS rank, round(s, 6) AS score FROM fu QUALIFY rank <= 10""",
+    "hybrid_scoped": f"""WITH {_BASE},
+ow AS (SELECT 'doc-' || sha256 AS document_id, min({_tidy('e')}) AS scope FROM (SELECT source_document_id, max(sha256) AS sha256, max(event_id) AS e FROM sources WHERE source_document_id IS NOT NULL GROUP BY 1) WHERE sha256 IS NOT NULL GROUP BY 1),
+dq AS (SELECT example_id AS query_id, max(question) AS text, {_tidy('max(event_id)')} AS scope FROM retrieval_dev WHERE example_id IS NOT NULL GROUP BY 1),
+pr AS (SELECT query_id, chunk_id FROM dq JOIN ow USING (scope) JOIN ch USING (document_id)),
+qt AS (SELECT DISTINCT query_id, unnest({_tok('text')}) AS term FROM dq),
+sa AS (SELECT chunk_id FROM ch JOIN ow USING (document_id) WHERE scope IS NOT NULL OR scope IS NULL),
+tk2 AS (SELECT chunk_id, t FROM tk SEMI JOIN sa USING (chunk_id)),
+st2 AS (SELECT CAST(count(*) AS DOUBLE) AS n2, greatest(avg(len(t)), 1.0) AS a2 FROM tk2),
+df2 AS (SELECT term, CAST(count(*) AS DOUBLE) AS df2 FROM tf SEMI JOIN sa USING (chunk_id) GROUP BY 1),
+sc AS (SELECT query_id, chunk_id, sum(ln(1 + (n2 - df2 + 0.5) / (df2 + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a2))) AS s, count(*) AS h
+  FROM pr JOIN qt USING (query_id) JOIN tf USING (chunk_id, term) JOIN df2 USING (term) JOIN dl USING (chunk_id), st2 GROUP BY 1, 2),
+nq AS (SELECT query_id, count(*) AS m FROM qt GROUP BY 1),
+al AS (SELECT query_id, chunk_id, coalesce(s, 0.0) AS s, coalesce(h / m, 0.0) AS o FROM pr LEFT JOIN sc USING (query_id, chunk_id) LEFT JOIN nq USING (query_id)),
+b1 AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, chunk_id) AS r1, row_number() OVER (PARTITION BY query_id ORDER BY round(o, 9) DESC, chunk_id) AS r2 FROM al),
+fu AS (SELECT query_id, chunk_id, CASE WHEN r1 <= 100 THEN 0.25::DOUBLE / (60 + r1) ELSE 0 END + CASE WHEN r2 <= 100 THEN 0.75::DOUBLE / (60 + r2) ELSE 0 END AS s FROM b1 WHERE r1 <= 100 OR r2 <= 100)
+SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, chunk_id) AS INT) AS rank, round(s, 6) AS score FROM fu QUALIFY rank <= 5""",
+    "empty_scopes": f"""WITH so AS (SELECT source_document_id, max('doc-' || sha256) AS scope FROM sources WHERE source_document_id IS NOT NULL GROUP BY 1),
+d AS (SELECT example_id, max(report_id) AS r FROM retrieval_dev WHERE example_id IS NOT NULL GROUP BY 1)
+SELECT example_id AS query_id, scope FROM d LEFT JOIN so ON d.r = so.source_document_id WHERE scope IS NULL OR scope NOT IN (SELECT document_id FROM chunks WHERE document_id IS NOT NULL)""",
     "rerank_topk": f"""WITH {_BM25}, {_OVER},
 k AS (SELECT query_id, chunk_id, round(o, 9) AS o, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(o, 9) DESC, rank, chunk_id) AS INT) AS r FROM ov WHERE rank <= 20 QUALIFY r <= 5)
 SELECT query_id, chunk_id, r AS rank, round(o - min(o) OVER (PARTITION BY query_id), 6) AS score FROM k""",

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import math
 from collections import Counter
@@ -6,7 +7,7 @@ import pytest
 from docketry.functions.text import compatible_words
 from docketry.operators import answers, chunking, integrity, metrics, ranking, retrieval, selection, training_records
 from docketry.sources.tables import one_per_key, tidy
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -155,6 +156,43 @@ def test_twenty_families(spark):
     assert Counter(r["split"] for r in selection.family_splits(df, "f", fractions, "1").collect()) == {"train": 16, "development": 2, "test": 2}
 
 
+def test_scoped_both_ways(spark):
+    words = "engine runway pilot weather landing gear the of flap rudder".split()
+    rows = [(f"c{i:02d}", f"s{i % 3}" if i % 7 else None, " ".join(words[(i * j) % 10] for j in range(1, 2 + i % 6)) if i % 11 else None) for i in range(40)]
+    chunks = spark.createDataFrame([(*r, 1.0) for r in rows], "chunk_id string, scope string, text string, score double")
+    queries = spark.createDataFrame([("q1", "s0", "engine of the pilot"), ("q2", "s1", "zebra"), ("q3", "none", "engine"), ("q4", None, "engine"), ("q5", "s0", None), ("q6", "s2", "flap flap rudder")], "query_id string, scope string, text string")
+    for search in (retrieval.scoped_bm25, retrieval.scoped_overlap):
+        near = sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 9)) for r in search(chunks, queries, 7).collect())
+        far = sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 9)) for r in search(chunks, queries, 7, sent_cells=0).collect())
+        assert near == far and {r[0] for r in near} == {"q1", "q2", "q5", "q6"} and sum(r[0] == "q2" for r in near) == 7
+        assert search(chunks.limit(0), queries, 7).count() == 0 and search(chunks, queries.limit(0), 7).count() == 0
+    assert {r["query_id"] for r in retrieval.empty_scopes(chunks, queries).collect()} == {"q3", "q4"}
+
+
+def test_selected_candidates(spark):
+    rows = [(f"s{i}", f"e{i}", f"f{i % 5}", "u" if i % 4 else " ", [f"a:{i % 3}", f"b:{i % 2}"]) for i in range(20)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "source_id string, event_id string, family string, url string, features array<string>, place int")
+    used = spark.createDataFrame([("f1",), (None,)], "family string")
+    got = selection.selected_candidates(df, used, [("test", 2), ("development", 1), ("train", 3)], "7").orderBy("place").collect()
+    assert [r["split"] for r in got] == ["test", "test", "development", "train", "train", "train"] and len({r["event_id"] for r in got}) == 6
+    assert all(int(r["source_id"][1:]) % 5 != 1 and int(r["source_id"][1:]) % 4 for r in got)
+    with pytest.raises(ValueError, match="eligible"):
+        selection.selected_candidates(df, used, [("test", 20)], "7")
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.sampled_from("abcdef"), max_size=3), min_size=0, max_size=12), st.integers(0, 6))
+def test_diverse_like_one_by_one(spark, sets, target):
+    df = spark.createDataFrame([(f"s{i}", f) for i, f in enumerate(sets)], "source_id string, features array<string>")
+    left = sorted((hashlib.sha256(f"x\0s{i}".encode()).hexdigest(), f"s{i}", f) for i, f in enumerate(sets))
+    seen, want = set(), []
+    while left and len(want) < target:
+        best = max(range(len(left)), key=lambda i: (len(set(left[i][2]) - seen), -i))
+        seen |= set(left[best][2])
+        want.append(left.pop(best)[1])
+    assert [r["source_id"] for r in selection.diverse(df, target, "x").orderBy("place").collect()] == want
+
+
 def test_diverse_prefers_what_is_new(spark):
     df = spark.createDataFrame([("a", ["y:1", "s:x"]), ("b", ["y:1", "s:x"]), ("c", ["y:2", "s:z"])], "source_id string, features array<string>")
     got = [r["source_id"] for r in selection.diverse(df, 2, "s").orderBy("place").collect()]
