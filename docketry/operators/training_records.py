@@ -2,71 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions.text import answer_digest, sentences
 from docketry.operators.ranking import running, seeded_key
+from docketry.session import cut_lineage
 
-# Reasons to leave a sentence out, in the order in which they are tried.
-REASONS = {
-    "length": r"^.{0,39}$|^.{321,}$",
-    "unfinished": r"[^.!?]$",
-    "fragment": r"^[^\p{Lu}\d\"“]",
-    "table": r"\|",
-    "reference": r"(?i)\b(see|figure|table|appendix|exhibit)\s+\d",
-    "transcript": r"^[\p{Lu}\d-]{2,12}:\s",
-    "address": r"(?i)https?://|www\.",
-    "split_word": r"\p{L}-\s+\p{Ll}",
-    "spaced_mark": r"\s[,.;:!?]",
-    "merged_word": r"\p{Ll}\p{Lu}\p{Ll}",
-    "odd_quotes": r"^[^\"]*\"[^\"]*$",
-    "misread": r"\p{L}\d\p{Ll}|\p{Ll}[@|]\p{Ll}",
-}
-
-#: The whole gate of the queries: REASONS with the reference's bounds and its rules that aren't wording of its domain.
+# Reasons to leave a sentence out, in the order in which they are tried, with the patterns of each. Lists of
+# an author's own wording (titles of agencies, openings, words seen to be merged or split) aren't among them.
 GATE = {
-    "length": r"^.{0,79}$|^.{321,}$",
-    "unfinished": REASONS["unfinished"],
-    "fragment": r"^[^\p{Lu}\p{Nd}]",
-    "footnote": r"^\d+\s+[A-Z]|\b\d+\s+(?:A|An|The)\s+[a-z]",
-    "list_or_page": r"•|\b\d\s+\d\b",
-    "table": REASONS["table"],
-    "boilerplate": r"(?i)^(?:exemplar|figure|table) ",
-    "reference": r"(?i:\b(?:see|figure|table|appendix|exhibit)\s+\d)|^[A-Z]-\d",
-    "section": r"(?i)\bsection\s+\d",
-    "transcript": REASONS["transcript"] + r"|^\d{1,2}:\d{2}:\d{2}\b",
-    "fused": r"[.!?][”\"]?\s+(?:A|According|An|As|At|He|In|It|On|She|That|The|They|This|We)\s",
-    "instruction": r"(?i)^(?:If .+?,\s+)?(?:continue|do|ensure|maintain)\b",
-    "address": r"(?i:http|www\.)",
-    "heading": r"\b\d+(?:\.\d+){1,3}\s+[A-Z][A-Za-z]",
-    "split_word": REASONS["split_word"] + r"|\b[b-z]\s+[a-z]{2,}\b|(?i:\ba\s+re\b)",
-    "spaced_mark": REASONS["spaced_mark"] + r"|\s\)|[,.)][A-Za-z]",
-    "merged_word": REASONS["merged_word"],
-    "odd_quotes": r"^[^\"]*\"(?:[^\"]*\"[^\"]*\")*[^\"]*$",
-    "misread": REASONS["misread"] + r"|\b[A-Za-z0-9]{2,}(?:\s+-\s*|-\s+)[A-Za-z0-9]|\b[a-z]{2,}[A-Z]{2,}\b|\d{2,}[a-z]{3,}\b|\b[A-Z][A-Za-z]{3,}\d{4}\b|\b[A-Z]\s+[A-Z][A-Za-z]?\b|\b(?:[A-Z]-){2,}\s*[A-Z]\b",
-}
+    "length_or_termination": (r"^.{0,79}$", r"^.{321,}$", r"[^.!?]$"),
+    "sentence_fragment": (r"^[^\p{Lu}\p{Nd}]",),
+    "footnote_fragment": (r"^\d+\s+[A-Z]", r"\b\d+\s+(?:A|An|The)\s+[a-z]"),
+    "list_or_page_fragment": (r"•", r"\b\d\s+\d\b"),
+    "document_boilerplate": (r"(?i)^(?:exemplar|figure|table) ",),
+    "reference_or_heading": (r"^[A-Z]-\d",),
+    "section_cross_reference": (r"(?i)\bsection\s+\d",),
+    "transcript_fragment": (r"^\d{1,2}:\d{2}:\d{2}\b",),
+    "fused_sentences": (r"[.!?][”\"]?\s+(?:A|According|An|As|At|He|In|It|On|She|That|The|They|This|We)\s",),
+    "isolated_operational_instruction": (r"(?i)^(?:If .+?,\s+)?(?:continue|do|ensure|maintain)\b",),
+    "heading_or_url": (r"(?i)http", r"\b\d+(?:\.\d+){1,3}\s+[A-Z][A-Za-z]"),
+    "split_word": (r"\b[b-z]\s+[a-z]{2,}\b", r"(?i)\ba\s+re\b"),
+    "broken_punctuation": (r"\s+[.,;)]", r"[,.)][A-Za-z]"),
+    "merged_word": (),
+    "unbalanced_quote": (r"^[^\"]*\"(?:[^\"]*\"[^\"]*\")*[^\"]*$",),
+    "ocr_fragment": (
+        r"\b[A-Za-z0-9]{2,}\s+-\s*[A-Za-z0-9]", r"\b[A-Za-z0-9]{2,}-\s+[A-Za-z0-9]", r"\b[a-z]{2,}[A-Z]{2,}\b", r"\d{2,}[a-z]{3,}\b", r"\b[A-Z][A-Za-z]{3,}\d{4}\b",
+        r"\b[A-Z]\s+[A-Z][A-Za-z]?\b", r"\b(?:[A-Z]-){2,}\s*[A-Z]\b",
+    ),
+}
 #: Letters among the characters of a best sentence, at least.
 LETTER_SHARE = 0.65
 
 
-def quality_reason(c: Column, reasons: dict[str, str] = REASONS, flags: str = "(?s)") -> Column:
-    """The first of reasons that holds for a sentence; null for a good one."""
-    out = F.when(c.isNull(), "length")
-    for name, pattern in reasons.items():
-        out = out.when(c.rlike(flags + pattern), name)
-    return out
-
+def gate_reason(c: Column, wording: dict[str, Sequence[str]] | None = None) -> Column:
+    """The first reason of GATE that holds for a sentence, null for a good one; null sentences have the wrong length.
 
-def gate_reason(c: Column) -> Column:
-    """The first reason of the whole gate; quotation marks also count by side. (?U): classes are Unicode, as in the reference."""
+    wording adds to a reason phrases of a corpus that are enough for it wherever they stand, whatever their case.
+    """
     marks = lambda m: F.length(c) - F.length(F.replace(c, F.lit(m), F.lit("")))
-    names = list(GATE)
-    at = names.index("odd_quotes") + 1
-    before, after = ({n: GATE[n] for n in part} for part in (names[:at], names[at:]))
-    sided = F.when(marks("“") != marks("”"), "odd_quotes")
-    return F.coalesce(quality_reason(c, before, "(?sU)"), sided, quality_reason(c, after, "(?sU)"))
+    out = F.when(c.isNull(), "length_or_termination")
+    for reason, patterns in GATE.items():
+        holds = F.lit(False)
+        for p in patterns:
+            holds = holds | c.rlike("(?sU)" + p)  # (?U): classes are Unicode
+        for phrase in (wording or {}).get(reason, ()):
+            holds = holds | F.contains(F.lower(c), F.lit(phrase.lower()))
+        out = out.when(holds | (marks("“") != marks("”")) if reason == "unbalanced_quote" else holds, reason)
+    return out
 
 
 def quality_report(rows: DataFrame, text: str) -> DataFrame:
@@ -99,8 +86,9 @@ def rendered_chat(messages: Column) -> Column:
     return F.array_join(F.transform(messages, lambda m: F.concat(F.lit("["), role(m), F.lit("]\n"), F.coalesce(m["content"], F.lit("")))), "\n\n")
 
 
-def round_robin(candidates: DataFrame, family: str, key: str, answer: str, target: int, most_per_family: int) -> DataFrame:
-    """(family, key, round): answers dealt in rounds over the sorted families, none twice.
+def round_robin(candidates: DataFrame, family: str, key: str, answer: str, target: int, most_per_family: int, exact: bool = False) -> DataFrame:
+    """(family, key, round): answers dealt in rounds over the sorted families, none twice. With exact, fewer than target
+    raise.
 
     In a round each family gives its next candidate by key whose normalized answer hasn't been dealt yet, at most
     most_per_family in all; target ends the last round. Each choice depends on all before it, so it is made in one task,
@@ -133,7 +121,26 @@ def round_robin(candidates: DataFrame, family: str, key: str, answer: str, targe
                 out.append((name, taken[0], number))
         return pd.DataFrame(out, columns=[family, key, "round"])
 
-    return kept.groupBy().applyInPandas(deal, f"`{family}` {kinds[family]}, `{key}` {kinds[key]}, round int").orderBy("round", family)
+    dealt = kept.groupBy().applyInPandas(deal, f"`{family}` {kinds[family]}, `{key}` {kinds[key]}, round int")
+    if exact:
+        dealt = cut_lineage(dealt)
+        if (found := dealt.count()) < target:
+            raise ValueError(f"{found} answers for a target of {target}")
+    return dealt.orderBy("round", family)
+
+
+def record_id(event: Column, chunk: Column, sentence: Column) -> Column:
+    """Identity of a supervised record: 16 hexadecimal digits of the SHA-256 of its event, chunk and sentence."""
+    return F.substring(F.sha2(F.concat_ws("\0", event, chunk, sentence), 256), 1, 16)
+
+
+def grounded_record(prefix: str, event: Column, question: Column, chunk: Column, text: Column, sentence: Column, system: str) -> Column:
+    """STRUCT<record_id, messages>: a question on the text of a chunk, answered by a sentence that cites itself."""
+    evidence = F.concat(question, F.lit('\n\n<chunk id="'), chunk, F.lit('">\n'), text, F.lit("\n</chunk>"))
+    cited = F.array(F.struct(chunk.alias("chunk_id"), sentence.alias("quote")))
+    answer = F.to_json(F.struct(sentence.alias("answer"), cited.alias("citations"), F.lit(False).alias("abstained"), F.lit(None).cast("string").alias("abstention_reason")), {"ignoreNullFields": "false"})
+    said = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    return F.struct(F.concat(F.lit(prefix), record_id(event, chunk, sentence)).alias("record_id"), F.array(said("system", F.lit(system)), said("user", evidence), said("assistant", answer)).alias("messages"))
 
 
 def neighbours(records: DataFrame, key: str, offsets: tuple[int, ...] = (1, 2), seed: int = 0) -> DataFrame:

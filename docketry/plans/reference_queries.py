@@ -519,8 +519,25 @@ po AS (SELECT record_id, raw, created_at, ingested_at, said, good,
   w IS NOT NULL OR said = '' OR len(good) = 0 AS abstained,
   CASE WHEN w = '' THEN coalesce(nullif({_flat("coalesce(j ->> '$.abstention_reason', '')")}, ''), 'insufficient evidence') ELSE 'insufficient evidence' END AS reason FROM wn),
 pr AS (SELECT record_id, raw, created_at, ingested_at, CASE WHEN NOT abstained THEN said END AS answer, CASE WHEN abstained THEN 0 ELSE len(list_distinct(good)) END AS n_citations, abstained, CASE WHEN abstained THEN reason END AS abstention_reason, warnings FROM po)"""
-_SENT = r"string_split(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
-_REASON = "CASE " + " ".join(f"WHEN regexp_matches(s, '(?s){p}') THEN '{n}'" for n, p in training_records.REASONS.items()) + " END"
+_SENT = r"string_split(regexp_replace(trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g')), '([.!?]) ', '\1' || chr(1), 'g'), chr(1))"
+_COUNT = lambda m: f"len(string_split(s, '{m}'))"
+# Sentences have single blanks by then, so the rules are said by comparisons and short patterns of their own.
+_REASON = rf"""CASE WHEN length(s) NOT BETWEEN 80 AND 320 OR right(s, 1) NOT IN ('.', '!', '?') THEN 'length_or_termination'
+  WHEN NOT regexp_matches(left(s, 1), '\p{{Lu}}|\p{{Nd}}') THEN 'sentence_fragment'
+  WHEN regexp_matches(s, '^[0-9]+ [A-Z]') OR regexp_matches(s, '\b[0-9]+ (A|An|The) [a-z]') THEN 'footnote_fragment'
+  WHEN contains(s, '•') OR regexp_matches(s, '\b[0-9] [0-9]\b') THEN 'list_or_page_fragment'
+  WHEN string_split(lower(s), ' ')[1] IN ('exemplar', 'figure', 'table') THEN 'document_boilerplate'
+  WHEN substr(s, 2, 1) = '-' AND left(s, 1) BETWEEN 'A' AND 'Z' AND substr(s, 3, 1) BETWEEN '0' AND '9' THEN 'reference_or_heading'
+  WHEN regexp_matches(lower(s), '\bsection [0-9]') THEN 'section_cross_reference'
+  WHEN regexp_matches(string_split(s, ' ')[1], '^[0-9]?[0-9]:[0-9][0-9]:[0-9][0-9]\b') THEN 'transcript_fragment'
+  WHEN regexp_matches(s, '[.!?][”"]? (A|According|An|As|At|He|In|It|On|She|That|The|They|This|We) ') THEN 'fused_sentences'
+  WHEN regexp_matches(lower(s), '^(continue|do|ensure|maintain)\b') OR regexp_matches(lower(s), '^if .+, (continue|do|ensure|maintain)\b') THEN 'isolated_operational_instruction'
+  WHEN contains(lower(s), 'http') OR regexp_matches(s, '\b[0-9]+(\.[0-9]+){{1,3}} [A-Z][A-Za-z]') THEN 'heading_or_url'
+  WHEN regexp_matches(s, '(^|[^\p{{L}}\p{{N}}\p{{M}}_])[b-z] [a-z]{{2,}}([^\p{{L}}\p{{N}}\p{{M}}_]|$)') OR regexp_matches(lower(s), '\ba re\b') THEN 'split_word'
+  WHEN contains(s, ' .') OR contains(s, ' ,') OR contains(s, ' ;') OR contains(s, ' )') OR regexp_matches(s, '[,.)][A-Za-z]') THEN 'broken_punctuation'
+  WHEN {_COUNT('“')} <> {_COUNT('”')} OR {_COUNT('"')} % 2 = 0 THEN 'unbalanced_quote'
+  WHEN regexp_matches(s, '(^|[^\p{{L}}\p{{N}}_])[A-Za-z0-9]{{2,}} - ?[A-Za-z0-9]') OR regexp_matches(s, '(^|[^\p{{L}}\p{{N}}_])[A-Za-z0-9]{{2,}}- [A-Za-z0-9]') OR regexp_matches(s, '(^|[^\p{{L}}\p{{N}}_])[a-z]{{2,}}[A-Z]{{2,}}([^\p{{L}}\p{{N}}_]|$)')
+    OR regexp_matches(s, '[0-9][0-9][a-z][a-z][a-z]+([^\p{{L}}\p{{N}}_]|$)') OR regexp_matches(s, '\b[A-Z][A-Za-z]{{3,}}[0-9]{{4}}\b') OR regexp_matches(s, '(^|[^\p{{L}}\p{{N}}_])[A-Z] [A-Z][A-Za-z]?([^\p{{L}}\p{{N}}_]|$)') OR regexp_matches(s, '\b[A-Z]-([A-Z]-)+ *[A-Z]\b') THEN 'ocr_fragment' END"""
 _PLAIN = lambda x: rf"array_to_string(list_filter(regexp_split_to_array(trim(regexp_replace(translate(replace(lower({x}), 'ß', 'ss'), '{PUNCTUATION.replace(chr(39), chr(39) * 2)}', ''), '\s+', ' ', 'g')), ' '), lambda t: t NOT IN ('a', 'an', 'the', '')), ' ')"
 _FEATURE = lambda c: f"coalesce(nullif(lower(trim(metadata.{c})), ''), 'unknown')"
 _SCOPED = _BASE + f""",
@@ -720,10 +737,10 @@ SELECT CASE WHEN warnings = '' THEN CASE WHEN abstained AND abstention_reason =
 f AS (SELECT *, CASE WHEN trim(coalesce(raw, '')) = '' THEN 'empty' WHEN starts_with(trim(raw), '```') THEN 'fenced' WHEN starts_with(trim(raw), '{{') THEN 'object' ELSE 'plain' END AS form FROM pr)
 SELECT form, count(*) AS count, round(avg((answer IS NOT NULL)::INT), 6) AS task_accuracy_after_fail_closed, round(avg((warnings = '')::INT), 6) AS valid_grounded_output_rate, round(avg((warnings <> '')::INT), 6) AS format_failure_rate,
   round(avg(abstained::INT), 6) AS abstention_rate, round(avg((epoch_us(ingested_at) - epoch_us(created_at)) / 1000.0), 1) AS mean_latency_ms FROM f GROUP BY 1""",
-    "sentence_quality": f"""WITH {_BASE.split('qs AS')[0].strip().rstrip(',')}, s AS (SELECT unnest({_SENT}) AS s FROM ch)
+    "sentence_quality": f"""WITH ch AS (SELECT chunk_id, max(text) AS text FROM chunks WHERE chunk_id IS NOT NULL GROUP BY 1), s AS (SELECT unnest({_SENT}) AS s FROM ch)
 SELECT coalesce({_REASON}, 'accepted') AS reason, count(*) AS n_sentences FROM s WHERE s <> '' GROUP BY 1""",
-    "best_sentences": f"""WITH {_BASE.split('qs AS')[0].strip().rstrip(',')}, s AS (SELECT chunk_id, unnest({_SENT}) AS s FROM ch),
-g AS (SELECT chunk_id, s, {' + '.join(f"CAST(contains(lower(s), '{t}') AS INT)" for t in TERMS)} AS relevance FROM s WHERE {_REASON} IS NULL)
+    "best_sentences": f"""WITH ch AS (SELECT chunk_id, max(text) AS text FROM chunks WHERE chunk_id IS NOT NULL GROUP BY 1), s AS (SELECT chunk_id, unnest({_SENT}) AS s FROM ch),
+g AS (SELECT chunk_id, s, len(list_filter(['engine', 'runway', 'pilot', 'weather', 'landing', 'inspection'], lambda t: contains(lower(s), t))) AS relevance FROM s WHERE {_REASON} IS NULL AND length(regexp_replace(s, '\\P{{L}}', '', 'g')) >= 0.65 * length(s))
 SELECT chunk_id, s AS sentence, relevance FROM g WHERE relevance > 0 QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY relevance DESC, length(s) DESC, s DESC) = 1""",
     "token_budget": rf"WITH {_SF} SELECT record_id, CAST(coalesce(list_sum([len(list_filter(regexp_split_to_array(coalesce(m.content, ''), '\s+'), lambda w: w <> '')) + 4 for m in messages]), 0) AS BIGINT) AS n_tokens FROM sf",
     "chat_rendering": f"WITH {_SF} SELECT record_id, sha256(array_to_string([ '[' || upper(trim(coalesce(m.role, ''))) || ']' || chr(10) || coalesce(m.content, '') for m in messages], chr(10) || chr(10))) AS rendered_sha256 FROM sf",

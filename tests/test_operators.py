@@ -372,22 +372,26 @@ def test_rounds_drop_only_what_has_been_dealt(spark):
     assert {x for x in want if x[0] == "b"} and training_records.round_robin(df.limit(0), "fam", "key", "ans", 5, 4).count() == 0
 
 
-def test_quality_reasons(spark):
-    rows = [("Short.", "length"), ("The operator had removed the valve from forty airplanes", "unfinished"), ("the operator had removed the valve from forty airplanes.", "fragment"), ("The operator had removed the va1ve from forty airplanes.", "misread"), ("The operator had removed the valve from forty airplanes.", None), (None, "length")]
-    df = spark.createDataFrame(rows, "s string, r string")
-    assert [r[0] for r in df.select(training_records.quality_reason(F.col("s"))).collect()] == [r for _, r in rows]
+def test_grounded_records(spark):
+    df = spark.createDataFrame([("e", "What?", "c1", 'It "stopped".', 'It "stopped".'), ("e", "What?", "c2", "x", None)], "event string, q string, chunk string, text string, s string")
+    got = [r["r"] for r in df.select(training_records.grounded_record("sft-", F.col("event"), F.col("q"), F.col("chunk"), F.col("text"), F.col("s"), "Be exact.").alias("r")).collect()]
+    assert got[0]["record_id"] == "sft-" + hashlib.sha256(b'e\0c1\0It "stopped".').hexdigest()[:16]
+    assert [m["role"] for m in got[0]["messages"]] == ["system", "user", "assistant"]
+    assert answers.processed(got[0]["messages"][2]["content"], {"c1": 'It "stopped".'})["answer"] == 'It "stopped".'
 
 
 def test_whole_gate_and_letter_share(spark):
     good = "The operator had removed the valve from forty airplanes before the engine was tested again."
     rows = [
-        (good, None), (good[:70] + ".", "length"), ("12 " + good, "footnote"), (good.replace("forty", "4 0"), "list_or_page"), ("Table " + good, "boilerplate"),
-        (good.replace("forty", "the section 4"), "section"), ("10:20:30 " + good.lower(), "transcript"), (good.replace("valve from", "valve.” The"), "fused"), ("Ensure that " + good, "instruction"),
-        (good.replace("forty", "1.2 Forty"), "heading"), (good.replace("forty", "f orty"), "split_word"), (good.replace("forty", "(forty )"), "spaced_mark"), (good.replace("forty", "“forty"), "odd_quotes"),
-        (good.replace("forty", '"x-ray" "Beta'), "odd_quotes"), (good.replace("forty", "12forty"), "misread"), ("“" + good + "”.", "fragment"), (None, "length"),
+        (good, None), (good[:70] + ".", "length_or_termination"), (good[:-1], "length_or_termination"), (good * 4, "length_or_termination"), ("é" + good, "sentence_fragment"), ("12 " + good, "footnote_fragment"), (good.replace("forty", "4 0"), "list_or_page_fragment"), ("Table " + good, "document_boilerplate"),
+        (good.replace("forty", "the section 4"), "section_cross_reference"), ("10:20:30 " + good.lower(), "transcript_fragment"), (good.replace("valve from", "valve.” The"), "fused_sentences"), ("Ensure that " + good, "isolated_operational_instruction"),
+        (good.replace("forty", "1.2 Forty"), "heading_or_url"), ("See HTTP " + good, "heading_or_url"), ("A-1 on " + good, "reference_or_heading"), (good.replace("forty", "f orty"), "split_word"), (good.replace("forty", "(forty )"), "broken_punctuation"), (good.replace("forty", "“forty"), "unbalanced_quote"),
+        (good.replace("forty", '"x-ray" "Beta'), "unbalanced_quote"), (good.replace("forty", "12forty"), "ocr_fragment"), (good.replace("forty", "forty- five"), "ocr_fragment"), (good.replace("forty", "Château- Lorne"), None), ("“" + good + "”.", "sentence_fragment"), (None, "length_or_termination"),
     ]
     df = spark.createDataFrame(rows, "s string, r string")
     assert [r[0] for r in df.select(training_records.gate_reason(F.col("s"))).collect()] == [r for _, r in rows]
+    added = df.limit(1).select(training_records.gate_reason(F.col("s"), {"merged_word": ["Forty Air"]}).alias("r"))
+    assert [r[0] for r in added.collect()] == ["merged_word"]
     digits = "The engine 1234567890 1234567890 1234567890 1234567890 had stopped 1234567890 1234567890."
     texts = spark.createDataFrame([("a", " " + good + " The engine had stopped by then."), ("b", digits)], "k string, t string")
     assert [tuple(r) for r in training_records.best_sentence(texts, "k", "t", ["engine"]).collect()] == [("a", good, 1)]
