@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,16 +12,17 @@ from pyspark.sql import functions as F
 HEAVY_ROWS = 100_000
 
 
-def weighted_join(rows: DataFrame, keyed: DataFrame, key: str, weight: str, heavy: int = HEAVY_ROWS) -> DataFrame:
-    """rows joined with keyed, which has one row per key and in weight the number of rows of that key; weight is dropped.
+def weighted_join(rows: DataFrame, keyed: DataFrame, key: str | Sequence[str], weight: str, heavy: int = HEAVY_ROWS) -> DataFrame:
+    """rows joined with keyed, which has one row per key (one or more columns) and in weight the number of rows of that key; weight is dropped.
 
     Rows of keys of heavy rows or more stay where they are and get their partner by broadcast, of which there are at most
     count(rows) / heavy; all others meet in a shuffle, in which no key has as many. Rows without a partner and null keys
     drop out. rows is read twice, so it is best a checkpoint or a table.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     big = keyed.where(F.col(weight) >= heavy).drop(weight)
-    hot = rows.join(F.broadcast(big), key)
-    cold = rows.join(F.broadcast(big.select(key)), key, "left_anti").join(keyed.where(F.col(weight) < heavy).drop(weight), key)
+    hot = rows.join(F.broadcast(big), keys)
+    cold = rows.join(F.broadcast(big.select(*keys)), keys, "left_anti").join(keyed.where(F.col(weight) < heavy).drop(weight), keys)
     return hot.unionByName(cold)
 
 
