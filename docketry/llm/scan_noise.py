@@ -8,20 +8,27 @@ together and which rare words are misread forms of frequent ones. The second pas
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docketry.operators.joins import weighted_join
 from docketry.session import cut_lineage
 
 #: Misread forms up to this number are sent to all tasks (about 100 bytes each); beyond it words and forms meet in a shuffle.
 SENT_FORMS = 200_000
+#: Bits of the map by which tokens are taken for possible forms beyond that number; 16 MB in each task.
+FORM_BITS = 24
+#: Parts that the forms of one key are dealt to.
+KEY_PARTS = 16
 #: A form of letters only is misread if the right word is this many times as frequent.
 RATIO = 10
 
@@ -216,7 +223,10 @@ def misread_forms(words: DataFrame, others: DataFrame) -> DataFrame:
     forms = forms.groupBy("read", "key").agg(F.max("read_n").alias("read_n"))
     rights = words.where(F.col("word").rlike(letters) & (F.length("word") > 1) & (F.col("n") > 1)).select(F.col("word").alias("right"), "key", "n")
     enough = F.when(F.col("read").rlike(letters), F.col("n") >= RATIO * F.greatest("read_n", F.lit(1))).otherwise(F.col("n") >= F.col("read_n"))
-    pairs = forms.where(F.length("read") > 2).join(rights, "key").where((F.col("read") != F.col("right")) & enough)
+    # Short keys gather much of a large vocabulary's noise, so their forms are dealt to parts and the right words repeated.
+    dealt = forms.where(F.length("read") > 2).withColumn("part", F.pmod(F.xxhash64("read"), F.lit(KEY_PARTS)).cast("int"))
+    repeated = rights.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(KEY_PARTS - 1))))
+    pairs = dealt.join(repeated, ["key", "part"]).where((F.col("read") != F.col("right")) & enough)
     costed = cut_lineage(pairs.withColumn("cost", _misreadings("right", "read")).where(F.col("cost") <= 1 + F.floor(F.length("right") / 3)))
     costed = costed.join(costed.select(F.col("read").alias("right")).distinct(), "right", "left_anti")  # itself a misread form
     return costed.groupBy("read").agg(F.min(F.struct("cost", (-F.col("n")).alias("n"), "right"))["right"].alias("right"))
@@ -268,18 +278,36 @@ def _marked(texts: DataFrame, forms: DataFrame) -> DataFrame:
     return texts.mapInArrow(mark, _MARKED)
 
 
+def _form_map(forms: DataFrame) -> np.ndarray:
+    """Whether a form has the place of its CRC-32 among 2**FORM_BITS; its size doesn't depend on their number."""
+    at = F.pmod(F.crc32("read"), F.lit(1 << FORM_BITS)) + 1
+    maps = forms.groupBy(F.bitmap_bucket_number(at).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    out = np.zeros(1 << FORM_BITS, bool)
+    for r in maps:
+        out[(r["n"] - 1) * 32768 : r["n"] * 32768] = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")
+    return out
+
+
 def _marked_by_shuffle(texts: DataFrame, forms: DataFrame) -> DataFrame:
-    """The same for forms too many to send: texts give their different tokens, which meet the forms by word."""
+    """The same for forms too many to send: tokens that may be forms by a map that all tasks get meet them by word.
+
+    What the map lets pass are the misread words and one word in 2**FORM_BITS / forms of the others. Forms that very
+    many texts have are joined without a shuffle.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(_form_map(forms))
 
     @F.pandas_udf("array<struct<piece:string,word:string,line:string>>")
     def tokens(text: pd.Series, section: pd.Series) -> pd.Series:
-        class Every(dict):
-            get = staticmethod(lambda w: w)
+        known = sent.value
+
+        class Possible(dict):
+            get = staticmethod(lambda w: w if known[zlib.crc32(w.encode("utf-8", "surrogatepass")) & ((1 << FORM_BITS) - 1)] else None)
 
-        return pd.Series([[{"piece": p, "word": w, "line": x} for p, w, x in sorted(set(_tokens(t, s, Every())))] for t, s in zip(text, section, strict=True)])
+        return pd.Series([[{"piece": p, "word": w, "line": x} for p, w, x in sorted(set(_tokens(t, s, Possible())))] for t, s in zip(text, section, strict=True)])
 
-    own = texts.select("chunk_id", F.explode(tokens("text", "section")).alias("t")).select("chunk_id", "t.*")
-    return own.join(forms, own["word"] == forms["read"]).select("chunk_id", "piece", "right", "line")
+    own = cut_lineage(texts.select("chunk_id", F.explode(tokens("text", "section")).alias("t")).select("chunk_id", "t.*"))
+    times = own.groupBy("word").agg(F.count("*").alias("n")).join(forms.withColumnRenamed("read", "word"), "word")
+    return weighted_join(own, times, "word", "n").select("chunk_id", "piece", "right", "line")
 
 
 def scan_noise(chunks: DataFrame) -> DataFrame:
@@ -302,15 +330,20 @@ def scan_noise(chunks: DataFrame) -> DataFrame:
     labels = first.where("kind = 'label'").select("chunk_id", F.lit("page_number").alias("noise"), F.col("line").alias("found_value"), F.col("line").alias("piece"))
     offsets = first.where("kind = 'offset'").select("document_id", F.explode(F.array_distinct(F.array("n", "m"))).alias("off"))
     offsets = offsets.groupBy("document_id", "off").agg(F.count("*").alias("c")).groupBy("document_id").agg(F.max(F.struct("c", "off"))["off"].alias("off"))
-    due = first.where("kind = 'cell'").join(offsets, "document_id", "left")
+    cells = first.where("kind = 'cell'")
+    held = cells.groupBy("document_id").agg(F.count("*").alias("c")).join(offsets, "document_id", "left")
+    due = weighted_join(cells.where("document_id IS NOT NULL"), held, "document_id", "c").unionByName(cells.where("document_id IS NULL").withColumn("off", F.lit(None).cast("bigint")))
     due = due.where(((F.col("off") >= F.col("m")) & (F.col("off") <= F.col("n"))) | (F.col("off").isNull() & F.col("edge") & ((F.col("n") == 0) | (F.col("m") == 0))))
     numbers = due.select("chunk_id", F.lit("page_number").alias("noise"), F.col("line").alias("found_value"), F.col("line").alias("piece"))
 
     titles = first.where("kind = 'title'").select("chunk_id", "document_id", "line", "key", "head", "edge")
     by_key = titles.where("edge").groupBy("document_id", "key", "head").agg(F.countDistinct("chunk_id").alias("c"))
-    repeated = by_key.where("c > 1").select("document_id", "key")
+    repeated = by_key.where("c > 1").groupBy("document_id", "key").agg(F.lit(1).alias("x")).select("document_id", "key")
     heads = by_key.groupBy("head").agg(F.countDistinct("document_id").alias("d"), F.max("c").alias("c")).where("c > 1 AND d > 2 AND length(head) > 5").select("head")
-    headers = titles.join(repeated, ["document_id", "key"], "left_semi").select("chunk_id", "line").union(titles.join(heads, "head", "left_semi").select("chunk_id", "line")).distinct()
+    # A report or a head may have any share of the titles, so both are joined by how many there are.
+    of_key = titles.groupBy("document_id", "key").agg(F.count("*").alias("w")).join(repeated, ["document_id", "key"])
+    of_head = titles.groupBy("head").agg(F.count("*").alias("w")).join(heads, "head")
+    headers = weighted_join(titles, of_key, ["document_id", "key"], "w").select("chunk_id", "line").union(weighted_join(titles, of_head, "head", "w").select("chunk_id", "line")).distinct()
     headers = cut_lineage(headers)
     running = headers.select("chunk_id", F.lit("running_header").alias("noise"), F.col("line").alias("found_value"), F.col("line").alias("piece"))
 
@@ -320,13 +353,13 @@ def scan_noise(chunks: DataFrame) -> DataFrame:
     others = divided.select("word").distinct().withColumn("key", _scan_keys("word"))
     forms = cut_lineage(misread_forms(words, others))
 
-    whole = _counted(divided.select("left", "sign", "right_part", "word").distinct(), words)
+    whole = _counted(divided.groupBy("left", "sign", "right_part", "word").agg(F.count("*").alias("times")), words)
     joined = whole.join(forms, whole["word"] == forms["read"], "left").drop("read")
     known, both = F.col("whole_n") > 0, (F.col("left_n") > 0) & (F.col("part_n") > 0)
     soft = F.col("sign").isin("­", "¬")
     rejoin = soft | (known & (F.col("whole_n") >= F.col("compound_n"))) | (~known & (F.col("compound_n") == 0) & (F.col("right").isNotNull() | ~both))
-    joined = joined.where(rejoin).select("left", "sign", "right_part", F.coalesce("right", "word").alias("whole"), F.col("right").isNotNull().alias("wrong"))
-    parts = divided.join(joined, ["left", "sign", "right_part"])
+    joined = joined.where(rejoin).select("left", "sign", "right_part", F.coalesce("right", "word").alias("whole"), F.col("right").isNotNull().alias("wrong"), "times")
+    parts = weighted_join(divided, joined, ["left", "sign", "right_part"], "times")
     piece = F.concat("left", "sign", "right_part")
     hyphens = parts.select("chunk_id", F.lit("hyphenation").alias("noise"), F.col("whole").alias("found_value"), piece.alias("piece"))
     wrong_wholes = parts.where("wrong").select("chunk_id", F.lit("misread").alias("noise"), F.col("whole").alias("found_value"), piece.alias("piece"))
