@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketry.session import cut_lineage
+
 #: Rows of a key from which on it is joined without a shuffle. So the side that is sent has at most one row for each so
 #: many rows of the other side.
 HEAVY_ROWS = 100_000
@@ -17,13 +19,16 @@ def weighted_join(rows: DataFrame, keyed: DataFrame, key: str | Sequence[str], w
 
     Rows of keys of heavy rows or more stay where they are and get their partner by broadcast, of which there are at most
     count(rows) / heavy; all others meet in a shuffle, in which no key has as many. Rows without a partner and null keys
-    drop out. rows is read twice, so it is best a checkpoint or a table.
+    drop out. keyed is computed once into a checkpoint; while no key is heavy the join is a plain one, else rows is read
+    twice, so it is best a checkpoint or a table.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    big = keyed.where(F.col(weight) >= heavy).drop(weight)
-    hot = rows.join(F.broadcast(big), keys)
-    cold = rows.join(F.broadcast(big.select(*keys)), keys, "left_anti").join(keyed.where(F.col(weight) < heavy).drop(weight), keys)
-    return hot.unionByName(cold)
+    keyed = cut_lineage(keyed)
+    big, light = keyed.where(F.col(weight) >= heavy).drop(weight), keyed.where(F.col(weight) < heavy).drop(weight)
+    if not big.take(1):
+        return rows.join(light, keys)
+    cold = rows.join(F.broadcast(big), keys, "left_anti").join(light, keys)
+    return rows.join(F.broadcast(big), keys).unionByName(cold)
 
 
 def salts(weight: str, heavy: int = HEAVY_ROWS):  # noqa: ANN201
