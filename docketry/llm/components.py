@@ -119,7 +119,7 @@ def torn_groups(grouped: DataFrame, split: str, name: str) -> DataFrame:
     """The rows of grouped (with group_id) whose group has more than one split, with group_<name>, the least value of
     the column name in the group; null splits don't count. A group may hold any share of the rows."""
     sums = grouped.groupBy("group_id").agg(F.min(split).alias("_a"), F.max(split).alias("_b"), F.min(name).alias(f"group_{name}"), F.count("*").alias("_n"))
-    return weighted_join(grouped, cut_lineage(sums.where("_a < _b").drop("_a", "_b")), "group_id", "_n")
+    return weighted_join(grouped, sums.where("_a < _b").drop("_a", "_b"), "group_id", "_n")
 
 
 def _dealt(deficits: list[int], size: int, count: int) -> list[int]:
@@ -168,4 +168,4 @@ def assign_splits(grouped: DataFrame, targets: Sequence[tuple[str, int]], seed:
     parts = F.broadcast(grouped.sparkSession.createDataFrame(plan, "_size bigint, _from bigint, _to bigint, split string"))  # rows: splits x different sizes
     ranked = running(sizes.withColumn("_key", seeded_key(seed, "group_id")), ["_size"], "_key", "group_id").drop("before", "_key")
     chosen = ranked.join(parts, [ranked["_size"] == parts["_size"], F.col("rank") > F.col("_from"), F.col("rank") <= F.col("_to")]).select("group_id", "split", ranked["_size"])
-    return weighted_join(grouped.drop("split"), cut_lineage(chosen), "group_id", "_size")
+    return weighted_join(grouped.drop("split"), chosen, "group_id", "_size")

@@ -498,7 +498,7 @@ def _tiled_by_shuffle(texts: DataFrame, known: DataFrame, least: int, coverage:
     of_passage = cut_lineage(known.select("passage", F.size("words").alias("n_words"), F.explode(window_list("words")).alias("window")))
     shared = of_text.join(of_passage.select("window").distinct(), "window", "left_semi").groupBy("window").agg(F.count("*").alias("n"))
     holders = of_passage.groupBy("window").agg(F.collect_list(F.struct("passage", "n_words")).alias("in"))  # as many as a window has passages
-    hits = weighted_join(of_text, cut_lineage(shared.join(holders, "window")), "window", "n").select(*key, F.explode("in").alias("p"))
+    hits = weighted_join(of_text, shared.join(holders, "window"), "window", "n").select(*key, F.explode("in").alias("p"))
     pairs = hits.groupBy(*key, F.col("p.passage").alias("passage")).agg(F.count("*").alias("seeds"), F.first("p.n_words").alias("n_words"))
     pairs = cut_lineage(pairs.where(F.col("seeds") * least >= coverage * F.col("n_words")).select(*key, "passage"))
     with_text = pairs.join(read.select(*key, "words", "spans"), key)
