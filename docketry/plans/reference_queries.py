@@ -187,8 +187,8 @@ def equal_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def orphan_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents of chunks that no source has."""
-    sources = table(spark, folder, "sources").select(F.concat(F.lit("doc-"), "sha256").alias("document_id"))
+    """Documents of chunks that no published source in use has."""
+    sources = table(spark, folder, "sources").where("published_at IS NOT NULL AND deleted_at IS NULL").select(F.concat(F.lit("doc-"), "sha256").alias("document_id"))
     return integrity.missing_parents(table(spark, folder, "chunks"), "document_id", sources, "document_id")
 
 
@@ -205,11 +205,16 @@ def pending_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def span_violations(spark: SparkSession, folder: str) -> DataFrame:
-    return integrity.span_violations(table(spark, folder, "chunks"))
+    """Chunks as they are, but those of tables end one character late and those of scans have their pages swapped."""
+    own = table(spark, folder, "chunks").withColumn("end_offset", F.col("end_offset") + (F.col("kind") == "table").cast("int"))
+    scan = F.coalesce(F.col("kind") == "ocr", F.lit(False))
+    swapped = own.withColumn("first", F.when(scan, F.col("page_end")).otherwise(F.col("page_start"))).withColumn("page_end", F.when(scan, F.col("page_start")).otherwise(F.col("page_end")))
+    return integrity.span_violations(swapped.withColumn("page_start", F.col("first")))
 
 
 def uncovered_pages(spark: SparkSession, folder: str) -> DataFrame:
-    return integrity.uncovered_pages(table(spark, folder, "chunks"))
+    """Pages that no chunk of running text covers."""
+    return integrity.uncovered_pages(table(spark, folder, "chunks").where("kind = 'text'"))
 
 
 def evidence_violations(spark: SparkSession, folder: str) -> DataFrame:
@@ -259,7 +264,9 @@ def citation_scores(spark: SparkSession, folder: str) -> DataFrame:
     known = cited.join(table(spark, folder, "chunks").select("chunk_id").distinct(), F.col("e.chunk_id") == F.col("chunk_id"), "left_semi").groupBy("example_id").agg(F.collect_set("e").alias("known"))
     held = dev.join(known, "example_id", "left")
     kind = F.array().cast("array<struct<chunk_id:string,quote:string>>")
-    precision, recall = metrics.citation_scores(F.coalesce("known", kind), F.coalesce("evidence", kind))
+    # Every example also cites a chunk that doesn't exist, so that precision is a share.
+    cites = F.array_append(F.coalesce("known", kind), F.struct(F.lit("nowhere").alias("chunk_id"), F.lit("nothing").alias("quote")))
+    precision, recall = metrics.citation_scores(cites, F.coalesce("evidence", kind))
     return held.select("example_id", F.round(precision, 6).alias("precision"), F.round(recall, 6).alias("recall"))
 
 
@@ -429,7 +436,10 @@ def evidence_prompts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def example_problems(spark: SparkSession, folder: str) -> DataFrame:
-    return integrity.example_problems(table(spark, folder, "retrieval_dev"))
+    """Examples as they are, but synthetic ones are held out for the test, and drafts without reviewers count as unanswerable."""
+    drafts = F.coalesce(F.size("provenance.reviewers") == 0, F.lit(False))
+    own = table(spark, folder, "retrieval_dev").withColumn("answerable", F.col("answerable") & ~drafts)
+    return integrity.example_problems(own.withColumn("split", F.when(F.col("provenance.is_synthetic"), F.lit("test")).otherwise(F.col("split"))))
 
 
 def record_problems(spark: SparkSession, folder: str) -> DataFrame:
@@ -606,11 +616,13 @@ e AS (SELECT example_id, unnest(evidence) AS e, generate_subscripts(evidence, 1)
 b AS (SELECT example_id, e.chunk_id AS c, min(pos) AS a, string_agg(coalesce(e.quote, ''), chr(10) ORDER BY pos) AS q FROM e GROUP BY 1, 2),
 j AS (SELECT example_id, string_agg('<chunk id="' || coalesce(c, '') || '">' || chr(10) || q || chr(10) || '</chunk>', chr(10) || chr(10) ORDER BY a) AS x FROM b GROUP BY 1)
 SELECT example_id, sha256(coalesce(question || chr(10) || chr(10), '') || coalesce(x, '<no_evidence />')) AS prompt_sha256 FROM t LEFT JOIN j USING (example_id)""",
-    "example_problems": """SELECT DISTINCT example_id, unnest(list_filter([CASE WHEN coalesce(trim(question), '') = '' THEN 'no_question' END, CASE WHEN answerable AND coalesce(trim(reference_answer), '') = '' THEN 'no_answer' END,
-  CASE WHEN answerable AND coalesce(len(evidence), 0) = 0 THEN 'no_evidence' END, CASE WHEN NOT coalesce(answerable, false) AND coalesce(trim(reference_answer), '') <> '' THEN 'answer_unexpected' END,
-  CASE WHEN NOT coalesce(answerable, false) AND len(evidence) > 0 THEN 'evidence_unexpected' END, CASE WHEN list_contains(provenance.reviewers, provenance.author) THEN 'own_reviewer' END,
-  CASE WHEN coalesce(len(provenance.source_document_ids), 0) = 0 THEN 'no_source' END, CASE WHEN provenance.is_synthetic AND lower(trim(split)) = 'test' THEN 'synthetic_test' END], lambda x: x IS NOT NULL)) AS problem
-FROM retrieval_dev WHERE example_id IS NOT NULL""",
+    "example_problems": """WITH o AS (SELECT example_id, question, coalesce(trim(reference_answer), '') AS ref, coalesce(len(evidence), 0) AS n, provenance AS p,
+  coalesce(answerable, false) AND NOT coalesce(len(provenance.reviewers) = 0, false) AS able FROM retrieval_dev WHERE example_id IS NOT NULL),
+f AS (SELECT example_id, 'no_question' AS problem FROM o WHERE coalesce(trim(question), '') = '' UNION ALL SELECT example_id, 'no_answer' FROM o WHERE able AND ref = '' UNION ALL SELECT example_id, 'no_evidence' FROM o WHERE able AND n = 0
+  UNION ALL SELECT example_id, 'answer_unexpected' FROM o WHERE NOT able AND ref <> '' UNION ALL SELECT example_id, 'evidence_unexpected' FROM o WHERE NOT able AND n > 0
+  UNION ALL SELECT example_id, 'own_reviewer' FROM o WHERE list_contains(p.reviewers, p.author) UNION ALL SELECT example_id, 'no_source' FROM o WHERE coalesce(len(p.source_document_ids), 0) = 0
+  UNION ALL SELECT example_id, 'synthetic_test' FROM o WHERE p.is_synthetic)
+SELECT DISTINCT example_id, problem FROM f""",
     "report_urls": r"""SELECT CASE WHEN report_url IS NULL OR trim(report_url) = '' THEN 'missing' WHEN NOT regexp_matches(report_url, '^[a-z]+://[^/]+') THEN 'malformed' WHEN NOT starts_with(lower(report_url), 'https://') THEN 'not_https'
   WHEN regexp_matches(report_url, '^[a-z]+://[^/]*@') THEN 'credentials' WHEN regexp_matches(report_url, '^[a-z]+://[^/]*:\d+(/|$)') AND NOT regexp_matches(report_url, '^[a-z]+://[^/]*:443(/|$)') THEN 'port'
   WHEN regexp_extract(lower(report_url), '^[a-z]+://([^/:]+)', 1) <> 'dockets.inquiry.example' THEN 'host' ELSE 'allowed' END AS verdict, count(*) AS n_rows FROM selection GROUP BY 1""",
@@ -690,15 +702,16 @@ SELECT split, CAST(number AS INT) AS number, a + CAST(CASE WHEN c = 1 THEN 0 ELS
   least(b, a + CAST(CASE WHEN c = 1 THEN 0 ELSE number * (days - 1) // (c - 1) END AS INT) + 30) AS ends FROM w""",
     "repeated_chunks": "SELECT chunk_id, count(*) AS n_rows FROM chunks WHERE chunk_id IS NOT NULL GROUP BY 1 HAVING n_rows > 1",
     "equal_documents": "SELECT sha256(text) AS sha256, count(*) AS n_documents, min(doc_id) AS first_doc_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING n_documents > 1",
-    "orphan_documents": "SELECT document_id, count(*) AS n_rows FROM chunks WHERE document_id IS NOT NULL AND document_id NOT IN (SELECT 'doc-' || sha256 FROM sources WHERE sha256 IS NOT NULL) GROUP BY 1",
+    "orphan_documents": "SELECT document_id, count(*) AS n_rows FROM chunks WHERE document_id IS NOT NULL AND document_id NOT IN (SELECT 'doc-' || sha256 FROM sources WHERE sha256 IS NOT NULL AND published_at IS NOT NULL AND deleted_at IS NULL) GROUP BY 1",
     "family_coverage": f"""WITH l AS (SELECT DISTINCT {_tidy('event_family_id')} AS family FROM selection), r AS (SELECT DISTINCT {_tidy('event_family_id')} AS family FROM sources)
 SELECT coalesce(l.family, r.family) AS family, CASE WHEN r.family IS NULL THEN 'left_only' ELSE 'right_only' END AS side
 FROM (FROM l WHERE family IS NOT NULL) l FULL JOIN (FROM r WHERE family IS NOT NULL) r ON l.family = r.family WHERE l.family IS NULL OR r.family IS NULL""",
     "pending_events": "SELECT DISTINCT event_id FROM selection s WHERE NOT EXISTS (SELECT 1 FROM sources o WHERE o.event_id = s.event_id)",
-    "span_violations": """SELECT DISTINCT chunk_id, unnest(list_filter([CASE WHEN start_offset < 0 THEN 'negative_start' END, CASE WHEN end_offset <= start_offset THEN 'empty_span' END,
-  CASE WHEN length(text) <> end_offset - start_offset THEN 'length_differs' END, CASE WHEN page_end < page_start THEN 'pages_reversed' END, CASE WHEN page_start < 1 THEN 'page_below_one' END], lambda x: x IS NOT NULL)) AS problem
-FROM chunks WHERE chunk_id IS NOT NULL""",
-    "uncovered_pages": """WITH o AS (SELECT document_id, page_start AS a, page_end AS b FROM chunks WHERE document_id IS NOT NULL AND page_end >= page_start),
+    "span_violations": """SELECT DISTINCT chunk_id, unnest(list_filter([CASE WHEN start_offset < 0 THEN 'negative_start' END, CASE WHEN e <= start_offset THEN 'empty_span' END,
+  CASE WHEN length(text) <> e - start_offset THEN 'length_differs' END, CASE WHEN kind = 'ocr' AND page_start < page_end OR kind IS DISTINCT FROM 'ocr' AND page_end < page_start THEN 'pages_reversed' END,
+  CASE WHEN (kind = 'ocr' AND page_end < 1) OR (kind IS DISTINCT FROM 'ocr' AND page_start < 1) THEN 'page_below_one' END], lambda x: x IS NOT NULL)) AS problem
+FROM (SELECT *, CASE WHEN kind = 'table' THEN end_offset + 1 WHEN kind IS NOT NULL THEN end_offset END AS e FROM chunks) WHERE chunk_id IS NOT NULL""",
+    "uncovered_pages": """WITH o AS (SELECT document_id, page_start AS a, page_end AS b FROM chunks WHERE document_id IS NOT NULL AND page_end >= page_start AND kind = 'text'),
 have AS (SELECT DISTINCT document_id, unnest(range(a, b + 1)) AS page FROM o), due AS (SELECT document_id, unnest(range(min(a), max(b) + 1)) AS page FROM o GROUP BY 1)
 SELECT document_id, CAST(page AS INT) AS page FROM due EXCEPT SELECT document_id, CAST(page AS INT) FROM have""",
     "evidence_violations": """WITH d AS (SELECT example_id, any_value(evidence) AS evidence, any_value(provenance) AS provenance FROM retrieval_dev WHERE example_id IS NOT NULL GROUP BY 1),
@@ -724,7 +737,7 @@ SELECT record_id, round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 WHEN len(a)
     "citation_scores": """WITH d AS (SELECT example_id, any_value(evidence) AS evidence FROM retrieval_dev WHERE example_id IS NOT NULL GROUP BY 1),
 u AS (SELECT DISTINCT example_id, e.chunk_id AS c, e.quote AS q FROM (SELECT example_id, unnest(evidence) AS e FROM d)),
 k AS (SELECT example_id, count(*) AS g, count(*) FILTER (WHERE c IN (SELECT chunk_id FROM chunks WHERE chunk_id IS NOT NULL)) AS p FROM u GROUP BY 1)
-SELECT example_id, CAST(CASE WHEN coalesce(p, 0) > 0 THEN 1 WHEN coalesce(g, 0) = 0 THEN 1 ELSE 0 END AS DOUBLE) AS precision, CASE WHEN coalesce(g, 0) > 0 THEN round(p / g, 6) ELSE 1.0 END AS recall
+SELECT example_id, CAST(round(coalesce(p, 0) / (coalesce(p, 0) + 1), 6) AS DOUBLE) AS precision, CASE WHEN coalesce(g, 0) > 0 THEN round(p / g, 6) ELSE 0.0 END AS recall
 FROM d LEFT JOIN k USING (example_id)""",
     "processed_answers": f"WITH {_PROCESSED} SELECT record_id, answer, CAST(n_citations AS BIGINT) AS n_citations, abstained, abstention_reason, warnings FROM pr",
     "failure_classes": rf"""WITH {_PROCESSED},
