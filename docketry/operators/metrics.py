@@ -29,13 +29,18 @@ def retrieval_scores(hits: DataFrame, gold: DataFrame, queries: DataFrame) -> Da
     )
 
 
-def sliced(scores: DataFrame, slices: dict[str, Column], values: list[str]) -> DataFrame:
+def sliced(scores: DataFrame, slices: dict[str, Column], values: list[str], several: dict[str, Column] | None = None) -> DataFrame:
     """Mean of values (nulls left out), examples and scored examples, overall and per value of each slice.
 
-    A row is in one slice of each name, in the slice none where its value is null, and once in overall.
+    A row is in one slice of each name, in the slice none where its value is null, and once in overall. several has
+    arrays: a row is in a slice of each different value, in none where there is no value.
     """
     names = [F.lit("overall"), *[F.concat(F.lit(name + ":"), F.coalesce(c.cast("string"), F.lit("none"))) for name, c in slices.items()]]
-    spread = scores.withColumn("slice", F.explode(F.array(*names)))
+    held = F.array(*names)
+    for name, c in (several or {}).items():
+        own = F.array_distinct(F.array_compact(F.coalesce(c.cast("array<string>"), F.array().cast("array<string>"))))
+        held = F.concat(held, F.transform(F.when(F.size(own) > 0, own).otherwise(F.array(F.lit("none"))), lambda v: F.concat(F.lit(name + ":"), v)))  # noqa: B023
+    spread = scores.withColumn("slice", F.explode(held))
     return spread.groupBy("slice").agg(F.count("*").alias("examples"), F.count(values[0]).alias("scored"), *[F.avg(v).alias(v) for v in values])
 
 

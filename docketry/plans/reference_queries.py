@@ -129,8 +129,9 @@ def retrieval_metrics(spark: SparkSession, folder: str) -> DataFrame:
 def retrieval_slices(spark: SparkSession, folder: str) -> DataFrame:
     scores = metrics.retrieval_scores(_top(spark, folder, 10), _gold(spark, folder), _questions(spark, folder))
     held = scores.join(_test(spark, folder).withColumnRenamed("example_id", "query_id"), "query_id")
-    slices = {"answerable": F.col("answerable"), "query": metrics.query_kind("question")}
-    out = metrics.sliced(held, slices, ["recall", "reciprocal_rank", "ndcg"])
+    kinds = _gold(spark, folder).join(_chunks(spark, folder).select("chunk_id", "kind"), "chunk_id").groupBy("query_id").agg(F.collect_set("kind").alias("kinds"))
+    slices = {"answerable": F.col("answerable"), "query": metrics.query_kind("question"), "split": tidy("split")}
+    out = metrics.sliced(held.join(kinds, "query_id", "left"), slices, ["recall", "reciprocal_rank", "ndcg"], {"content": F.col("kinds")})
     return out.select("slice", "examples", "scored", *[F.round(c, 6).alias(c) for c in ("recall", "reciprocal_rank", "ndcg")])
 
 
@@ -671,10 +672,11 @@ SELECT query_id, chunk_id, rank, CAST(least(n, 4000 - b) AS BIGINT) AS n_chars F
     "term_spread": f"WITH {_BASE} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY 1",
     "retrieval_metrics": f"WITH {_BM25}{_METRIC} SELECT query_id, CAST(n_gold AS BIGINT) AS n_gold, {_ROUNDED} FROM ms",
     "retrieval_slices": f"""WITH {_BM25}{_METRIC},
-ex AS (SELECT example_id AS query_id, any_value(answerable) AS answerable, max(question) AS question FROM retrieval_test GROUP BY 1),
-sl AS (SELECT ms.*, unnest(['overall', 'answerable:' || coalesce(CAST(answerable AS VARCHAR), 'none'),
-  'query:' || CASE WHEN len(list_filter(regexp_extract_all(question, '[A-Z0-9-]+'), lambda t: length(t) >= 5 AND regexp_matches(t, '[A-Z]') AND regexp_matches(t, '[0-9]'))) > 0 THEN 'identifier' ELSE 'natural-language' END]) AS slice
-  FROM ms JOIN ex USING (query_id))
+ex AS (SELECT example_id AS query_id, any_value(answerable) AS answerable, max(question) AS question, max(lower(trim(split))) AS split FROM retrieval_test GROUP BY 1),
+kd AS (SELECT query_id, list(DISTINCT 'content:' || kind) AS kinds FROM gold JOIN ch USING (chunk_id) WHERE kind IS NOT NULL GROUP BY 1),
+sl AS (SELECT ms.*, unnest(list_concat(coalesce(kinds, ['content:none']), ['overall', 'split:' || coalesce(split, 'none'), 'answerable:' || coalesce(CAST(answerable AS VARCHAR), 'none'),
+  'query:' || CASE WHEN len(list_filter(regexp_extract_all(question, '[A-Z0-9-]+'), lambda t: length(t) >= 5 AND regexp_matches(t, '[A-Z]') AND regexp_matches(t, '[0-9]'))) > 0 THEN 'identifier' ELSE 'natural-language' END])) AS slice
+  FROM ms JOIN ex USING (query_id) LEFT JOIN kd USING (query_id))
 SELECT slice, count(*) AS examples, count(recall) AS scored, round(avg(recall), 6) AS recall, round(avg(reciprocal_rank), 6) AS reciprocal_rank, round(avg(ndcg), 6) AS ndcg FROM sl GROUP BY 1""",
     "family_splits": f"""WITH f AS (SELECT DISTINCT {_tidy('event_family_id')} AS family FROM selection WHERE {_tidy('event_family_id')} IS NOT NULL),
 d AS (SELECT family, sha256('42' || chr(0) || family) AS digest FROM f),
