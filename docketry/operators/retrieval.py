@@ -16,8 +16,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docketry.functions.text import STOP_WORDS, fold, sentences, tokens
+from docketry.session import cut_lineage
 
 K1, B = 1.2, 0.75
 #: Questions times their different terms (or dimensions) that are sent to all tasks, 8 bytes each.
@@ -191,86 +193,260 @@ def scoped_bm25(chunks: DataFrame, queries: DataFrame, k: int, sent_cells: int =
     A question has min(k, chunks of its scope) rows, those without shared terms with score 0. A scope without chunks or
     a null scope gives none; empty_scopes names those questions, so that a caller can refuse them.
     """
-    own = chunks.select("chunk_id", "scope", tokens("text").alias("terms"))
     wanted = _asked_in_scopes(queries)
-    if _scoped_cells(wanted) > sent_cells:
-        return _scoped_topk(_bm25_scores(own, wanted), chunks, queries, k)
-    terms = [r[0] for r in wanted.select("term").distinct().orderBy("term").collect()]
-    n, mean, df = _statistics(own, terms)
-    idf = {t: float(np.log(1 + (n - v + 0.5) / (v + 0.5))) for t, v in df.items()}
-
-    def weigh(counts: np.ndarray, length: np.ndarray) -> np.ndarray:
-        return counts * (K1 + 1) / (counts + K1 * (1 - B + B * length / mean))
-
-    return _sent_scoped_topk(own, queries, wanted, idf, weigh, k)
+    if wanted.select("term").distinct().count() > sent_cells:
+        return _scoped_topk(_bm25_scores(chunks.select("chunk_id", "scope", tokens("text").alias("terms")), wanted), chunks, queries, k)
+    near, names = _scope_ranks(chunks, queries, wanted, ("bm25",), k)
+    return _for_each(ranked(near, k), names)
 
 
 def _asked_in_scopes(queries: DataFrame) -> DataFrame:
     return queries.where("scope IS NOT NULL").select("query_id", "scope", F.explode(F.array_distinct(tokens("text"))).alias("term"))
 
 
-def _scoped_cells(wanted: DataFrame) -> int:
-    each = wanted.groupBy("scope").agg(F.count_distinct("query_id").alias("q"), F.count_distinct("term").alias("t"))
-    return each.agg(F.coalesce(F.sum(F.col("q") * F.col("t")), F.lit(0))).first()[0]
-
-
 def scoped_overlap(chunks: DataFrame, queries: DataFrame, k: int, sent_cells: int = SENT_CELLS) -> DataFrame:
     """As scoped_bm25, by the share of a question's different terms that a chunk has."""
     wanted = _asked_in_scopes(queries)
-    sizes = wanted.groupBy("query_id").agg(F.count("*").alias("size"))
-    if _scoped_cells(wanted) > sent_cells:
+    if wanted.select("term").distinct().count() > sent_cells:
+        sizes = wanted.groupBy("query_id").agg(F.count("*").alias("size"))
         repeated = wanted.join(sizes, "query_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(TERM_PARTS - 1))))
         own = chunks.select("chunk_id", "scope", F.explode(F.array_distinct(tokens("text"))).alias("term"), F.pmod(F.xxhash64("chunk_id"), F.lit(TERM_PARTS)).cast("int").alias("part"))
         scores = own.join(repeated, ["scope", "term", "part"]).groupBy("query_id", "chunk_id", "size").agg(F.count("*").alias("_h"))
         return _scoped_topk(scores.select("query_id", "chunk_id", (F.col("_h") / F.col("size")).alias("score")), chunks, queries, k)
-    own = chunks.select("chunk_id", "scope", F.array_distinct(tokens("text")).alias("terms"))
-    asked = {r[0]: 1.0 for r in wanted.select("term").distinct().collect()}
-    counted = _sent_scoped_topk(own, queries, wanted, asked, lambda counts, length: counts, k).join(sizes, "query_id", "left")
-    return counted.select("query_id", "chunk_id", "rank", F.coalesce(F.col("score") / F.col("size"), F.lit(0.0)).alias("score"))
+    near, names = _scope_ranks(chunks, queries, wanted, ("overlap",), k)
+    return _for_each(ranked(near, k), names)
 
 
-def _sent_scoped_topk(own: DataFrame, queries: DataFrame, wanted: DataFrame, values: dict[str, float], weigh: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int) -> DataFrame:
-    """_sent_topk within scopes: own (chunk_id, scope, terms) is scored for the questions of its scope only."""
-    asked: dict[object, tuple[list, list[str], list[tuple[int, int, float]]]] = {}
-    for r in queries.where("scope IS NOT NULL").select("scope", "query_id").distinct().orderBy("scope", "query_id").collect():
-        asked.setdefault(r["scope"], ([], [], []))[0].append(r["query_id"])
-    at: dict[object, dict[str, int]] = {s: {} for s in asked}
-    column = {(s, q): i for s, (names, _, _) in asked.items() for i, q in enumerate(names)}
-    for r in wanted.collect():
-        if r["term"] in values:
-            place = at[r["scope"]].setdefault(r["term"], len(at[r["scope"]]))
-            asked[r["scope"]][2].append((place, column[r["scope"], r["query_id"]], values[r["term"]]))
-    for s, places in at.items():
-        asked[s][1].extend(places)
-    sent = own.sparkSession.sparkContext.broadcast(asked)
-    kinds = {f.name: f.dataType.simpleString() for f in (*queries.schema, *own.schema)}
+def scoped_fused(chunks: DataFrame, queries: DataFrame, k: int, held: int, weight: float = 0.5, constant: int = 60, sent_cells: int = SENT_CELLS) -> DataFrame:
+    """fused over the best held of scoped_bm25 and of scoped_overlap, both from one pass over the chunks."""
+    wanted = _asked_in_scopes(queries)
+    if wanted.select("term").distinct().count() > sent_cells:
+        return fused(scoped_bm25(chunks, queries, held, sent_cells), scoped_overlap(chunks, queries, held, sent_cells), k, weight, constant)
+    near, names = _scope_ranks(chunks, queries, wanted, ("bm25", "overlap"), held, (k, weight, constant))
+    order = Window.partitionBy("query_id", "side").orderBy(F.round("score", 9).desc(), "chunk_id")
+    own = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= held)
+    part = F.when(F.col("side") == 0, F.lit(weight) / (constant + F.col("rank"))).when(F.col("side") == 1, F.lit(1 - weight) / (constant + F.col("rank"))).otherwise(F.col("score"))
+    return _for_each(ranked(own.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")), k), names)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, found, held = sent.value, [], 0
+
+def _for_each(ranks: DataFrame, names: DataFrame) -> DataFrame:
+    """ranks (query_id, chunk_id, rank, score) of the questions that stand for others, for each question of names."""
+    return names.join(ranks.withColumnRenamed("query_id", "_of"), "_of").select("query_id", "chunk_id", "rank", "score")
+
+
+#: Chunks, and different questions, of a scope that meet in one task; a scope of more is cut into parts. Both sides of a
+#: scope are repeated for the other's parts.
+SCOPE_CHUNKS, SCOPE_ASKED = 32_000, 20_000
+#: Cells of a block that a task scores at once, and rows of a scope that it gathers for that.
+BLOCK_CELLS, BLOCK_ROWS = 1_000_000, 2_000
+
+
+def _packed(row: np.ndarray, term: np.ndarray, n: int, kind: str) -> pa.Array:
+    """The terms of each of n rows as bytes of kind; row is in order."""
+    ends = np.searchsorted(row, np.arange(n + 1)) * np.dtype(kind).itemsize
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(term.astype(kind).tobytes())])
+
+
+def _scope_ranks(chunks: DataFrame, queries: DataFrame, wanted: DataFrame, sides: tuple[str, ...], k: int, fusion: tuple[int, float, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(query_id, chunk_id, side, score) with the best k of each side and part of a scope, and names (_of, query_id).
+
+    Questions of a scope with the same terms are one, named by the least query_id; names has all that it stands for.
+    Texts are read once: a chunk goes on as its numbered terms that any question has, in a checkpoint, and meets the
+    questions of its scope in a task that keeps the best k, so no pair of question and chunk is ever written but these.
+    side is the place in sides. With fusion, a scope of one part gives its fused best as side 2, all others both sides.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in (*queries.schema, *chunks.schema)}
+    known = wanted.select("term").distinct().orderBy("term").toArrow().column(0).combine_chunks()
+    sent = chunks.sparkSession.sparkContext.broadcast(known)
+    byte = "<u2" if len(known) <= 1 << 16 else "<u4"
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, found, n, length = sent.value, np.zeros(len(sent.value), np.int64), 0, 0
+        schema = pa.schema([("chunk_id", ids), ("scope", scopes), ("size", pa.int64()), ("terms", pa.binary()), ("term", pa.int32())])
         for batch in batches:
-            scopes = batch.column(1).to_pylist()
-            rows: dict[object, list[int]] = {}
-            for i, scope in enumerate(scopes):
-                if scope in asked:
-                    rows.setdefault(scope, []).append(i)
-            for scope, own_rows in rows.items():
-                names, terms, weights_of = asked[scope]
-                part = batch.take(pa.array(own_rows))
-                row, term, sizes = _places(part.column(2), pa.array(terms, pa.string()))
-                counts = np.bincount(row * max(len(terms), 1) + term, minlength=len(sizes) * len(terms)).reshape(len(sizes), len(terms)).astype(float)
-                matrix = np.zeros((len(terms), len(names)))
-                for t, q, v in weights_of:
-                    matrix[t, q] = v
-                found.append(_best(weigh(counts, sizes[:, None]) @ matrix, np.array(part.column(0).to_pylist(), object), names, k, "chunk_id"))
-                held += len(found[-1])
-            if held > HELD_ROWS:
-                found = [_kept(pd.concat(found), k)]
-                held = len(found[0]) // 2  # what is kept is looked at again when as much has come
-        if found:
-            yield pa.RecordBatch.from_pandas(_kept(pd.concat(found), k), preserve_index=False)
-
-    near = own.select("chunk_id", "scope", "terms").mapInArrow(score, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
-    return ranked(near, k).select("query_id", "chunk_id", "rank", "score")
+            row, term, sizes = _places(batch.column(2), known)
+            found += np.bincount(np.unique(row * max(len(known), 1) + term) % max(len(known), 1), minlength=len(known)) if len(row) else 0
+            n, length = n + len(sizes), length + int(sizes.sum())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(ids), batch.column(1).cast(scopes), pa.array(sizes), _packed(row, term, len(sizes), byte), pa.nulls(len(sizes), pa.int32())], schema=schema)
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(at) + 2, ids), pa.nulls(len(at) + 2, scopes), pa.array([*found[at], n, length], pa.int64()), pa.nulls(len(at) + 2, pa.binary()), pa.array([*at, -1, -2], pa.int32())], schema=schema)
+
+    own = chunks.select("chunk_id", "scope", tokens("text").alias("terms"))
+    ids, scopes = (to_arrow_type(own.schema[c].dataType) for c in ("chunk_id", "scope"))
+    every = cut_lineage(own.mapInArrow(code, f"chunk_id {kinds['chunk_id']}, scope {kinds['scope']}, size bigint, terms binary, term int"))
+    sums = {r["term"]: r["n"] for r in every.where("term IS NOT NULL").groupBy("term").agg(F.sum("size").alias("n")).collect()}
+    n = sums.pop(-1, 0)
+    mean, idf = max(1.0, sums.pop(-2, 0) / max(n, 1)), np.zeros(len(known))
+    for i, v in sums.items():
+        idf[i] = np.log(1 + (n - v + 0.5) / (v + 0.5))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, term, sizes = _places(batch.column(2), sent.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _packed(row, term, len(sizes), byte)], names=["_of", "scope", "terms"])
+
+    asked = queries.where("scope IS NOT NULL").select("query_id", "scope", F.array_sort(F.array_distinct(tokens("text"))).alias("terms"))
+    different = asked.groupBy("scope", "terms").agg(F.min("query_id").alias("_of"))
+    names = asked.join(different, ["scope", "terms"]).select("_of", "query_id")
+    given = different.select("_of", "scope", "terms").mapInArrow(number, f"_of {kinds['query_id']}, scope {kinds['scope']}, terms binary")
+    held = every.where("term IS NULL AND scope IS NOT NULL")
+    large = [
+        df.groupBy("scope").agg(F.ceil(F.count("*") / most).cast("int").alias(name)).where(F.col(name) > 1)
+        for df, most, name in ((held, SCOPE_CHUNKS, "_parts"), (different, SCOPE_ASKED, "_slices"))
+    ]
+    # A scope is in one of these per SCOPE_CHUNKS chunks or SCOPE_ASKED questions at most.
+    cuts = F.broadcast(cut_lineage(large[0].join(large[1], "scope", "full").select("scope", F.coalesce("_parts", F.lit(1)).alias("_parts"), F.coalesce("_slices", F.lit(1)).alias("_slices"))))
+    parts, slices = F.coalesce("_parts", F.lit(1)), F.coalesce("_slices", F.lit(1))
+    upto = lambda c: F.explode(F.sequence(F.lit(0), c - 1))
+    left = given.join(cuts, "scope", "left").withColumn("part", upto(parts)).select("scope", "part", F.pmod(F.xxhash64("_of"), slices).cast("int").alias("slice"), "_of", F.lit(None).cast(kinds["chunk_id"]).alias("chunk_id"), parts.cast("bigint").alias("size"), "terms")
+    right = held.join(cuts, "scope", "left").withColumn("slice", upto(slices)).select("scope", F.pmod(F.xxhash64("chunk_id"), parts).cast("int").alias("part"), "slice", F.lit(None).cast(kinds["query_id"]).alias("_of"), "chunk_id", "size", "terms")
+    # Chunks without an id aren't expected, so a row is a question where it has one.
+    both = left.unionByName(right).repartition("scope", "part", "slice").sortWithinPartitions("scope", "part", "slice", F.col("_of").isNull(), "chunk_id")
+    sent_idf, cells, lines = chunks.sparkSession.sparkContext.broadcast(idf), BLOCK_CELLS, BLOCK_ROWS
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, last, ready = None, None, []
+        for batch in batches:
+            keys = [batch.column(i) for i in range(3)]
+            change = np.zeros(batch.num_rows, bool)
+            for c in keys:
+                change[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+            starts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+            for a, b in zip(starts, starts[1:]):
+                if (key := tuple(c[a].as_py() for c in keys)) != last:
+                    if group:
+                        ready += group.best()
+                    group, last = _Scope(sides, k, fusion, sent_idf.value, mean, byte, cells, lines), key
+                group.add(batch.slice(a, b - a))
+            if sum(map(len, ready)) > lines:
+                yield from ready
+                ready = []
+        yield from [*ready, *(group.best() if group else [])]
+
+    near = both.mapInArrow(search, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, side int, score double")
+    return near, names
+
+
+class _Scope:
+    """The best k chunks per side for each question of a part of a scope: first its questions come, then its chunks in order of their ids."""
+
+    def __init__(self, sides: tuple[str, ...], k: int, fusion: tuple[int, float, int] | None, idf: np.ndarray, mean: float, byte: str, cells: int, lines: int) -> None:
+        self.sides, self.k, self.fusion, self.idf, self.mean, self.byte, self.cells, self.lines = sides, k, fusion, idf, mean, byte, cells, lines
+        self.asked, self.ids, self.waiting, self.held, self.whole = [], [], [], 0, False
+        self.blocks: list | None = None
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        n = batch.num_rows - batch.column(3).null_count
+        if n:
+            self.asked.append(batch.slice(0, n))
+        if n < batch.num_rows and self.asked:
+            self.waiting.append(batch.slice(n))
+            self.held += batch.num_rows - n
+            if self.held >= self.lines:
+                self._score()
+
+    def _terms(self, batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+        """(terms of all rows one after the other, number of each row's)."""
+        lists = [x.to_numpy(zero_copy_only=False) for x in (b.column(6) for b in batches)]
+        lists = [x for part in lists for x in part]
+        return np.frombuffer(b"".join(lists), self.byte).astype(np.int64), np.array([len(x) for x in lists], np.int64) // np.dtype(self.byte).itemsize
+
+    def _cut(self) -> None:
+        """Questions in blocks of at most so many cells of their terms times themselves."""
+        terms, sizes = self._terms(self.asked)
+        self.whole = self.asked[0].column(5)[0].as_py() == 1
+        self.blocks, first, ends = [], 0, np.concatenate([[0], np.cumsum(sizes)])
+        while first < len(sizes):
+            cells = (ends[first + 1 :] - ends[first]) * np.arange(1, len(sizes) - first + 1)
+            until = first + max(1, int(np.searchsorted(cells, self.cells, "right")))
+            own, place = np.unique(terms[ends[first] : ends[until]], return_inverse=True)
+            column = np.repeat(np.arange(until - first), sizes[first:until])
+            state = {s: (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.full(until - first, -np.inf)) for s in self.sides}
+            self.blocks.append((own, place, column, sizes[first:until], state))
+            first = until
+
+    def _score(self) -> None:
+        if self.blocks is None:
+            self._cut()
+        offset = sum(map(len, self.ids))
+        self.ids += [b.column(4) for b in self.waiting]
+        terms, sizes = self._terms(self.waiting)
+        length = np.concatenate([b.column(5).to_numpy() for b in self.waiting])[:, None]
+        row, n = np.repeat(np.arange(len(sizes)), sizes), len(sizes)
+        self.waiting, self.held = [], 0
+        for own, place, column, asked, state in self.blocks:
+            t, a = max(len(own), 1), len(asked)
+            at = np.minimum(np.searchsorted(own, terms), t - 1)
+            hit = own[at] == terms if len(own) else np.zeros(len(terms), bool)
+            in_row, in_own = row[hit], at[hit]
+            values = np.zeros((t, a))
+            step = max(1, self.cells // max(t, a))
+            ends = np.searchsorted(in_row, np.arange(0, n + step, step))
+            for i in range(0, n, step):
+                upto = min(step, n - i)
+                mine = slice(ends[i // step], ends[i // step + 1])
+                counts = np.bincount((in_row[mine] - i) * t + in_own[mine], minlength=upto * t).reshape(upto, t).astype(float)
+                for side in self.sides:
+                    if side == "bm25":
+                        values[place, column] = self.idf[own[place]] if len(place) else 0
+                        scores = counts * (K1 + 1) / (counts + K1 * (1 - B + B * length[i : i + upto] / self.mean)) @ values
+                    else:
+                        values[place, column] = 1
+                        scores = np.minimum(counts, 1) @ values / np.maximum(asked, 1)
+                    state[side] = self._kept(scores, offset + i, *state[side])
+
+    def _kept(self, scores: np.ndarray, offset: int, column: np.ndarray, row: np.ndarray, score: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The state with rows of scores, which come after all others, so a row as good as the kth is too late."""
+        n, near = scores.shape[0], 2e-9
+        bound = np.partition(scores, n - self.k, axis=0)[n - self.k] if n > self.k and not len(column) else least
+        r, c = np.nonzero(scores >= bound - near)
+        found = scores[r, c]
+        new = np.round(found, 9) > np.round(least, 9)[c]
+        r, c, found = r[new], c[new], found[new]
+        if not len(r):
+            return column, row, score, least
+        column, row, score = np.concatenate([column, c]), np.concatenate([row, r + offset]), np.concatenate([score, found])
+        column, row, score, place = self._first(column, row, score, self.k)
+        last = place == self.k - 1
+        least = least.copy()
+        least[column[last]] = score[last]
+        return column, row, score, least
+
+    @staticmethod
+    def _first(column: np.ndarray, row: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The best k of each column, in order, with their places from 0."""
+        order = np.lexsort((row, -np.round(score, 9), column))
+        column, row, score = column[order], row[order], score[order]
+        place = np.arange(len(column)) - np.searchsorted(column, column)
+        kept = place < k
+        return column[kept], row[kept], score[kept], place[kept]
+
+    def best(self) -> list[pa.RecordBatch]:
+        if self.waiting:
+            self._score()
+        if not self.blocks:
+            return []
+        asked, ids = pa.concat_arrays([b.column(3) for b in self.asked]), pa.concat_arrays(self.ids)
+        out, first = [], 0
+        for *_, sizes, state in self.blocks:
+            found = [(i, *state[s][:3]) for i, s in enumerate(self.sides)]
+            if self.fusion and self.whole:
+                found = [(len(self.sides), *self._fused([x[1:] for x in found]))]
+            for side, column, row, score in found:
+                out.append(pa.RecordBatch.from_arrays([asked.take(pa.array(column + first)), ids.take(pa.array(row)), pa.array(np.full(len(row), side), pa.int32()), pa.array(score)], names=["query_id", "chunk_id", "side", "score"]))
+            first += len(sizes)
+        return out
+
+    def _fused(self, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        k, weight, constant = self.fusion
+        width = sum(map(len, self.ids))
+        pairs, parts = [], []
+        for (column, row, _), w in zip(found, (weight, 1 - weight)):
+            pairs.append(column * width + row)
+            parts.append(w / (constant + np.arange(1, len(column) + 1) - np.searchsorted(column, column)))
+        pair, at = np.unique(np.concatenate(pairs), return_inverse=True)
+        sums = np.bincount(at, np.concatenate(parts), len(pair))
+        return self._first(pair // width, pair % width, sums, k)[:3]
 
 
 def _scoped_topk(scores: DataFrame, chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -398,4 +574,4 @@ def term_spread(chunks: DataFrame) -> DataFrame:
     return each.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-__all__ = ["bm25_topk", "overlap_topk", "scoped_bm25", "scoped_overlap", "empty_scopes", "dense_topk", "fused", "reranked", "overlap", "bounded_context", "nearest_sentence", "context_passage", "term_spread", "ranked", "fold"]
+__all__ = ["bm25_topk", "overlap_topk", "scoped_bm25", "scoped_overlap", "scoped_fused", "empty_scopes", "dense_topk", "fused", "reranked", "overlap", "bounded_context", "nearest_sentence", "context_passage", "term_spread", "ranked", "fold"]

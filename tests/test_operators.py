@@ -1,6 +1,7 @@
 import hashlib
 import json
 import math
+import re
 from collections import Counter
 
 import pytest
@@ -168,6 +169,26 @@ def test_scoped_both_ways(spark):
         assert search(chunks.limit(0), queries, 7).count() == 0 and search(chunks, queries.limit(0), 7).count() == 0
     assert {r["query_id"] for r in retrieval.empty_scopes(chunks, queries).collect()} == {"q3", "q4"}
 
+def test_scopes_in_parts_and_repeated_questions(spark, monkeypatch):
+    words = "engine runway pilot weather landing gear the of flap rudder".split()
+    rows = [(f"c{i:03d}", f"s{i % 3}" if i % 4 else "hot", " ".join(words[(i * j) % 10] for j in range(1, 2 + i % 6)) if i % 11 else None) for i in range(160)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, scope string, text string")
+    texts = ["engine of the pilot", "the pilot of engine", "zebra", None, "flap flap rudder", "weather landing"]
+    asked = [(f"q{i:02d}", "hot" if i % 3 else f"s{i % 5}", texts[i % 6]) for i in range(40)]
+    queries = spark.createDataFrame(asked, "query_id string, scope string, text string")
+    plain = lambda df: sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 9)) for r in df.collect())
+    # Scores of all pairs that share a term, each written out: what a scope with many chunks and many questions can't afford.
+    want = [plain(search(chunks, queries, 7, sent_cells=0)) for search in (retrieval.scoped_bm25, retrieval.scoped_overlap)]
+    both = plain(retrieval.scoped_fused(chunks, queries, 3, 7, weight=0.25, sent_cells=0))
+    for chunks_at_once, asked_at_once, cells, lines in ((32_000, 20_000, 10**6, 2000), (15, 3, 12, 4)):
+        for name, value in (("SCOPE_CHUNKS", chunks_at_once), ("SCOPE_ASKED", asked_at_once), ("BLOCK_CELLS", cells), ("BLOCK_ROWS", lines)):
+            monkeypatch.setattr(retrieval, name, value)
+        # 20 cells are fewer than the questions of a scope times their terms, but more than the terms.
+        assert [plain(search(chunks, queries, 7, sent_cells=20)) for search in (retrieval.scoped_bm25, retrieval.scoped_overlap)] == want
+        assert plain(retrieval.scoped_fused(chunks, queries, 3, 7, weight=0.25, sent_cells=20)) == both
+    plan = retrieval.scoped_bm25(chunks, queries, 7, sent_cells=20)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Join .*\bterm#", plan)
+
 
 def test_selected_candidates(spark):
     rows = [(f"s{i}", f"e{i}", f"f{i % 5}", "u" if i % 4 else " ", [f"a:{i % 3}", f"b:{i % 2}"]) for i in range(20)]
