@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,11 +50,16 @@ def chunk_problems(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def document_digest(spark: SparkSession, folder: str) -> DataFrame:
-    """The content digest by which a frozen table is known, of each language's documents, as it would be written."""
+    """The content digest by which a frozen table is known, of each language's documents, as it would be written.
+
+    It is a sum of 48 bits per row modulo 2^64 as a signed number, so it is the plain sum until that passes 2^63, at
+    about 65,000 rows of a language.
+    """
     own = table(spark, folder, "documents").select("doc_id", F.coalesce("lang", F.lit("?")).alias("lang"), "text")
     row = F.sha2(F.concat_ws("\u0001", F.col("doc_id").cast("string"), "lang", F.coalesce("text", F.lit("\u0002"))), 256)
-    part = F.sum(F.conv(F.substring(row, 1, 12), 16, 10).cast("bigint"))
-    return own.groupBy("lang").agg(F.count("*").alias("n_rows"), part.alias("digest"))
+    whole, turn = F.sum(F.conv(F.substring(row, 1, 12), 16, 10).cast("decimal(20,0)")), F.lit(Decimal(2**64))
+    over = whole % turn
+    return own.groupBy("lang").agg(F.count("*").alias("n_rows"), F.when(over >= Decimal(2**63), over - turn).otherwise(over).cast("bigint").alias("digest"))
 
 
 QUERIES = {f.__name__: f for f in (chunk_documents, chunk_coverage, chunk_problems, document_digest)}

@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -68,3 +69,17 @@ def test_index_and_manifest(spark, tmp_path):
     corpus.write_manifest(vectors.repartition(3), str(tmp_path / "manifest"), "vec_id")
     lines = [x for f in sorted((tmp_path / "manifest").glob("part-*")) for x in f.read_text().splitlines()]
     assert [json.loads(x)["vec_id"] for x in lines] == [1, 2]
+
+
+def test_digest_of_many_rows(spark, tmp_path):
+    from docketry.plans.corpus_queries import document_digest
+
+    own = spark.range(150_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "en").when(F.col("id") % 50 == 1, "de").alias("lang"), F.when(F.col("id") % 7 > 0, F.concat(F.lit("t"), "id")).alias("text"))
+    own.write.parquet(f"{tmp_path}/documents.parquet")
+    sums = {}
+    for r in own.toLocalIterator():
+        row = "\1".join((str(r["doc_id"]), r["lang"] or "?", "\2" if r["text"] is None else r["text"]))
+        sums[r["lang"] or "?"] = sums.get(r["lang"] or "?", 0) + int(hashlib.sha256(row.encode()).hexdigest()[:12], 16)
+    assert 2**63 < sums["en"] < 2**64 and sums["de"] < 2**63  # at 64 bits the largest sum turns negative
+    want = {k: v - 2**64 if v >= 2**63 else v for k, v in sums.items()}
+    assert {r["lang"]: r["digest"] for r in document_digest(spark, str(tmp_path)).collect()} == want
