@@ -189,6 +189,32 @@ def test_scopes_in_parts_and_repeated_questions(spark, monkeypatch):
     plan = retrieval.scoped_bm25(chunks, queries, 7, sent_cells=20)._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"Join .*\bterm#", plan)
 
+@pytest.fixture(scope="module")
+def one_report(spark, tmp_path_factory):
+    """Tables of one report whose 2,100 questions with a term each make more than SENT_CELLS cells."""
+    folder = str(tmp_path_factory.mktemp("report"))
+    when = "timestamp'2024-01-01 00:00:00' AS ingested_at"
+    chunks = [(f"c{i}", "doc-h", f"Word{i} was common. Nothing else was said.", "text") for i in range(4)]
+    spark.createDataFrame(chunks, "chunk_id string, document_id string, text string, kind string").selectExpr("*", when).write.parquet(f"{folder}/chunks.parquet")
+    spark.createDataFrame([("E:report", "h", "E")], "source_document_id string, sha256 string, event_id string").selectExpr("*", when).write.parquet(f"{folder}/sources.parquet")
+    asked = spark.range(2100).selectExpr(
+        "concat('q', id) AS example_id", "concat('common word', id) AS question", "'E:report' AS report_id", "'E' AS event_id", "'test' AS split", "true AS answerable",
+        "concat('Word', id, ' was common.') AS reference_answer", "cast(array() AS array<struct<chunk_id:string,quote:string>>) AS evidence", "'' AS provenance", "timestamp'2023-12-31 00:00:00' AS created_at", when,
+    )
+    asked.write.parquet(f"{folder}/retrieval_dev.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["extracted_answers"])
+def test_no_pairs_of_question_and_chunk_are_written(spark, one_report, name):
+    from docketry.plans import reference_queries
+
+    out = reference_queries.QUERIES[name](spark, one_report)
+    assert not re.search(r"Join .*\bterm#", out._jdf.queryExecution().optimizedPlan().toString())
+    if name == "extracted_answers":
+        right = {r["example_id"] for r in out.where("answer_correct").collect()}
+        assert right == {"q0", "q1", "q2", "q3"}
+
 
 def test_selected_candidates(spark):
     rows = [(f"s{i}", f"e{i}", f"f{i % 5}", "u" if i % 4 else " ", [f"a:{i % 3}", f"b:{i % 2}"]) for i in range(20)]
