@@ -70,7 +70,7 @@ def _in_reports(spark: SparkSession, folder: str, by: str) -> tuple[DataFrame, D
 def hybrid_scoped(spark: SparkSession, folder: str) -> DataFrame:
     """Both rankings within the event that a question names, fused."""
     chunks, asked = _in_reports(spark, folder, "event")
-    return _rounded(retrieval.fused(retrieval.scoped_bm25(chunks, asked, 100), retrieval.scoped_overlap(chunks, asked, 100), 5, weight=0.25))
+    return _rounded(retrieval.scoped_fused(chunks, asked, 5, 100, weight=0.25))
 
 
 def empty_scopes(spark: SparkSession, folder: str) -> DataFrame:
