@@ -205,7 +205,7 @@ def one_report(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["extracted_answers", "hybrid_scoped", "generation_summary", "task_accuracy"])
+@pytest.mark.parametrize("name", ["extracted_answers", "hybrid_scoped", "generation_summary", "task_accuracy", "extracted_summary"])
 def test_no_pairs_of_question_and_chunk_are_written(spark, one_report, name):
     from docketry.plans import reference_queries
 
