@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from docketry.functions.text import PUNCTUATION, STOP_WORDS, compatible_words, tokens
 from docketry.operators import answers, evaluation, integrity, metrics, retrieval, selection, training_records
+from docketry.session import cut_lineage
 from docketry.sources import snapshots
-from docketry.sources.tables import one_per_key, table, tidy
+from docketry.sources.tables import marked, one_per_key, one_per_key_in_place, table, tidy
 
 FRACTIONS = (("train", 0.8), ("development", 0.1), ("test", 0.1))
 TERMS = ["engine", "runway", "pilot", "weather", "landing", "inspection"]
@@ -46,8 +47,8 @@ def _scoped(spark: SparkSession, folder: str, k: int) -> DataFrame:
     sources = one_per_key(table(spark, folder, "sources"), "source_document_id", ["sha256"])
     dev = one_per_key(table(spark, folder, "retrieval_dev"), "example_id", ["question", "report_id"])
     asked = dev.join(sources, dev["report_id"] == sources["source_document_id"]).select(F.col("example_id").alias("query_id"), F.concat(F.lit("doc-"), "sha256").alias("scope"), F.col("question").alias("text"))
-    chunks = _chunks(spark, folder).select("chunk_id", F.col("document_id").alias("scope"), "text")
-    return retrieval.scoped_bm25(chunks, asked, k)
+    chunks = one_per_key_in_place(table(spark, folder, "chunks"), "chunk_id", ["document_id", "text"])
+    return retrieval.scoped_bm25(chunks.select("chunk_id", F.col("document_id").alias("scope"), "text"), asked, k)
 
 
 def bm25_scoped(spark: SparkSession, folder: str) -> DataFrame:
@@ -375,7 +376,10 @@ def _dev(spark: SparkSession, folder: str) -> DataFrame:
 def _passages(spark: SparkSession, folder: str) -> DataFrame:
     """(example_id, chunk_id, text, passage): of the best chunk in its report the sentence nearest to a question."""
     asked = _dev(spark, folder).select(F.col("example_id").alias("query_id"), "question")
-    best = _scoped(spark, folder, 1).select("query_id", "chunk_id").join(_chunks(spark, folder).select("chunk_id", "text"), "chunk_id").join(asked, "query_id")
+    first = cut_lineage(_scoped(spark, folder, 1).select("query_id", "chunk_id"))
+    # Only the texts of chunks that are the best of a question are shuffled to it.
+    found = marked(table(spark, folder, "chunks").where("chunk_id IS NOT NULL").select("chunk_id", "document_id", "text", "ingested_at"), "chunk_id", first.select(F.xxhash64("chunk_id").alias("hash")), first.count()).where("marked")
+    best = first.join(one_per_key(found, "chunk_id", ["document_id", "text"]).select("chunk_id", "text"), "chunk_id").join(asked, "query_id")
     nearest = retrieval.nearest_sentence(F.col("question"), F.col("text"))
     return best.select(F.col("query_id").alias("example_id"), "chunk_id", "text", nearest.alias("passage")).where("passage IS NOT NULL")
 

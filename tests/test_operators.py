@@ -216,6 +216,50 @@ def test_no_pairs_of_question_and_chunk_are_written(spark, one_report, name):
         assert right == {"q0", "q1", "q2", "q3"}
 
 
+def shuffled_bytes(spark, run):
+    """Bytes that all jobs of run write to shuffles."""
+    context = spark.sparkContext
+    java, scala = context._jvm, context._jsc.sc()
+
+    def stages():
+        scala.listenerBus().waitUntilEmpty(30_000)
+        held = scala.statusStore().stageList(None, False, False, context._gateway.new_array(java.double, 0), java.java.util.ArrayList())
+        return {held.apply(i).stageId(): held.apply(i).shuffleWriteBytes() for i in range(held.size())}
+
+    last = max(stages(), default=-1)
+    run()
+    return sum(n for i, n in stages().items() if i > last)
+
+
+@pytest.fixture(scope="module")
+def wide_report(spark, tmp_path_factory):
+    """Tables of one report with 300 chunks of 6,500 letters each that hardly compress, one of them delivered twice, and three questions."""
+    folder = str(tmp_path_factory.mktemp("wide"))
+    text = "concat('Word', id, ' was common. ', array_join(transform(sequence(1, 100), x -> sha2(concat(id, '-', x), 256)), ' '))"
+    chunks = spark.range(300).selectExpr("concat('c', id) AS chunk_id", "'doc-h' AS document_id", f"{text} AS text", "'text' AS kind", "timestamp'2024-01-01 00:00:00' AS ingested_at")
+    older = chunks.where("chunk_id = 'c7'").withColumn("text", F.lit("Nothing.")).withColumn("ingested_at", F.expr("timestamp'2023-01-01 00:00:00'"))
+    chunks.unionByName(older).write.parquet(f"{folder}/chunks.parquet")
+    when = "timestamp'2024-01-01 00:00:00' AS ingested_at"
+    spark.createDataFrame([("E:report", "h", "E")], "source_document_id string, sha256 string, event_id string").selectExpr("*", when).write.parquet(f"{folder}/sources.parquet")
+    asked = spark.range(6, 9).selectExpr(
+        "concat('q', id) AS example_id", "concat('common word', id) AS question", "'E:report' AS report_id", "'E' AS event_id", "'test' AS split", "true AS answerable",
+        "concat('Word', id, ' was common.') AS reference_answer", "cast(array() AS array<struct<chunk_id:string,quote:string>>) AS evidence", "'' AS provenance", "timestamp'2023-12-31 00:00:00' AS created_at", when,
+    )
+    asked.write.parquet(f"{folder}/retrieval_dev.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["extracted_answers"])
+def test_only_texts_that_are_asked_for_are_shuffled(spark, wide_report, name):
+    from docketry.plans import reference_queries
+
+    rows = []
+    written = shuffled_bytes(spark, lambda: rows.extend(reference_queries.QUERIES[name](spark, wide_report).collect()))
+    assert written < 300 * 6500 / 4
+    if name == "extracted_answers":
+        assert {r["example_id"]: r["answer_correct"] for r in rows} == {"q6": True, "q7": True, "q8": True}
+
+
 def test_selected_candidates(spark):
     rows = [(f"s{i}", f"e{i}", f"f{i % 5}", "u" if i % 4 else " ", [f"a:{i % 3}", f"b:{i % 2}"]) for i in range(20)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "source_id string, event_id string, family string, url string, features array<string>, place int")

@@ -1,7 +1,7 @@
 from datetime import date
 
 import pytest
-from docketry.sources import reports, snapshots
+from docketry.sources import reports, snapshots, tables
 from pyspark.sql import functions as F
 
 
@@ -39,3 +39,15 @@ def test_reports(spark):
     df = spark.createDataFrame([("b|c", 0.5, None), ("a", None, 2)], "k string, v double, n int")
     assert reports.markdown(df, "T") == "# T\n\n| k | v | n |\n|---|---|---|\n| a | – | 2 |\n| b\\|c | 0.5000 | – |\n"
     assert reports.pretty_json(df.limit(0)) == "[]\n"
+
+
+@pytest.mark.parametrize("bits", [1 << 15, 1 << 28])
+def test_rows_of_single_keys_stay_in_place(spark, monkeypatch, bits):
+    monkeypatch.setattr(tables, "MOST_BITS", bits)
+    # Keys of one, two and three rows: the last to arrive counts, of equal times the largest, null times come first.
+    df = spark.range(40_000).selectExpr("CASE WHEN id % 97 = 0 THEN NULL WHEN id < 9000 THEN concat('k', id % 4000) ELSE concat('k', id) END AS k", "CASE WHEN id % 5 = 0 THEN NULL ELSE id % 3 END AS ingested_at", "id % 11 AS v", "concat('t', id % 7) AS w")
+    got, want = tables.one_per_key_in_place(df, "k", ["w", "v"]), tables.one_per_key(df, "k", ["w", "v"])
+    assert got.columns == want.columns and got.count() == want.count() and got.exceptAll(want).count() == 0
+    for hashes, least in ((df.where("k = 'k5'"), 1), (df.limit(0), 0)):
+        found = {r["k"] for r in tables.marked(df.where("k IS NOT NULL"), "k", hashes.select(F.xxhash64("k").alias("hash")), least).where("marked").select("k").distinct().collect()}
+        assert ("k5" in found) == bool(least) and len(found) < 100
