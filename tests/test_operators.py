@@ -249,7 +249,7 @@ def wide_report(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["extracted_answers", "generation_summary", "task_accuracy"])
+@pytest.mark.parametrize("name", ["extracted_answers", "generation_summary", "task_accuracy", "extracted_summary"])
 def test_only_texts_that_are_asked_for_are_shuffled(spark, wide_report, name):
     from docketry.plans import reference_queries
 
