@@ -94,8 +94,9 @@ def generation_scores(generations: DataFrame, examples: DataFrame) -> DataFrame:
     """
     extra = {c: F.col(c) if c in generations.columns else F.lit(None).cast("double") for c in ("prompt_tokens", "completion_tokens", "latency_ms")}
     given = generations.select("example_id", "variant", "text", "retrieved_chunk_ids", "context_chunk_ids", *[v.alias(c) for c, v in extra.items()])
-    due = examples.select("example_id", "answerable", "reference_answer", "evidence", compatible_words("reference_answer").alias("_due"))
-    own = given.withColumn("_said", compatible_words("text")).join(due, "example_id")
+    due = examples.select("example_id", "answerable", "reference_answer", "evidence")
+    # Words are taken after the join: they are found in Arrow batches, after which rows of a key aren't known to be together.
+    own = given.join(due, "example_id").withColumn("_said", compatible_words("text")).withColumn("_due", compatible_words("reference_answer"))
     text, size = F.coalesce("text", F.lit("")), F.size(F.coalesce("context_chunk_ids", F.array().cast("array<string>")))
     gold = F.array_distinct(F.coalesce(F.col("evidence")["chunk_id"], F.array().cast("array<string>")))
     cited = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[(\d{1,9})\]"), F.lit(1)), lambda x: x.cast("int")))

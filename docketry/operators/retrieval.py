@@ -20,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from docketry.functions.text import STOP_WORDS, fold, sentences, tokens
 from docketry.session import cut_lineage
+from docketry.sources.tables import ROW_BITS, set_bits
 
 K1, B = 1.2, 0.75
 #: Questions times their different terms (or dimensions) that are sent to all tasks, 8 bytes each.
@@ -247,67 +248,123 @@ def _packed(row: np.ndarray, term: np.ndarray, n: int, kind: str) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(term.astype(kind).tobytes())])
 
 
+def _squeezed(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _bit_places(scope: np.ndarray, term: np.ndarray, bits: int) -> np.ndarray:
+    """A place below bits, a power of two, for each pair of a scope's hash and a term's number; -1 stands for the scope itself."""
+    mixed = scope.view(np.uint64) ^ (np.asarray(term, np.int64) + 1).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return ((mixed ^ mixed >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _has_bits(bits: np.ndarray, scope: np.ndarray, term: np.ndarray) -> np.ndarray:
+    place = _bit_places(scope, term, 8 * len(bits))
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _pair_bits(numbered: DataFrame, byte: str) -> np.ndarray:
+    """Bytes with a bit set for each scope of numbered (h1, terms) and each pair of it with a term: for one in MARK_SHARE or
+    so of all other pairs too, more where that takes more than MOST_BITS."""
+    width = np.dtype(byte).itemsize
+    count = numbered.agg(F.coalesce(F.sum(F.octet_length("terms") / width + 1), F.lit(0)).cast("bigint")).first()[0]
+    bits = set_bits(count)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scope, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            sizes = np.array([len(x) for x in lists], np.int64) // width
+            place = np.concatenate([_bit_places(scope, np.int64(-1), bits), _bit_places(np.repeat(scope, sizes), np.frombuffer(b"".join(lists), byte).astype(np.int64), bits)])
+            place = np.unique(place)
+            yield pa.RecordBatch.from_arrays([pa.array(place // ROW_BITS, pa.int32()), pa.array(place % ROW_BITS, pa.int64())], names=["row", "place"])
+
+    out = np.zeros(bits // 8, np.uint8)
+    # The pairs themselves are shuffled: they are fewer bytes than the bits of many tasks.
+    for r in numbered.select("h1", "terms").mapInArrow(pairs, "row int, place bigint").repartition("row").groupBy("row").agg(F.bitmap_construct_agg("place").alias("bits")).toLocalIterator():
+        first = r["row"] * (ROW_BITS // 8)
+        out[first : first + ROW_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
 def _scope_ranks(chunks: DataFrame, queries: DataFrame, wanted: DataFrame, sides: tuple[str, ...], k: int, fusion: tuple[int, float, int] | None = None) -> tuple[DataFrame, DataFrame]:
     """(query_id, chunk_id, side, score) with the best k of each side and part of a scope, and names (_of, query_id).
 
     Questions of a scope with the same terms are one, named by the least query_id; names has all that it stands for.
-    Texts are read once: a chunk goes on as its numbered terms that any question has, in a checkpoint, and meets the
-    questions of its scope in a task that keeps the best k, so no pair of question and chunk is ever written but these.
+    Texts are read once: a chunk goes on as its numbered terms that a question of its scope has (and a few others, see
+    _pair_bits), squeezed in a checkpoint, and meets the questions of its scope in a task that keeps the best k, so no
+    pair of question and chunk is ever written but these. Chunks of scopes without a question don't go on.
     side is the place in sides. With fusion, a scope of one part gives its fused best as side 2, all others both sides.
     """
     kinds = {f.name: f.dataType.simpleString() for f in (*queries.schema, *chunks.schema)}
+    context = chunks.sparkSession.sparkContext
     known = wanted.select("term").distinct().orderBy("term").toArrow().column(0).combine_chunks()
-    sent = chunks.sparkSession.sparkContext.broadcast(known)
+    sent = context.broadcast(known)
     byte = "<u2" if len(known) <= 1 << 16 else "<u4"
+    # Two hashes of 64 bits stand for a scope.
+    keys = [F.when(F.col("scope").isNotNull(), F.xxhash64("scope")).alias("h1"), F.xxhash64(F.lit("scope"), "scope").alias("h2")]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, term, sizes = _places(batch.column(3), sent.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], _packed(row, term, len(sizes), byte)], names=["query_id", "h1", "h2", "terms"])
+
+    asked = queries.where("scope IS NOT NULL").select("query_id", *keys, F.array_sort(F.array_distinct(tokens("text"))).alias("terms"))
+    numbered = asked.mapInArrow(number, f"query_id {kinds['query_id']}, h1 bigint, h2 bigint, terms binary")
+    different = numbered.groupBy("h1", "h2", "terms").agg(F.min("query_id").alias("_of"))
+    names = numbered.join(different, ["h1", "h2", "terms"]).select("_of", "query_id")
+    sent_bits = context.broadcast(_pair_bits(numbered, byte))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, found, n, length = sent.value, np.zeros(len(sent.value), np.int64), 0, 0
-        schema = pa.schema([("chunk_id", ids), ("scope", scopes), ("size", pa.int64()), ("terms", pa.binary()), ("term", pa.int32())])
+        known, bits, found, n, length = sent.value, sent_bits.value, np.zeros(len(sent.value), np.int64), 0, 0
         for batch in batches:
-            row, term, sizes = _places(batch.column(2), known)
+            row, term, sizes = _places(batch.column(3), known)
             found += np.bincount(np.unique(row * max(len(known), 1) + term) % max(len(known), 1), minlength=len(known)) if len(row) else 0
             n, length = n + len(sizes), length + int(sizes.sum())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(ids), batch.column(1).cast(scopes), pa.array(sizes), _packed(row, term, len(sizes), byte), pa.nulls(len(sizes), pa.int32())], schema=schema)
+            scope = pc.fill_null(batch.column(1), 0).to_numpy(zero_copy_only=False)
+            kept = batch.column(1).is_valid().to_numpy(zero_copy_only=False) & _has_bits(bits, scope, np.int64(-1))
+            hit = kept[row] & _has_bits(bits, scope[row], term)
+            own = [*(batch.column(i).filter(pa.array(kept)) for i in range(3)), pa.array(sizes[kept]), _packed((np.cumsum(kept) - 1)[row[hit]], term[hit], int(kept.sum()), byte)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([_squeezed(pa.RecordBatch.from_arrays(own, names=names_held))], pa.binary())], names=["term", "n", "rows"])
         at = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(at) + 2, ids), pa.nulls(len(at) + 2, scopes), pa.array([*found[at], n, length], pa.int64()), pa.nulls(len(at) + 2, pa.binary()), pa.array([*at, -1, -2], pa.int32())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array([*at, -1, -2], pa.int32()), pa.array([*found[at], n, length], pa.int64()), pa.nulls(len(at) + 2, pa.binary())], names=["term", "n", "rows"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in batch.column(0):
+                yield from pa.ipc.open_stream(rows.as_buffer())
 
-    own = chunks.select("chunk_id", "scope", tokens("text").alias("terms"))
-    ids, scopes = (to_arrow_type(own.schema[c].dataType) for c in ("chunk_id", "scope"))
-    every = cut_lineage(own.mapInArrow(code, f"chunk_id {kinds['chunk_id']}, scope {kinds['scope']}, size bigint, terms binary, term int"))
-    sums = {r["term"]: r["n"] for r in every.where("term IS NOT NULL").groupBy("term").agg(F.sum("size").alias("n")).collect()}
+    names_held = ["chunk_id", "h1", "h2", "size", "terms"]
+    own = chunks.select("chunk_id", *keys, tokens("text").alias("terms"))
+    every = cut_lineage(own.mapInArrow(code, "term int, n bigint, rows binary"))
+    sums = {r["term"]: r["n"] for r in every.where("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     n = sums.pop(-1, 0)
     mean, idf = max(1.0, sums.pop(-2, 0) / max(n, 1)), np.zeros(len(known))
     for i, v in sums.items():
         idf[i] = np.log(1 + (n - v + 0.5) / (v + 0.5))
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, term, sizes = _places(batch.column(2), sent.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _packed(row, term, len(sizes), byte)], names=["_of", "scope", "terms"])
-
-    asked = queries.where("scope IS NOT NULL").select("query_id", "scope", F.array_sort(F.array_distinct(tokens("text"))).alias("terms"))
-    different = asked.groupBy("scope", "terms").agg(F.min("query_id").alias("_of"))
-    names = asked.join(different, ["scope", "terms"]).select("_of", "query_id")
-    given = different.select("_of", "scope", "terms").mapInArrow(number, f"_of {kinds['query_id']}, scope {kinds['scope']}, terms binary")
-    held = every.where("term IS NULL AND scope IS NOT NULL")
+    held = every.where("term IS NULL").select("rows").mapInArrow(unpack, f"chunk_id {kinds['chunk_id']}, h1 bigint, h2 bigint, size bigint, terms binary")
     large = [
-        df.groupBy("scope").agg(F.ceil(F.count("*") / most).cast("int").alias(name)).where(F.col(name) > 1)
+        df.groupBy("h1", "h2").agg(F.ceil(F.count("*") / most).cast("int").alias(name)).where(F.col(name) > 1)
         for df, most, name in ((held, SCOPE_CHUNKS, "_parts"), (different, SCOPE_ASKED, "_slices"))
     ]
     # A scope is in one of these per SCOPE_CHUNKS chunks or SCOPE_ASKED questions at most.
-    cuts = F.broadcast(cut_lineage(large[0].join(large[1], "scope", "full").select("scope", F.coalesce("_parts", F.lit(1)).alias("_parts"), F.coalesce("_slices", F.lit(1)).alias("_slices"))))
+    cuts = F.broadcast(cut_lineage(large[0].join(large[1], ["h1", "h2"], "full").select("h1", "h2", F.coalesce("_parts", F.lit(1)).alias("_parts"), F.coalesce("_slices", F.lit(1)).alias("_slices"))))
     parts, slices = F.coalesce("_parts", F.lit(1)), F.coalesce("_slices", F.lit(1))
     upto = lambda c: F.explode(F.sequence(F.lit(0), c - 1))
-    left = given.join(cuts, "scope", "left").withColumn("part", upto(parts)).select("scope", "part", F.pmod(F.xxhash64("_of"), slices).cast("int").alias("slice"), "_of", F.lit(None).cast(kinds["chunk_id"]).alias("chunk_id"), parts.cast("bigint").alias("size"), "terms")
-    right = held.join(cuts, "scope", "left").withColumn("slice", upto(slices)).select("scope", F.pmod(F.xxhash64("chunk_id"), parts).cast("int").alias("part"), "slice", F.lit(None).cast(kinds["query_id"]).alias("_of"), "chunk_id", "size", "terms")
+    left = different.join(cuts, ["h1", "h2"], "left").withColumn("part", upto(parts)).select("h1", "h2", "part", F.pmod(F.xxhash64("_of"), slices).cast("int").alias("slice"), "_of", F.lit(None).cast(kinds["chunk_id"]).alias("chunk_id"), parts.cast("bigint").alias("size"), "terms")
+    right = held.join(cuts, ["h1", "h2"], "left").withColumn("slice", upto(slices)).select("h1", "h2", F.pmod(F.xxhash64("chunk_id"), parts).cast("int").alias("part"), "slice", F.lit(None).cast(kinds["query_id"]).alias("_of"), "chunk_id", "size", "terms")
     # Chunks without an id aren't expected, so a row is a question where it has one.
-    both = left.unionByName(right).repartition("scope", "part", "slice").sortWithinPartitions("scope", "part", "slice", F.col("_of").isNull(), "chunk_id")
+    both = left.unionByName(right).repartition("h1", "h2", "part", "slice").sortWithinPartitions("h1", "h2", "part", "slice", F.col("_of").isNull(), "chunk_id")
     sent_idf, cells, lines = chunks.sparkSession.sparkContext.broadcast(idf), BLOCK_CELLS, BLOCK_ROWS
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, last, ready = None, None, []
         for batch in batches:
-            keys = [batch.column(i) for i in range(3)]
+            keys = [batch.column(i) for i in range(4)]
             change = np.zeros(batch.num_rows, bool)
             for c in keys:
                 change[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
@@ -336,7 +393,7 @@ class _Scope:
         self.blocks: list | None = None
 
     def add(self, batch: pa.RecordBatch) -> None:
-        n = batch.num_rows - batch.column(3).null_count
+        n = batch.num_rows - batch.column(4).null_count
         if n:
             self.asked.append(batch.slice(0, n))
         if n < batch.num_rows and self.asked:
@@ -347,14 +404,14 @@ class _Scope:
 
     def _terms(self, batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
         """(terms of all rows one after the other, number of each row's)."""
-        lists = [x.to_numpy(zero_copy_only=False) for x in (b.column(6) for b in batches)]
+        lists = [x.to_numpy(zero_copy_only=False) for x in (b.column(7) for b in batches)]
         lists = [x for part in lists for x in part]
         return np.frombuffer(b"".join(lists), self.byte).astype(np.int64), np.array([len(x) for x in lists], np.int64) // np.dtype(self.byte).itemsize
 
     def _cut(self) -> None:
         """Questions in blocks of at most so many cells of their terms times themselves."""
         terms, sizes = self._terms(self.asked)
-        self.whole = self.asked[0].column(5)[0].as_py() == 1
+        self.whole = self.asked[0].column(6)[0].as_py() == 1
         self.blocks, first, ends = [], 0, np.concatenate([[0], np.cumsum(sizes)])
         while first < len(sizes):
             cells = (ends[first + 1 :] - ends[first]) * np.arange(1, len(sizes) - first + 1)
@@ -369,9 +426,9 @@ class _Scope:
         if self.blocks is None:
             self._cut()
         offset = sum(map(len, self.ids))
-        self.ids += [b.column(4) for b in self.waiting]
+        self.ids += [b.column(5) for b in self.waiting]
         terms, sizes = self._terms(self.waiting)
-        length = np.concatenate([b.column(5).to_numpy() for b in self.waiting])[:, None]
+        length = np.concatenate([b.column(6).to_numpy() for b in self.waiting])[:, None]
         row, n = np.repeat(np.arange(len(sizes)), sizes), len(sizes)
         self.waiting, self.held = [], 0
         for own, place, column, asked, state in self.blocks:
@@ -426,7 +483,7 @@ class _Scope:
             self._score()
         if not self.blocks:
             return []
-        asked, ids = pa.concat_arrays([b.column(3) for b in self.asked]), pa.concat_arrays(self.ids)
+        asked, ids = pa.concat_arrays([b.column(4) for b in self.asked]), pa.concat_arrays(self.ids)
         out, first = [], 0
         for *_, sizes, state in self.blocks:
             found = [(i, *state[s][:3]) for i, s in enumerate(self.sides)]

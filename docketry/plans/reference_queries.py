@@ -43,17 +43,18 @@ def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(_top(spark, folder, 10))
 
 
-def _scoped(spark: SparkSession, folder: str, k: int) -> DataFrame:
+def _in_own_report(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Chunks with their document as scope, and the questions of retrieval_dev whose report is known with that, in a checkpoint."""
     sources = one_per_key(table(spark, folder, "sources"), "source_document_id", ["sha256"])
     dev = one_per_key(table(spark, folder, "retrieval_dev"), "example_id", ["question", "report_id"])
     asked = dev.join(sources, dev["report_id"] == sources["source_document_id"]).select(F.col("example_id").alias("query_id"), F.concat(F.lit("doc-"), "sha256").alias("scope"), F.col("question").alias("text"))
     chunks = one_per_key_in_place(table(spark, folder, "chunks"), "chunk_id", ["document_id", "text"])
-    return retrieval.scoped_bm25(chunks.select("chunk_id", F.col("document_id").alias("scope"), "text"), asked, k)
+    return chunks.select("chunk_id", F.col("document_id").alias("scope"), "text"), cut_lineage(asked)
 
 
 def bm25_scoped(spark: SparkSession, folder: str) -> DataFrame:
     """Questions of retrieval_dev within their report."""
-    return _rounded(_scoped(spark, folder, 5))
+    return _rounded(retrieval.scoped_bm25(*_in_own_report(spark, folder), 5))
 
 
 def _in_reports(spark: SparkSession, folder: str, by: str) -> tuple[DataFrame, DataFrame]:
@@ -370,18 +371,21 @@ def key_differences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _dev(spark: SparkSession, folder: str) -> DataFrame:
-    return one_per_key(table(spark, folder, "retrieval_dev"), "example_id", ["question", "split", "answerable", "reference_answer", "evidence", "provenance"])
+    return one_per_key(table(spark, folder, "retrieval_dev"), "example_id", ["question", "split", "answerable", "reference_answer", "evidence"])
 
 
 def _passages(spark: SparkSession, folder: str) -> DataFrame:
-    """(example_id, chunk_id, text, passage): of the best chunk in its report the sentence nearest to a question."""
-    asked = _dev(spark, folder).select(F.col("example_id").alias("query_id"), "question")
-    first = cut_lineage(_scoped(spark, folder, 1).select("query_id", "chunk_id"))
-    # Only the texts of chunks that are the best of a question are shuffled to it.
-    found = marked(table(spark, folder, "chunks").where("chunk_id IS NOT NULL").select("chunk_id", "document_id", "text", "ingested_at"), "chunk_id", first.select(F.xxhash64("chunk_id").alias("hash")), first.count()).where("marked")
-    best = first.join(one_per_key(found, "chunk_id", ["document_id", "text"]).select("chunk_id", "text"), "chunk_id").join(asked, "query_id")
+    """(example_id, chunk_id, passage, text): of the best chunk in its report the sentence nearest to a question; of the
+    text what the passage needs to be found there, so that no text goes further."""
+    chunks, asked = _in_own_report(spark, folder)
+    first = cut_lineage(retrieval.scoped_bm25(chunks, asked, 1).select("query_id", "chunk_id"))
+    # Only the texts of chunks that are the best of a question are shuffled, and few others: the set has bits for four times as many.
+    found = marked(table(spark, folder, "chunks").where("chunk_id IS NOT NULL").select("chunk_id", "document_id", "text", "ingested_at"), "chunk_id", first.select(F.xxhash64("chunk_id").alias("hash")), 4 * first.count()).where("marked")
+    best = first.join(asked.select("query_id", F.col("text").alias("question")), "query_id").join(one_per_key(found, "chunk_id", ["document_id", "text"]).select("chunk_id", "text"), "chunk_id")
     nearest = retrieval.nearest_sentence(F.col("question"), F.col("text"))
-    return best.select(F.col("query_id").alias("example_id"), "chunk_id", "text", nearest.alias("passage")).where("passage IS NOT NULL")
+    # Texts that aren't blank have a passage; to ask for the passage would find it twice.
+    own = best.where(F.trim("text") != "").select(F.col("query_id").alias("example_id"), "chunk_id", "text", nearest.alias("passage"))
+    return own.withColumn("text", F.when(F.contains("text", "passage"), F.col("passage")).otherwise(""))
 
 
 def _extracted(spark: SparkSession, folder: str) -> DataFrame:

@@ -260,6 +260,64 @@ def test_only_texts_that_are_asked_for_are_shuffled(spark, wide_report, name):
         assert {r["example_id"]: r["answer_correct"] for r in rows} == {"q6": True, "q7": True, "q8": True}
 
 
+@pytest.fixture(scope="module")
+def many_reports(spark, tmp_path_factory):
+    """Tables of 20 reports with 100 chunks, all of the same 200 words in an order of their own; the question of each report asks for ten of them."""
+    folder = str(tmp_path_factory.mktemp("many"))
+    when = "timestamp'2024-01-01 00:00:00' AS ingested_at"
+    text = "concat(array_join(transform(array_sort(transform(sequence(0, 199), x -> struct(xxhash64(id, x) AS h, x AS x))), y -> concat('w', y.x)), ' '), '.')"
+    spark.range(2000).selectExpr("concat('c', id) AS chunk_id", "concat('doc-h', id % 20) AS document_id", f"{text} AS text", "'text' AS kind", when).write.parquet(f"{folder}/chunks.parquet")
+    spark.range(20).selectExpr("concat('E', id, ':report') AS source_document_id", "concat('h', id) AS sha256", "concat('E', id) AS event_id", when).write.parquet(f"{folder}/sources.parquet")
+    asked = spark.range(20).selectExpr(
+        "concat('q', id) AS example_id", "array_join(transform(sequence(0, 9), x -> concat('w', 10 * id + x)), ' ') AS question", "concat('E', id, ':report') AS report_id", "concat('E', id) AS event_id", "'test' AS split", "true AS answerable",
+        "'Word.' AS reference_answer", "cast(array() AS array<struct<chunk_id:string,quote:string>>) AS evidence", "'' AS provenance", "timestamp'2023-12-31 00:00:00' AS created_at", when,
+    )
+    asked.write.parquet(f"{folder}/retrieval_dev.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["generation_summary"])
+def test_only_terms_that_a_scope_asks_for_are_shuffled(spark, many_reports, name):
+    from docketry.plans import reference_queries
+
+    rows = []
+    written = shuffled_bytes(spark, lambda: rows.extend(reference_queries.QUERIES[name](spark, many_reports).collect()))
+    assert written < 2000 * 200  # a byte for each word of a chunk
+    if name == "generation_summary":
+        assert {(r["variant"], r["examples"]) for r in rows} == {("rag", 20), ("passage", 20)}
+
+
+@pytest.fixture(scope="module")
+def asked_texts(spark, tmp_path_factory):
+    """Tables of one report with 300 chunks of 6,500 letters each that hardly compress, each the best of a question and with such a sentence for it."""
+    folder = str(tmp_path_factory.mktemp("asked"))
+    text = "concat('Word', id, ' was common. ', array_join(transform(sequence(1, 100), x -> sha2(concat(id, '-', x), 256)), ' '))"
+    when = "timestamp'2024-01-01 00:00:00' AS ingested_at"
+    spark.range(300).selectExpr("concat('c', id) AS chunk_id", "'doc-h' AS document_id", f"{text} AS text", "'text' AS kind", when).write.parquet(f"{folder}/chunks.parquet")
+    spark.createDataFrame([("E:report", "h", "E")], "source_document_id string, sha256 string, event_id string").selectExpr("*", when).write.parquet(f"{folder}/sources.parquet")
+    asked = spark.range(300).selectExpr(
+        "concat('q', id) AS example_id", "concat('common word', id) AS question", "'E:report' AS report_id", "'E' AS event_id", "'test' AS split", "true AS answerable",
+        "concat('Word', id, ' was common.') AS reference_answer", "cast(array() AS array<struct<chunk_id:string,quote:string>>) AS evidence", "'' AS provenance", "timestamp'2023-12-31 00:00:00' AS created_at", when,
+    )
+    asked.write.parquet(f"{folder}/retrieval_dev.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["generation_summary"])
+def test_texts_are_shuffled_once(spark, asked_texts, name):
+    from docketry.plans import reference_queries
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = []
+        written = shuffled_bytes(spark, lambda: rows.extend(reference_queries.QUERIES[name](spark, asked_texts).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert written < 1.5 * 300 * 6500
+    if name == "generation_summary":
+        assert {(r["variant"], r["examples"], r["token_f1"]) for r in rows if r["variant"] == "passage"} == {("passage", 300, 1.0)}
+
+
 def test_selected_candidates(spark):
     rows = [(f"s{i}", f"e{i}", f"f{i % 5}", "u" if i % 4 else " ", [f"a:{i % 3}", f"b:{i % 2}"]) for i in range(20)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "source_id string, event_id string, family string, url string, features array<string>, place int")
