@@ -276,7 +276,7 @@ def many_reports(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["generation_summary", "task_accuracy"])
+@pytest.mark.parametrize("name", ["generation_summary", "task_accuracy", "extracted_summary"])
 def test_only_terms_that_a_scope_asks_for_are_shuffled(spark, many_reports, name):
     from docketry.plans import reference_queries
 
@@ -303,7 +303,7 @@ def asked_texts(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["generation_summary", "task_accuracy"])
+@pytest.mark.parametrize("name", ["generation_summary", "task_accuracy", "extracted_summary"])
 def test_texts_are_shuffled_once(spark, asked_texts, name):
     from docketry.plans import reference_queries
 
